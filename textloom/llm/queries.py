@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import media
+from textloom.llm import embeddings, media, mixing, quality, urlfilter
 
 QUERIES = {
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op6_media_columns": media.op6_media_columns,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op10_url_filters": urlfilter.op10_url_filters,
+}
+SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.SQL,
+    "op10_url_filters": urlfilter.SQL,
 }
-SQL: dict[str, str] = {}
