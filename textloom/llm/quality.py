@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 
-PER_CLASS, LINES, ROUNDS = 1500, 60_000, 150
+PER_CLASS, LINES, ROUNDS = 1500, 60_000, 250
 #: Bytes of text that are treated together.
 TOGETHER = 4 << 20
 THRESHOLD = 0.7
@@ -135,7 +135,7 @@ def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray):
 
 
 def train(x: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights [FEATURES] and transitions [2, 2]; good: the label of each chain. Both labels weigh the same; penalty 1e-3."""
+    """Weights [FEATURES] and transitions [2, 2]; good: the label of each chain. Both labels weigh the same; penalty 2e-4."""
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     if not len(counts) or good.all() or not good.any():
         return w, trans
@@ -152,7 +152,7 @@ def train(x: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = ROU
             scale = 0.5 / r.sum()
             grad[: len(w)] += scale * (x[r].T @ (y[r] - p))
             grad[len(w) :] += scale * (seen - pairs).ravel()
-        grad -= 1e-3 * np.concatenate([w, trans.ravel()])
+        grad -= 2e-4 * np.concatenate([w, trans.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.15 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, trans = w + move[: len(w)], trans + move[len(w) :].reshape(2, 2)
