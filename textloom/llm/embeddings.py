@@ -1,9 +1,11 @@
 """Embedding near-dedup: an exact range join on unit vectors under the angle between them.
 
-Within a label, pivots partition the vectors: each belongs to its nearest pivot and, there, to a shell of distances.
-By the triangle inequality a neighbour within angle r of a vector of (pivot p, shell [s, t)) lies between s - r and
-t + r from p, and at most 2 r farther from p than from its own pivot; it is copied into each such cell. So a cell holds
-all neighbours of its own vectors, and cells join independently, as blocks of bounded size. Equal vectors are one class.
+Within a label, pivots partition the vectors: each belongs to its nearest pivot if that is within 2 r (r: the angle of the
+threshold), else to the label's rest. By the triangle inequality a neighbour of a pivot's vector lies within 3 r of the
+pivot and at most 2 r farther from it than from its own pivot, and a neighbour of the rest is more than r from its own
+pivot; it is copied into each such cell. So a cell holds all neighbours of its own vectors, and cells join independently,
+as blocks of bounded size. In many dimensions vectors that are far from all pivots are about as far from each other, so
+that no bound separates them: the rest is compared block by block. Equal vectors are one class.
 
 Pivots only steer the work. They are fitted on a bounded sample (SAMPLE rows a label and salt) and sent to the workers:
 MOST_PIVOTS of them at most. Labels with fewer than SMALL classes have one cell.
@@ -20,13 +22,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import settled, table
 from textloom.llm.components import components
 
-SMALL, SAMPLE, SALTS, PIVOTS, MOST_PIVOTS, BLOCK = 2048, 128, 16, 64, 16384, 2048
+SMALL, SAMPLE, SALTS, PIVOTS, MOST_PIVOTS, BLOCK = 2048, 128, 16, 64, 16384, 1024
 
 
 def _valid(batches):
@@ -66,30 +69,34 @@ def _pivots(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cells(angle: float, pivots: dict):
-    """Sends each class to its own cell, and as a visitor to all that may hold a neighbour."""
-
-    def run(frames):
-        for rows in frames:
-            parts = []
-            for (label, dims), own in rows.groupby([rows["label"], rows["vector"].map(len)], sort=False):
-                own, x = own.reset_index(drop=True), _matrix(own["vector"])
-                p = pivots.get(label)
-                d = _angles(x, p) if p is not None and p.shape[1] * 8 == dims else np.zeros((len(x), 1))
-                home = d.argmin(axis=1)
-                base = d[np.arange(len(x)), home]
-                who, to = np.nonzero(d <= base[:, None] + 2 * angle + 1e-9)
-                low = np.maximum(np.floor((d[who, to] - angle - 1e-9) / (2 * angle)), 0).astype(int)
-                high = np.floor((d[who, to] + angle + 1e-9) / (2 * angle)).astype(int)
-                mine = np.floor(base / (2 * angle)).astype(int)
-                for shell in range(3):
-                    ok = low + shell <= high
-                    w, t, s = who[ok], to[ok], low[ok] + shell
-                    part = own.iloc[w].copy()
-                    part["cell"] = [f"{dims}/{a}/{b}" for a, b in zip(t.tolist(), s.tolist(), strict=True)]
-                    part["home"] = (home[w] == t) & (mine[w] == s)
-                    parts.append(part)
-            if parts:
-                yield pd.concat(parts)[["label", "cell", "home", "rep", "n", "vector"]]
+    """Sends each class to its own cell, and as a visitor to all that may hold a neighbour. Cell -1 is the rest."""
+    core = 2 * angle
+
+    def places(x: np.ndarray, p: np.ndarray | None):
+        """(who, cell, whether it is who's own)."""
+        n = len(x)
+        if p is None or p.shape[1] != x.shape[1]:
+            return np.arange(n), np.full(n, -1), np.ones(n, dtype=bool)
+        d = _angles(x, p)
+        home = d.argmin(axis=1)
+        base = d[np.arange(n), home]
+        inner = base <= core
+        who, to = np.nonzero((d <= base[:, None] + 2 * angle + 1e-9) & (d <= core + angle + 1e-9))
+        mine = inner[who] & (home[who] == to)
+        rest = np.flatnonzero(base > core - angle - 1e-9)
+        return np.concatenate([who, rest]), np.concatenate([to, np.full(len(rest), -1)]), np.concatenate([mine, ~inner[rest]])
+
+    def run(batches):
+        for b in batches:
+            labels, sizes = b.column("label").to_pylist(), pc.binary_length(b.column("vector")).to_pylist()
+            by: dict = {}
+            for k, at in enumerate(zip(labels, sizes, strict=True)):
+                by.setdefault(at, []).append(k)
+            for (label, dims), own in by.items():
+                part = b.take(pa.array(own))
+                who, cell, home = places(_matrix(part.column("vector").to_pylist()), pivots.get(label))
+                out = part.select(["label", "rep", "n", "vector"]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([f"{dims}/{c}" for c in cell.tolist()]), pa.array(home)], ["label", "rep", "n", "vector", "cell", "home"])
 
     return run
 
@@ -139,7 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     for r in found:
         by_label.setdefault(r["label"], []).append(bytes(r["vector"]))
     pivots = {k: _matrix(v) for k, v in by_label.items()}
-    dealt = settled(classes.select("label", "rep", "n", "vector").mapInPandas(_cells(angle, pivots), f"label {kind}, cell string, home boolean, rep long, n long, vector binary"), "cells")
+    dealt = settled(classes.select("label", "rep", "n", "vector").mapInArrow(_cells(angle, pivots), f"label {kind}, rep long, n long, vector binary, cell string, home boolean"), "cells")
     sizes = dealt.groupBy("label", "cell").agg(F.count("*").alias("all"), F.count_if("home").alias("own")).where("own > 0").select("label", "cell", F.ceil(F.col("own") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
     sized = dealt.join(sizes, ["label", "cell"])
     at = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import embeddings, media, mixing, quality, urlfilter
+from textloom.llm import embeddings, jaccard, lm, media, mixing, quality, repeats, urlfilter
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
+    "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 SQL: dict[str, str] = {
