@@ -110,7 +110,7 @@ def pack(*columns: np.ndarray) -> bytes:
 
     out = []
     for c in columns:
-        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes()
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes()
         body = pa.compress(planes, "zstd", asbytes=True)
         out.append(c.dtype.str.encode().ljust(4) + len(c).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body)
     return b"".join(out)
