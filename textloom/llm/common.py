@@ -47,6 +47,37 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for whole texts: JVM and worker each hold one at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on for other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f):
+    """f for applyInArrow, that leaves no freed memory behind."""
+
+    def run(own):
+        try:
+            return f(own)
+        finally:
+            trim()
+
+    return run
+
+
 def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import embeddings, jaccard, lm, media, mixing, quality, repeats, urlfilter
+from textloom.llm import embeddings, jaccard, lines, lm, media, mixing, pieces, quality, repeats, urlfilter
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_classifier": quality.op7_quality_classifier,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 SQL: dict[str, str] = {
+    "op2_line_dedup": lines.SQL,
     "op3_source_mixing": mixing.SQL,
     "op10_url_filters": urlfilter.SQL,
 }
