@@ -1,4 +1,479 @@
-"""Named queries and the SQL that gives the same rows."""
+"""Named queries over the standard tables and the SQL that gives the same rows.
+
+The corpus is the table documents: title = first line, content = the whole text. Every query reads whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import distance as D
+from textloom.functions import html as H
+from textloom.functions import text as X
+from textloom.functions.language import SAMPLES, detect_languages, gram_ranks, profile
+from textloom.operators import evaluate as ev
+from textloom.operators import index as ix
+from textloom.operators import rank as rk
+from textloom.operators import search as se
+from textloom.operators import standard as st
+from textloom.sources import pages as pg
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+TERMS = ["the", "of", "and"]
+TITLE_TERMS = ["thonre", "erand", "ofthst"]
+TYPOS = ["tionn", "hte", "adn", "teh", "qeu", "fro"]
+PREFIX = "tho"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return pg.from_documents(pg.Catalog(spark, d)["documents"])
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_STOP = ", ".join(map(_lit, X.STOPWORDS))
+_UNACCENT = f"translate(%s, {_lit(X.FOLD_FROM)}, {_lit(X.FOLD_TO)})"
+
+
+def _tokens_of(c: str) -> str:
+    """SQL for the token array of an expression."""
+    s = f"regexp_replace({_UNACCENT % c}, '[#+]+([{X.W}])', ' \\1', 'g')"
+    return f"list_filter(list_transform(regexp_extract_all({s}, '\\.*[{X.W}]+[#+]*\\.?'), lambda t: lower(regexp_replace(regexp_replace(t, '\\.$', ''), '^\\.+', '.'))), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))"
+
+
+_D = f"d AS MATERIALIZED (SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS content, {_tokens_of('split_part(text, chr(10), 1)')} AS tt, {_tokens_of('text')} AS ct FROM documents)"
+_TOK = _D + ", tok AS (SELECT doc_id, 'title' AS field, unnest(tt) AS token, unnest(range(len(tt))) AS pos FROM d UNION ALL SELECT doc_id, 'content', unnest(ct), unnest(range(len(ct))) FROM d)"
+_POST = _TOK + ", post AS (SELECT token AS term, doc_id, count(*) FILTER (field = 'title') AS tf_title, count(*) FILTER (field = 'content') AS tf_content FROM tok GROUP BY ALL)"
+_STATS = "st AS (SELECT count(*) AS n, avg(len(tt)) AS avt, avg(len(ct)) AS ac FROM d)"
+
+
+# -- analysis and index -----------------------------------------------------------------------------------------------
+
+
+@query
+def tokenize_values(spark, d):
+    t = ix.token_arrays(_pages(spark, d))
+    return t.select("doc_id", F.size("content_tokens").alias("n_tokens"), F.array_join(F.slice("content_tokens", 1, 5), " ").alias("first_tokens"), F.size(F.array_distinct("content_tokens")).alias("n_distinct"))
+
+
+SQL["tokenize_values"] = f"WITH {_D} SELECT doc_id, len(ct)::INT AS n_tokens, array_to_string(ct[1:5], ' ') AS first_tokens, len(list_distinct(ct))::INT AS n_distinct FROM d"
+
+
+@query
+def doc_lengths(spark, d):
+    return ix.lengths(_pages(spark, d))
+
+
+SQL["doc_lengths"] = f"WITH {_D} SELECT doc_id, len(tt)::INT AS length_title, len(ct)::INT AS length_content FROM d"
+
+
+@query
+def index_stats(spark, d):
+    s = ix.stats(ix.lengths(_pages(spark, d)))
+    return s.select("total_docs", F.round("avg_length_title", 6).alias("avg_length_title"), F.round("avg_length_content", 6).alias("avg_length_content"))
+
+
+SQL["index_stats"] = f"WITH {_D}, {_STATS} SELECT n AS total_docs, round(avt, 6) AS avg_length_title, round(ac, 6) AS avg_length_content FROM st"
+
+
+def _vocab(spark, d) -> DataFrame:
+    """term, df without positions: distinct tokens of each page."""
+    t = ix.token_arrays(_pages(spark, d))
+    return t.select(F.explode(F.array_distinct(F.concat("title_tokens", "content_tokens"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query
+def term_df_top(spark, d):
+    return _vocab(spark, d).orderBy(F.desc("df"), "term").limit(100)
+
+
+_VOCAB = _TOK + ", vocab AS (SELECT token AS term, count(DISTINCT doc_id) AS df FROM tok GROUP BY token)"
+SQL["term_df_top"] = f"WITH {_VOCAB} SELECT term, df FROM vocab ORDER BY df DESC, term LIMIT 100"
+
+
+@query
+def postings_tf(spark, d):
+    own = ix.lookup(ix.postings(ix.tokens(_pages(spark, d))), "term", TERMS + TITLE_TERMS)
+    return own.select("term", "doc_id", "tf_title", "tf_content", F.size("positions_content").alias("n_positions"), F.element_at("positions_content.start", 1).alias("first_start"), F.element_at("positions_content.end", 1).alias("first_end"))
+
+
+_PLACED = f"""parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate({_UNACCENT % 'content'}, chr(1), ' '), '([#+]+)([{X.W}])', '\\1' || chr(1) || chr(1) || '\\2', 'g'), '(\\.*[{X.W}]+)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM d)"""
+#: Offsets need no lookahead here: a token's start is where its dots or word begin, found by counting what precedes.
+SQL["postings_tf"] = f"""WITH {_POST},
+w AS (SELECT doc_id, {_UNACCENT % 'content'} AS s FROM d),
+cutup AS MATERIALIZED (SELECT doc_id, regexp_extract_all(s, '(\\.*)([{X.W}]+)([#+]*)(\\.?)') AS raws, regexp_split_to_array(s, '(\\.*)([{X.W}]+)([#+]*)(\\.?)') AS gaps FROM w),
+cut AS (SELECT doc_id, unnest(raws) AS raw, unnest(range(len(raws))) AS k, unnest(gaps[1:len(raws)]) AS own, unnest(gaps[2:len(raws) + 1]) AS next FROM cutup),
+placed AS (SELECT doc_id, raw, k, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        sum(length(own)) OVER (PARTITION BY doc_id ORDER BY k) AS gap, next FROM cut),
+named AS (SELECT doc_id, k, (coalesce(before, 0) + gap)::INT AS start, raw, regexp_matches(raw, '[#+]$') AND next = '' AND lead(regexp_matches(raw, '^[{X.W}]')) OVER (PARTITION BY doc_id ORDER BY k) AS "drop" FROM placed),
+tokened AS (SELECT doc_id, start, regexp_replace(CASE WHEN "drop" THEN regexp_replace(raw, '[#+]+$', '') ELSE raw END, '\\.$', '') AS piece FROM named),
+firsts AS (SELECT term, doc_id, min(struct_pack(s := start, e := start + length(piece))) AS f FROM (SELECT doc_id, start, piece, lower(regexp_replace(piece, '^\\.+', '.')) AS term FROM tokened) GROUP BY term, doc_id)
+SELECT post.term, post.doc_id, tf_title::INT AS tf_title, tf_content::INT AS tf_content, tf_content::INT AS n_positions, f.s::INT AS first_start, f.e::INT AS first_end
+FROM post LEFT JOIN firsts ON post.term = firsts.term AND post.doc_id = firsts.doc_id WHERE post.term IN ({', '.join(map(_lit, TERMS + TITLE_TERMS))})"""
+
+
+@query
+def phrase_df_top(spark, d):
+    t = ix.token_arrays(_pages(spark, d))
+    runs = lambda n: F.concat(X.word_ngrams(F.col("title_tokens"), n), X.word_ngrams(F.col("content_tokens"), n))
+    sized = F.explode(F.concat(*[F.arrays_zip(F.array_distinct(runs(n)).alias("phrase"), F.array_repeat(F.lit(n), F.size(F.array_distinct(runs(n)))).alias("size")) for n in (2, 3)])).alias("p")
+    return t.select(sized).groupBy("p.phrase", "p.size").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "size", "phrase").limit(100)
+
+
+SQL["phrase_df_top"] = f"""WITH {_TOK}, l AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc_id, field ORDER BY pos)),
+p AS (SELECT doc_id, token || '_' || t1 AS phrase, 2 AS size FROM l WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, token || '_' || t1 || '_' || t2, 3 FROM l WHERE t2 IS NOT NULL)
+SELECT phrase, size, count(DISTINCT doc_id) AS df FROM p GROUP BY phrase, size ORDER BY df DESC, size, phrase LIMIT 100"""
+
+
+# -- ranking ----------------------------------------------------------------------------------------------------------
+
+
+def _index(spark, d) -> ix.Index:
+    return ix.build(_pages(spark, d), languages=False)
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    return rk.top(scored.withColumn("score", F.round("score", 6)), 20).select("doc_id", "score")
+
+
+@query
+def bm25_search(spark, d):
+    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False, phrases=False))
+
+
+_BM = """3.0 * CASE WHEN tf_title = 0 OR len(tt) = 0 OR avt = 0 THEN 0 ELSE ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf_title * 2.2 / (tf_title + 1.2 * (0.25 + 0.75 * len(tt) / avt)) END
+ + CASE WHEN tf_content = 0 OR len(ct) = 0 OR ac = 0 THEN 0 ELSE ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf_content * 2.2 / (tf_content + 1.2 * (0.25 + 0.75 * len(ct) / ac)) END"""
+_ASKED = ", ".join(map(_lit, TERMS))
+_PARTS = f"""q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ({_ASKED})),
+parts AS (SELECT q.doc_id, {_BM} AS part FROM q JOIN d USING (doc_id), st)"""
+SQL["bm25_search"] = f"WITH {_POST}, {_STATS}, {_PARTS} SELECT doc_id, round(sum(part), 6) AS score FROM parts GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query
+def bm25_phrase_search(spark, d):
+    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False))
+
+
+_PHRASES = f"""pl AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc_id, field ORDER BY pos)),
+ph AS (SELECT doc_id, field, token || '_' || t1 AS phrase FROM pl WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, field, token || '_' || t1 || '_' || t2 FROM pl WHERE t2 IS NOT NULL),
+pq AS (SELECT phrase, doc_id, count(*) FILTER (field = 'title') AS tf_title, count(*) FILTER (field = 'content') AS tf_content FROM ph WHERE phrase IN ('the_of', 'of_and', 'the_of_and') GROUP BY ALL),
+pf AS (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM pq),
+pparts AS (SELECT pf.doc_id, 2.0 * ({_BM}) AS part FROM pf JOIN d USING (doc_id), st)"""
+SQL["bm25_phrase_search"] = f"WITH {_POST}, {_STATS}, {_PARTS}, {_PHRASES} SELECT doc_id, round(sum(part), 6) AS score FROM (SELECT * FROM parts UNION ALL SELECT * FROM pparts) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query
+def min_window(spark, d):
+    found = ix.lookup(ix.postings(ix.tokens(_pages(spark, d))), "term", TERMS)
+    return rk.windows(found).select("doc_id", F.col("lists").alias("n_terms"), F.col("span").alias("window_span"), "window_start")
+
+
+_STARTS = SQL["postings_tf"][len("WITH ") :].split("firsts AS")[0].rstrip().rstrip(",")
+_WINDOW = f"""pos AS (SELECT doc_id, lower(regexp_replace(piece, '^\\.+', '.')) AS term, start FROM tokened WHERE lower(regexp_replace(piece, '^\\.+', '.')) IN ({_ASKED})),
+nt AS (SELECT doc_id, count(DISTINCT term) AS n_terms FROM pos GROUP BY doc_id),
+nx AS (SELECT doc_id, start, {', '.join(f"min(start) FILTER (term = {_lit(t)}) OVER w AS m{k}, bool_or(term = {_lit(t)}) OVER (PARTITION BY doc_id) AS h{k}" for k, t in enumerate(TERMS))} FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+sp AS (SELECT doc_id, start, greatest({', '.join(f'coalesce(m{k}, start)' for k in range(len(TERMS)))}) - start AS span FROM nx WHERE {' AND '.join(f'(m{k} IS NOT NULL OR NOT h{k})' for k in range(len(TERMS)))}),
+win AS (SELECT doc_id, min(struct_pack(span := span, frm := start)) AS w FROM sp GROUP BY doc_id)"""
+SQL["min_window"] = f"WITH {_STARTS}, {_WINDOW} SELECT doc_id, n_terms::INT AS n_terms, w.span::INT AS window_span, w.frm::INT AS window_start FROM win JOIN nt USING (doc_id)"
+
+
+@query
+def proximity_search(spark, d):
+    return _ranked(rk.scores(_index(spark, d), TERMS))
+
+
+SQL["proximity_search"] = f"""WITH {_STARTS}, {_STATS}, {_PARTS}, {_PHRASES}, {_WINDOW},
+tot AS (SELECT doc_id, sum(part) AS s FROM (SELECT * FROM parts UNION ALL SELECT * FROM pparts) GROUP BY doc_id)
+SELECT doc_id, round(s * CASE WHEN n_terms >= 2 THEN 1 + 0.5 * 40.0 / (40.0 + w.span) ELSE 1.0 END, 6) AS score FROM tot LEFT JOIN nt USING (doc_id) LEFT JOIN win USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query
+def search_language_boost(spark, d):
+    """The stored language is the table's own column here."""
+    i = _index(spark, d)
+    lang = pg.Catalog(spark, d)["documents"].select("doc_id", F.col("lang").alias("language"))
+    i.meta = i.meta.drop("language").join(lang, "doc_id")
+    return _ranked(rk.scores(i, TERMS, "en", proximity=False, phrases=False))
+
+
+SQL["search_language_boost"] = f"WITH {_POST}, {_STATS}, {_PARTS} SELECT doc_id, round(sum(part * CASE WHEN lang = 'en' THEN 2.0 ELSE 1.0 END), 6) AS score FROM parts JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query
+def previews(spark, d):
+    i = _index(spark, d)
+    best = rk.top(rk.scores(i, TERMS, proximity=False, phrases=False).withColumn("score", F.round("score", 6)), 20)
+    return rk.hits(i, best).select("doc_id", "url", "title", "preview", "score")
+
+
+SQL["previews"] = f"""WITH {_STARTS}, {_STATS}, {_PARTS}, {_WINDOW}, tot AS (SELECT doc_id, round(sum(part), 6) AS score FROM parts GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20),
+x AS (SELECT tot.*, d.title, d.content, 'doc://' || source || '/' || doc_id AS url, w.frm AS f, w.frm + w.span AS e FROM tot JOIN d USING (doc_id) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) LEFT JOIN win USING (doc_id)),
+y AS (SELECT *, greatest(0, f - 60) AS a, least(length(content), e + 140) AS b FROM x),
+z AS (SELECT *, CASE WHEN a > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(content, (a + 1)::INT, (b - a)::INT), '\\s+', ' ', 'g')) || CASE WHEN b < length(content) THEN '…' ELSE '' END AS p,
+  trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c FROM y)
+SELECT doc_id, url, title, CASE WHEN f IS NULL THEN (CASE WHEN length(c) <= 200 THEN c ELSE substr(c, 1, 200) || '…' END) ELSE (CASE WHEN length(p) <= 300 THEN p ELSE substr(p, 1, 300) || '…' END) END AS preview, score FROM z"""
+
+
+# -- language ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def char_gram_profile(spark, d):
+    r = gram_ranks(pg.Catalog(spark, d)["documents"].select("doc_id", "text"))
+    return r.groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.max("n").alias("most"), F.min_by("gram", "rnk").alias("first_gram"), F.max_by("gram", "rnk").alias("last_gram"), F.sum(F.col("rnk") * F.length("gram")).alias("checksum"))
+
+
+_GRAMS = """wd AS (SELECT doc_id, '_' || word || '_' AS w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY ALL),
+gr AS (SELECT doc_id, substr(w, i, n) AS gram, sum(k)::BIGINT AS n FROM wd, unnest(range(1, 4)) AS a(n), unnest(range(1, 400)) AS b(i) WHERE i + n - 1 <= length(w) GROUP BY doc_id, gram),
+ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS rnk FROM gr) WHERE rnk < 320)"""
+SQL["char_gram_profile"] = f"WITH {_GRAMS} SELECT doc_id, count(*) AS n_grams, max(n) AS most, min_by(gram, rnk) AS first_gram, max_by(gram, rnk) AS last_gram, sum(rnk * length(gram))::BIGINT AS checksum FROM ranks GROUP BY doc_id"
+
+
+@query
+def detect_language(spark, d):
+    return detect_languages(pg.Catalog(spark, d)["documents"].select("doc_id", "text"))
+
+
+_VALUES = ", ".join(f"({_lit(lang)}, {k}, {_lit(g)}, {r})" for k, (lang, t) in enumerate(SAMPLES.items()) for g, r in profile(t).items())
+SQL["detect_language"] = f"""WITH {_GRAMS}, lp(lang, k, gram, r) AS (VALUES {_VALUES}), langs AS (SELECT DISTINCT lang, k FROM lp),
+ds AS (SELECT doc_id, langs.lang, langs.k, count(*) AS grams, sum(coalesce(abs(rnk - r), 320))::BIGINT AS dist FROM ranks CROSS JOIN langs LEFT JOIN lp ON lp.lang = langs.lang AND lp.gram = ranks.gram GROUP BY ALL),
+o AS (SELECT *, row_number() OVER w AS p, lead(dist) OVER w AS second FROM ds WINDOW w AS (PARTITION BY doc_id ORDER BY dist, k))
+SELECT documents.doc_id, CASE WHEN grams >= 4 THEN o.lang ELSE 'und' END AS language, coalesce(grams >= 4 AND second > 0 AND second - dist >= 0.08 * second, false) AS confident FROM documents LEFT JOIN o ON o.doc_id = documents.doc_id AND p = 1"""
+
+
+# -- vocabulary -------------------------------------------------------------------------------------------------------
+
+
+def _words(spark, values) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], "word string")
+
+
+@query
+def missing_terms(spark, d):
+    return se.missing(_vocab(spark, d), _words(spark, TYPOS + TERMS).withColumnRenamed("word", "term"))
+
+
+_TYPOS = ", ".join(f"({_lit(t)})" for t in TYPOS)
+SQL["missing_terms"] = f"WITH {_VOCAB}, a(term) AS (VALUES {_TYPOS}, {', '.join(f'({_lit(t)})' for t in TERMS)}) SELECT DISTINCT term FROM a WHERE term NOT IN (SELECT term FROM vocab)"
+
+
+def _ascii(vocab: DataFrame) -> DataFrame:
+    return vocab.where(~F.regexp_like("term", F.lit(r"[^\x00-\x7F]")))
+
+
+@query
+def vocab_within_distance(spark, d):
+    """Terms of ASCII letters, whose distances both engines count alike."""
+    return se.within(_ascii(_vocab(spark, d)), _words(spark, TYPOS))
+
+
+_NEAR = f"near AS (SELECT word, term, damerau_levenshtein(word, term) AS distance FROM (VALUES {_TYPOS}) q(word), vocab WHERE NOT regexp_matches(term, '[^\\x00-\\x7F]') AND damerau_levenshtein(word, term) <= 2)"
+SQL["vocab_within_distance"] = f"WITH {_VOCAB}, {_NEAR} SELECT word, term, distance::INT AS distance FROM near"
+
+
+@query
+def spell_correct(spark, d):
+    return se.spell(_ascii(_vocab(spark, d)), _words(spark, TYPOS))
+
+
+SQL["spell_correct"] = f"""WITH {_VOCAB}, {_NEAR}, w AS (SELECT *, 10 * distance - 2 * (SELECT count(*) FROM unnest(range(1, 40)) AS t(i) WHERE i <= least(length(word), length(term)) AND substr(word, 1, i) = substr(term, 1, i)) AS weight FROM near WHERE distance > 0)
+SELECT word, term AS correction, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY weight, distance, term) AS k FROM w) WHERE k = 1"""
+
+
+@query
+def prefix_top10(spark, d):
+    return ix.prefix_top(_vocab(spark, d)).where(F.length("prefix") <= 3)
+
+
+SQL["prefix_top10"] = f"""WITH {_VOCAB}, p AS (SELECT substr(term, 1, i) AS prefix, term, df, row_number() OVER (PARTITION BY substr(term, 1, i) ORDER BY df DESC, term) AS rnk FROM vocab, unnest([1, 2, 3]) AS t(i) WHERE i <= length(term))
+SELECT prefix, term, df, rnk::INT AS rnk FROM p WHERE rnk <= 10"""
+
+
+@query
+def fuzzy_autocomplete(spark, d):
+    return se.fuzzy_words(ix.prefix_top(_vocab(spark, d)), PREFIX, 1)
+
+
+@query
+def title_match(spark, d):
+    return se.match_titles(ix.titles(_pages(spark, d)), PREFIX)
+
+
+_TITLES = f"titles AS (SELECT title, lower({_UNACCENT % 'title'}) AS folded FROM (SELECT min_by(title, doc_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents) WHERE trim(title) <> '' GROUP BY upper(title)))"
+SQL["title_match"] = f"WITH {_TITLES} SELECT title, CASE WHEN starts_with(folded, '{PREFIX}') THEN 0 ELSE 1 END AS rank FROM titles WHERE starts_with(folded, '{PREFIX}') OR regexp_matches(folded, '[^\\p{{L}}\\p{{Nd}}]{PREFIX}')"
+
+
+@query
+def autocomplete_hybrid(spark, d):
+    vocab = _vocab(spark, d)
+    return se.autocomplete(ix.Index(None, None, None, None, None, None, vocab, ix.prefix_top(vocab), ix.titles(_pages(spark, d))), PREFIX)
+
+
+@query
+def distinct_titles_ci(spark, d):
+    return ix.titles(_pages(spark, d))
+
+
+SQL["distinct_titles_ci"] = f"WITH {_TITLES} SELECT title, folded FROM titles"
+
+
+# -- pages ------------------------------------------------------------------------------------------------------------
+
+
+@query
+def page_titles(spark, d):
+    return pg.Catalog(spark, d)["pages"].select("page_id", H.title_expr(F.col("html")).alias("title"))
+
+
+def _unescaped(c: str) -> str:
+    for name, by in H.ENTITIES:
+        c = f"replace({c}, {_lit(name)}, {_lit(by)})"
+    return c
+
+
+SQL["page_titles"] = "SELECT page_id, trim(" + _unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ") AS title FROM pages"
+
+
+@query
+def page_text(spark, d):
+    own = pg.Catalog(spark, d)["pages"].select("page_id", H.text_expr(F.col("html")).alias("content"))
+    return own.select("page_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+SQL["page_text"] = (
+    "SELECT page_id, length(c)::INT AS n_chars, md5(c) AS digest FROM (SELECT page_id, trim("
+    + _unescaped("regexp_replace(regexp_extract(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?is)<!--.*?-->', '', 'g'), '(?is)<body[^>]*>(.*)', 1), '(?s)<[^>]*>', '', 'g')")
+    + ") AS c FROM pages)"
+)
+
+
+@query
+def page_text_parsed(spark, d):
+    own = pg.from_html(pg.Catalog(spark, d)["pages"])
+    return own.select(F.col("doc_id").alias("page_id"), "title", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+@query
+def page_links(spark, d):
+    own = pg.links(pg.Catalog(spark, d)["pages"])
+    return own.groupBy("src_url", "dst_url").agg(F.count("*").alias("n"))
+
+
+_LINKS = """hr AS (SELECT page_id, url AS src_url, unnest(regexp_extract_all(html, '(?i)<a [^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+ln AS (SELECT src_url, regexp_extract(CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN regexp_extract(src_url, '^(https?://[^/?#]*)', 1) || href END, '(?i)^(https?://[^?#]*)', 1) AS dst_url FROM hr),
+edges AS (SELECT * FROM ln WHERE dst_url <> '')"""
+SQL["page_links"] = f"WITH {_LINKS} SELECT src_url, dst_url, count(*) AS n FROM edges GROUP BY ALL"
+
+
+@query
+def canonical_urls(spark, d):
+    return pg.Catalog(spark, d)["pages"].select("page_id", H.canonical_expr(F.col("url"), F.col("url")).alias("canonical"), X.url_escape(F.col("url")).alias("escaped"))
+
+
+SQL["canonical_urls"] = "SELECT page_id, regexp_extract(url, '(?i)^(https?://[^?#]*)', 1) AS canonical, url_encode(url) AS escaped FROM pages"
+
+
+@query
+def crawl_frontier(spark, d):
+    """A walk of two levels from the first ten pages; a page's links are known whatever its own query string."""
+    raw = pg.Catalog(spark, d)["pages"]
+    seeds = raw.where("page_id < 10").select(H.canonical_expr(F.col("url"), F.col("url")).alias("url"))
+    visited, _ = pg.crawl(seeds, pg.table_fetcher(raw), depth=1, options=pg.CrawlOptions(max_pages=1_000_000, capacity=1_000_000))
+    return visited.select("url_key", "depth")
+
+
+SQL["crawl_frontier"] = f"""WITH {_LINKS}, g AS (SELECT DISTINCT regexp_extract(src_url, '(?i)^(https?://[^?#]*)', 1) AS s, dst_url AS t FROM edges),
+c0 AS (SELECT DISTINCT lower(regexp_extract(url, '(?i)^(https?://[^?#]*)', 1)) AS u FROM pages WHERE page_id < 10),
+c1 AS (SELECT DISTINCT lower(t) AS u FROM g WHERE s IN (SELECT regexp_extract(url, '(?i)^(https?://[^?#]*)', 1) FROM pages WHERE page_id < 10) AND lower(t) NOT IN (SELECT u FROM c0))
+SELECT u AS url_key, 0 AS depth FROM c0 UNION ALL SELECT u, 1 FROM c1"""
+
+
+# -- second engine, evaluation, upkeep --------------------------------------------------------------------------------
+
+
+@query
+def lucene_text_search(spark, d):
+    own = st.scores(_pages(spark, d), "thonre the")
+    return own.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query
+def lucene_phrase_slop(spark, d):
+    return st.phrase_matches(st.tokens(_pages(spark, d)), ["the", "of"], 2)
+
+
+@query
+def lucene_did_you_mean(spark, d):
+    r = st.search(_pages(spark, d), "thonr eand", 10)
+    return spark.createDataFrame([(r.query, r.did_you_mean[1] if r.did_you_mean else None, [x.doc_id for x in r.results], [x.preview for x in r.results])], "query string, corrected string, doc_ids array<long>, previews array<string>")
+
+
+@query
+def lucene_autocomplete(spark, d):
+    return st.autocomplete(ix.titles(_pages(spark, d)).select("title"), PREFIX)
+
+
+@query
+def search_corrected(spark, d):
+    r = se.search(_index(spark, d), "thonre zzadnq", 10)
+    return spark.createDataFrame([(r.query, r.did_you_mean[1] if r.did_you_mean else None, [x.doc_id for x in r.results])], "query string, corrected string, doc_ids array<long>")
+
+
+@query
+def rank_overlap(spark, d):
+    """Ten best documents for each language: longest text against most distinct words."""
+    t = ix.token_arrays(_pages(spark, d)).join(pg.Catalog(spark, d)["documents"].select("doc_id", "lang", "n_chars"), "doc_id")
+    a = t.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("k"), "doc_id"))), 1, 10).alias("a"), F.slice(F.array_sort(F.collect_list(F.struct((-F.size(F.array_distinct("content_tokens"))).alias("k"), "doc_id"))), 1, 10).alias("b"))
+    return a.select("lang", F.round(ev.jaccard_expr(F.col("a.doc_id"), F.col("b.doc_id")), 6).alias("overlap"))
+
+
+SQL["rank_overlap"] = f"""WITH {_D}, r AS (SELECT d.doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY len(list_distinct(ct)) DESC, d.doc_id) AS b FROM d JOIN documents USING (doc_id))
+SELECT lang, round(count(*) FILTER (a <= 10 AND b <= 10) / count(*) FILTER (a <= 10 OR b <= 10), 6) AS overlap FROM r GROUP BY lang"""
+
+
+@query
+def latency_percentiles(spark, d):
+    e = pg.Catalog(spark, d)["events"]
+    return e.groupBy("event_type").agg(ev.percentile_expr("value", 0.5).alias("p50"), ev.percentile_expr("value", 0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+SQL["latency_percentiles"] = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type"
+
+
+@query
+def upsert_replace(spark, d):
+    """The vocabulary after every tenth page came again with its title as its content."""
+    pages = _pages(spark, d)
+    batch = pages.where("doc_id % 10 = 0").withColumn("content", F.col("title"))
+    posts = lambda p: ix.token_arrays(p).select("doc_id", F.explode(F.array_distinct(F.concat("title_tokens", "content_tokens"))).alias("term"))
+    return ix.vocabulary(ix.replace(posts(pages), posts(batch), batch)).orderBy(F.desc("df"), "term").limit(100)
+
+
+SQL["upsert_replace"] = f"WITH {_TOK}, v AS (SELECT token AS term, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id % 10 <> 0 OR field = 'title' GROUP BY token) SELECT term, df FROM v ORDER BY df DESC, term LIMIT 100"
+
+
+@query
+def text_functions(spark, d):
+    """Scalar functions on every title and text."""
+    p = _pages(spark, d)
+    t = F.col("title")
+    return p.select(
+        "doc_id", X.fold(t).alias("folded"), X.truncate(X.collapse(F.col("content")), 80).alias("short"), X.last_word(t).alias("last_word"), X.replace_last_word(t, F.lit("x")).alias("replaced"),
+        X.common_prefix_length(X.fold(t), F.lit("the of")).alias("common"), D.levenshtein(F.substring(F.regexp_replace(t, r"[^ -~]", ""), 1, 10), F.lit("the of and")).alias("distance"), F.size(X.split_words(t)).alias("n_words"),
+    )
+
+
+SQL["text_functions"] = f"""WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS t, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)
+SELECT doc_id, lower({_UNACCENT % 't'}) AS folded, CASE WHEN length(c) <= 80 THEN c ELSE substr(c, 1, 80) || '…' END AS short, string_split(t, ' ')[-1] AS last_word, substr(t, 1, length(t) - length(string_split(t, ' ')[-1])) || 'x' AS replaced,
+(SELECT count(*) FROM unnest(range(1, 7)) AS r(i) WHERE i <= length(t) AND substr(lower({_UNACCENT % 't'}), 1, i) = substr('the of', 1, i))::INT AS common, levenshtein(lower(substr(regexp_replace(t, '[^ -~]', '', 'g'), 1, 10)), 'the of and')::INT AS distance,
+len(list_filter(regexp_split_to_array(t, '[\\x00-/:-@\\[-`{{-\\x7F]+'), lambda x: x <> ''))::INT AS n_words FROM p"""
