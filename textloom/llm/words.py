@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from textloom.llm.common import trim
 from textloom.llm.hashstore import mix
 
 _ODD = 0x9E3779B97F4A7C15
@@ -38,7 +39,9 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Lower-cased words: the text that each stands in, its place in the array of distinct words, and that array."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # a copy without an offset: ascii_lower of pyarrow 23 reads a slice of large strings from the wrong place
+    whole = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     real = pc.not_equal(flat, "")
@@ -55,3 +58,4 @@ def pieces(batches, together: int, column: str = "text"):
             if size > together or i + 1 == b.num_rows:
                 yield b.slice(begin, i + 1 - begin)
                 begin, size = i + 1, 0
+        trim()
