@@ -66,7 +66,7 @@ def value(table: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray
     if not len(table[name]):
         return np.zeros(len(at), dtype=np.int64)
     v = table[name][np.maximum(at, 0)].astype(np.int64)
-    full = np.flatnonzero(v == 255)
+    full = np.flatnonzero((v == 255) & (at >= 0))
     if len(full):
         v[full] = table[f"{name}+value"][np.searchsorted(table[f"{name}+at"], at[full].astype(np.uint64))]
     return np.where(at >= 0, v, 0)

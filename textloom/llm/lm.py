@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashstore as hs
-from textloom.llm.common import scratch, settled, table
+from textloom.llm.common import lean_batches, scratch, settled, table, tidy
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, FLUSH, BUCKET, HOT = 6 << 20, 3_000_000, 2_000_000, 4
+TOGETHER, FLUSH, BUCKET, HOT = 4 << 20, 2_000_000, 2_000_000, 4
 BEGIN, UNKNOWN = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
 BLOBS = "bucket int, kind string, blob binary"
@@ -288,10 +288,11 @@ def _discounts(counts: np.ndarray) -> list[float]:
 def train(texts: DataFrame) -> dict:
     """What workers need to use the model; the model itself lies in the shared folder."""
     spark = texts.sparkSession
+    lean_batches(spark)
     base = scratch(spark, "lm")
     word_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("text")
-    said = settled(texts.mapInArrow(_count_words(word_buckets), BLOBS).groupBy("bucket").applyInArrow(_keep_words(base, word_buckets), BLOBS), "lm-words").collect()
+    said = settled(texts.mapInArrow(_count_words(word_buckets), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_words(base, word_buckets)), BLOBS), "lm-words").collect()
     counts = {r["bucket"]: hs.unpack(r["blob"])[0] for r in said if r["kind"] == "n"}
     words, tokens, ends = (int(sum(c[i] for c in counts.values())) for i in range(3))
     buckets = -(-tokens // BUCKET) or 1
@@ -300,10 +301,10 @@ def train(texts: DataFrame) -> dict:
     share = np.concatenate([n for _, n in often] or [np.zeros(0)])
     hot = np.sort(np.append(ids[share * HOT * buckets > tokens], [BEGIN] if ends * HOT * buckets > tokens else []).astype(np.uint32))
     model = {"base": base, "word_buckets": word_buckets, "word_files": set(counts), "buckets": buckets, "hot": hot if buckets > 1 else hot[:0], "words": words, "tokens": tokens}
-    grams = settled(texts.mapInArrow(_count_trigrams(model), BLOBS).groupBy("bucket").applyInArrow(_keep_trigrams(model), BLOBS), "lm-grams")
-    frequent = settled(grams.where("kind = 'h'").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(_keep_frequent(model), BLOBS), "lm-frequent")
+    grams = settled(texts.mapInArrow(_count_trigrams(model), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_trigrams(model)), BLOBS), "lm-grams")
+    frequent = settled(grams.where("kind = 'h'").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(tidy(_keep_frequent(model)), BLOBS), "lm-frequent")
     lefts = grams.where("kind = 'u'").unionByName(frequent.where("kind = 'u'"))
-    single = settled(lefts.groupBy("bucket").applyInArrow(_keep_unigrams(model), BLOBS), "lm-left")
+    single = settled(lefts.groupBy("bucket").applyInArrow(tidy(_keep_unigrams(model)), BLOBS), "lm-left")
     small = [*grams.where("kind IN ('2', '3')").collect(), *frequent.where("kind IN ('2', 'v')").collect(), *single.collect()]
     got = lambda kind: [hs.unpack(r["blob"]) for r in small if r["kind"] == kind]
     sums = {k: sum((x[0] for x in got(k)), np.zeros(6 if k == "1" else 4, dtype=np.int64)) for k in "123"}
