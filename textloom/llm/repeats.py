@@ -7,8 +7,8 @@ Three scans of the texts in the workers, and no shuffle of texts:
    written to the shared folder as sorted arrays.
 2. Only the surroundings of repeated anchors (up to 68 bytes on each side) can hold repeated windows. They are sent to
    their anchor's bucket, equal ones once for a task. Whole copies of an earlier text are known already and sent nothing.
-   In a bucket, prefix doubling ranks all positions by their first 8, 16, 32, 64 and at last 100 bytes, as in sorting a
-   suffix array; positions of one rank are one class of equal windows, and all but the earliest are removed.
+   In a bucket, all windows are sorted by 128-bit digests of their 100 bytes; equal ones are one class, and all but the
+   earliest are removed.
 3. The removed ranges, merged by document, are looked up from the shared folder, and what remains is hashed.
 
 The method named for this operator, matching statistics against a run-length compressed BWT (an r-index), can't give these
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashstore as hs
-from textloom.llm.common import scratch, settled, table
+from textloom.llm.common import lean_batches, scratch, settled, table, tidy
 from textloom.llm.words import pieces, powers
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-TOGETHER, SLICE, FLUSH = 3 << 20, 3 << 20, 60_000
+TOGETHER, SLICE, FLUSH = 2 << 20, 2 << 20, 60_000
 LAST = np.iinfo(np.int64).max
 BLOBS = "bucket int, kind string, blob binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
@@ -192,16 +192,25 @@ def _later_copies(model: dict, docs: Documents) -> np.ndarray:
 # -- surroundings -----------------------------------------------------------------------------------------------------------
 
 
-def _earliest(own: np.ndarray, order: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal rows of bytes: the earliest by order (a lexsort key), and those that are not."""
-    rank = np.empty(len(own), dtype=np.int64)
-    rank[np.lexsort(order)] = np.arange(len(own))
-    code = np.ascontiguousarray(own).view(np.dtype((np.void, own.shape[1]))).ravel()
-    _, inverse = np.unique(code, return_inverse=True)
-    least = np.full(inverse.max(initial=-1) + 1, len(own), dtype=np.int64)
-    np.minimum.at(least, inverse, rank)
-    first = rank == least[inverse]
-    return np.flatnonzero(first), np.flatnonzero(~first)
+def _digests(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row of 64-bit words."""
+    one, two = np.zeros(len(words), dtype=np.uint64), np.ones(len(words), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words.shape[1]):
+            one = hs.mix(one ^ words[:, k])
+            two = hs.mix(two + words[:, k] * np.uint64(0xD6E8FEB86659FD93))
+    return one, two
+
+
+def _earliest(body: np.ndarray, left: np.ndarray, right: np.ndarray, order: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal surroundings: the earliest by order (a lexsort key), and those that are not."""
+    one, two = _digests(np.ascontiguousarray(body).view(np.uint64))
+    place = hs.mix(left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64) + np.uint64(1))
+    at = np.lexsort((*order, two, one ^ place))
+    a, b = (one ^ place)[at], two[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.sort(at[new]), np.sort(at[~new])
 
 
 WIDE = 2 * (SPAN - 1) + GRAM
@@ -216,11 +225,10 @@ def _second_scan(model: dict):
 
         def flush():
             code, key, ids, start, left, right, body = (np.concatenate(c) for c in zip(*held, strict=True))
-            marked = np.concatenate([body, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
-            first, later = _earliest(marked, (start, key, ids))
+            first, later = _earliest(body, left, right, (start, key, ids))
             # a copy in this task is removed here; it holds nothing that its earliest one doesn't hold
             whole = later[left[later] + right[later] + GRAM >= LENGTH]
-            whole = whole[~_same_place(whole, first, marked, key, start)]
+            whole = whole[~_same_place(whole, first, key, start)]
             out = _by_bucket("r", (key[whole] % np.uint64(buckets)).astype(np.int64), key[whole], start[whole], start[whole] + left[whole] + right[whole] + GRAM)
             first = first[np.argsort(code[first], kind="stable")]
             at = (code[first] % np.uint64(buckets)).astype(np.int64)
@@ -258,7 +266,7 @@ def _second_scan(model: dict):
     return run
 
 
-def _same_place(later: np.ndarray, first: np.ndarray, marked, key, start) -> np.ndarray:
+def _same_place(later: np.ndarray, first: np.ndarray, key, start) -> np.ndarray:
     """Which of later are the same place of the same document as an earliest one (rows that agree in doc_id and text)."""
     if not len(later):
         return np.zeros(0, dtype=bool)
@@ -283,31 +291,24 @@ def _contexts(blob):
 
 
 def window_classes(body: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """(row, offset, class) of all windows inside the rows: rank by 8 bytes, then by doubling, then by 64 + 36 further on."""
-    flat = np.concatenate([body.ravel(), np.zeros(LENGTH, dtype=np.uint8)])
-    rank = np.zeros(body.size, dtype=np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | flat[k : k + body.size]
-    rank = _dense(rank)
-    reach = 8
-    while reach * 2 <= LENGTH:
-        ahead = np.concatenate([rank[reach:], np.zeros(reach, dtype=rank.dtype)])
-        rank = _dense((rank << np.uint64(32)) | ahead)
-        reach *= 2
-    row = np.repeat(np.arange(len(body)), np.maximum(left + right + GRAM - LENGTH + 1, 0))
-    first = np.cumsum(np.maximum(left + right + GRAM - LENGTH + 1, 0)) - np.maximum(left + right + GRAM - LENGTH + 1, 0)
-    offset = np.arange(len(row)) - first[row]
+    """(row, offset, class) of all windows inside the rows. Classes are numbered in the order of the windows' digests."""
+    flat = body.ravel().astype(np.uint64) + np.uint64(1)
+    several = np.maximum(left + right + GRAM - LENGTH + 1, 0)
+    row = np.repeat(np.arange(len(body)), several)
+    offset = np.arange(len(row)) - (np.cumsum(several) - several)[row]
     at = row * WIDE + (SPAN - 1 - left)[row] + offset
-    return row, offset, _dense((rank[at] << np.uint64(32)) | rank[at + LENGTH - reach])
-
-
-def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    own = keys[order]
-    new = np.concatenate([[False], own[1:] != own[:-1]]) if len(own) else np.zeros(0, dtype=bool)
-    out = np.empty(len(keys), dtype=np.uint64)
-    out[order] = np.cumsum(new).astype(np.uint64)
-    return out
+    digests = []
+    with np.errstate(over="ignore"):
+        for base in (_ODD, 0xD1342543DE82EF95):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(flat * powers(base, len(flat)))])
+            digests.append((sums[at + LENGTH] - sums[at]) * powers(pow(base, -1, 1 << 64), len(flat) + 1)[at])
+    order = np.lexsort((digests[1], digests[0])) if len(at) else at
+    new = np.zeros(len(at), dtype=bool)
+    for d in digests:
+        new[1:] |= d[order][1:] != d[order][:-1]
+    group = np.empty(len(at), dtype=np.int64)
+    group[order] = np.cumsum(new)
+    return row, offset, group
 
 
 def _mark(buckets: int):
@@ -316,10 +317,9 @@ def _mark(buckets: int):
         key, ids, start, left, right, body = (np.concatenate(c) for c in zip(*parts, strict=True))
         left, right = left.astype(np.int64), right.astype(np.int64)
         del parts
-        marked = np.concatenate([body, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
-        first, later = _earliest(marked, (start, key, ids))
+        first, later = _earliest(body, left, right, (start, key, ids))
         whole = later[(left + right + GRAM >= LENGTH)[later]]
-        whole = whole[~_same_place(whole, first, marked, key, start)]
+        whole = whole[~_same_place(whole, first, key, start)]
         cut_key, cut_from, cut_to = [key[whole]], [start[whole]], [(start + left + right + GRAM)[whole]]
         # one number for each (document, start): equal places are no copies of each other
         row, offset, group = window_classes(body[first], left[first], right[first])
@@ -330,8 +330,8 @@ def _mark(buckets: int):
             place = np.empty(len(row), dtype=np.int64)
             place[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
             least = np.full(int(group.max()) + 1, len(row), dtype=np.int64)
-            np.minimum.at(least, group.astype(np.int64), place)
-            gone = np.flatnonzero(place > least[group.astype(np.int64)])
+            np.minimum.at(least, group, place)
+            gone = np.flatnonzero(place > least[group])
             if len(gone):
                 run_first = np.flatnonzero(np.concatenate([[True], (row[gone][1:] != row[gone][:-1]) | (offset[gone][1:] != offset[gone][:-1] + 1)]))
                 run_last = np.append(run_first[1:] - 1, len(gone) - 1)
@@ -371,15 +371,16 @@ def _keep_cuts(base: str):
 def fit(documents: DataFrame) -> dict:
     """Finds all ranges to remove; they lie in the shared folder, and workers need this to use them."""
     spark = documents.sparkSession
+    lean_batches(spark)
     base = scratch(spark, "repeats")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
-    files = settled(documents.mapInArrow(_first_scan(buckets), BLOBS).groupBy("bucket").applyInArrow(_keep_repeated(base), BLOBS), "twice")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 << 20))
+    files = settled(documents.mapInArrow(_first_scan(buckets), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_repeated(base)), BLOBS), "twice")
     model = {"base": base, "buckets": buckets, "files": {r.bucket for r in files.select("bucket").collect()}}
     around = settled(documents.mapInArrow(_second_scan(model), BLOBS), "around")
-    cuts = around.where("kind = 'r'").unionByName(around.where("kind = 'c'").groupBy("bucket").applyInArrow(_mark(buckets), BLOBS))
-    kept = settled(cuts.groupBy("bucket").applyInArrow(_keep_cuts(base), BLOBS), "cuts")
+    cuts = around.where("kind = 'r'").unionByName(around.where("kind = 'c'").groupBy("bucket").applyInArrow(tidy(_mark(buckets)), BLOBS))
+    kept = settled(cuts.groupBy("bucket").applyInArrow(tidy(_keep_cuts(base)), BLOBS), "cuts")
     return model | {"cut_files": {r.bucket for r in kept.select("bucket").collect()}}
 
 
