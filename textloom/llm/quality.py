@@ -205,7 +205,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
     present = documents.where(F.col("doc_id").isNotNull()).select("doc_id")
     known = known.join(present, "doc_id", "left_semi")
     chosen = known.where("quality = 0").orderBy(draw, "doc_id").limit(PER_CLASS).unionByName(known.where("quality = 1").orderBy(draw, "doc_id").limit(PER_CLASS))
-    sample = documents.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_gather, "quality int, x binary")
+    # broadcast: at most 2 * PER_CLASS rows; of rows that share a doc_id one text, so that the sample stays bounded
+    sample = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text").mapInArrow(_gather, "quality int, x binary")
     rows = sample.collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
     by = [[np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows if r["quality"] == q] for q in (0, 1)]

@@ -74,18 +74,18 @@ class Documents:
             return hs.mix(hs.mix(self.ids.astype(np.uint64)) + self.digests[:, 0])
 
 
-def anchors(raw: list[bytes], who: list[int]):
+def anchors(raw: list[bytes], who: list[int], cut: int = SLICE):
     """(hash, document, position, data, local position) of the anchors of documents; long ones by overlapping slices."""
     parts = []
     for k in who:
         n = len(raw[k])
-        for begin in range(0, max(n - LENGTH + 1, 0), SLICE):
-            low, high = max(begin - LENGTH, 0), min(begin + SLICE + 3 * LENGTH, n)
-            parts.append((k, low, begin, min(begin + SLICE, n - LENGTH + 1), raw[k][low:high]))
+        for begin in range(0, max(n - LENGTH + 1, 0), cut):
+            low, high = max(begin - LENGTH, 0), min(begin + cut + 3 * LENGTH, n)
+            parts.append((k, low, begin, min(begin + cut, n - LENGTH + 1), raw[k][low:high]))
     group: list = []
     size = 0
     for p in [*parts, None]:
-        if p is None or size + len(p[4]) > 2 * SLICE and group:
+        if p is None or size + len(p[4]) > 2 * cut and group:
             if group:
                 yield _scan(group)
             group, size = [], 0
@@ -127,7 +127,7 @@ def _first_scan(buckets: int):
             out = _by_bucket("d", (docs.digests[long, 0] % np.uint64(buckets)).astype(np.int64), docs.digests[long, 0], docs.digests[long, 1], docs.ids[long])
             # equal texts of this piece count once: the rest of a copy is no news
             _, first = np.unique(docs.digests[long, 0], return_index=True)
-            codes = [x[0] for x in anchors(docs.raw, long[np.sort(first)].tolist())]
+            codes = [x[0] for x in anchors(docs.raw, long[np.sort(first)].tolist(), SLICE)]
             if codes:
                 code, times = np.unique(np.concatenate(codes), return_counts=True)
                 # with the digest of the text it stands in, an anchor of copies in other pieces is told from a repeated one
@@ -243,7 +243,7 @@ def _second_scan(model: dict):
             docs = Documents(b)
             todo = np.flatnonzero((docs.sizes >= LENGTH) & ~_later_copies(model, docs))
             keys = docs.keys()
-            for code, doc, pos, data, at, low, high in anchors(docs.raw, todo.tolist()):
+            for code, doc, pos, data, at, low, high in anchors(docs.raw, todo.tolist(), SLICE):
                 twice = np.zeros(len(code), dtype=bool)
                 for _, who, spot in _spots(model["base"], model["files"], buckets, "twice.anchor", code):
                     twice[who] = spot >= 0
