@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashstore as hs
-from textloom.llm.common import settled, table
+from textloom.llm.common import lean_batches, settled, table, tidy, trim
 from textloom.llm.components import components
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, FLUSH, BUCKET = 6 << 20, 2_000_000, 2_000_000
+TOGETHER, BUCKET = 4 << 20, 2_000_000
 WIDTH, PERCENT, RATIO, SLACK, HOT = 5, 80, 1.25, 1.3, 64
 
 
@@ -74,16 +74,19 @@ def _deal(width: int, buckets: int):
     """Shingles of chunks of documents, by hash range; for each chunk also its documents and their sizes."""
 
     def run(batches):
-        for b in pieces(batches, TOGETHER):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()  # a second attempt reads the same rows under the same number
+        for turn, b in enumerate(pieces(batches, TOGETHER)):
             code, who = shingles(b.column("text"), width)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            chunk = hashlib.blake2b(ids.tobytes(), digest_size=12).hexdigest()
+            chunk = f"{part}/{turn}"
             order = np.argsort(code)
             code, who = code[order], who[order].astype(np.uint16 if b.num_rows < 1 << 16 else np.uint32)
             # the range of a hash is its bucket; 32 bits within the range are enough here, chance hits only keep more sets
             at = ((code >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             low = ((code >> np.uint64(8)) * np.uint64(buckets) >> np.uint64(24)).astype(np.uint32)
-            rows = [(-1, chunk, hs.pack(ids, np.bincount(who, minlength=b.num_rows).astype(np.uint32)), b"")]
+            rows = [((part * 131 + turn) % buckets, chunk, hs.pack(ids, np.bincount(who, minlength=b.num_rows).astype(np.uint32)), None)]
             rows += [(k, chunk, None, hs.pack(np.diff(low[i:j], prepend=np.uint32(0)), who[i:j]) + b.num_rows.to_bytes(4, "little")) for k, i, j in _cuts(at)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "ids", "blob"])
 
@@ -91,7 +94,10 @@ def _deal(width: int, buckets: int):
 
 
 def _shared(own: pa.Table) -> pa.Table:
-    """For each chunk: how many of each document's shingles in this range a second document has."""
+    """For each chunk: how many of each document's shingles in this range a second document has. What tells a chunk's documents passes through."""
+    heads, own = own.filter(own.column("ids").is_valid()), own.filter(own.column("ids").is_null())
+    if not own.num_rows:
+        return heads.select(["chunk", "ids", "blob"])
     blobs = [x.as_buffer() for x in own.column("blob")]
     parts = [hs.unpack(x[: x.size - 4]) for x in blobs]
     sizes = [int.from_bytes(x[x.size - 4 :].to_pybytes(), "little") for x in blobs]
@@ -106,7 +112,8 @@ def _shared(own: pa.Table) -> pa.Table:
         hit = twice[at : at + len(p[1])]
         at += len(p[1])
         out.append(hs.pack(np.bincount(p[1][hit], minlength=n).astype(np.uint32)))
-    return pa.table({"chunk": own.column("chunk").combine_chunks(), "ids": pa.nulls(len(out), pa.binary()), "blob": pa.array(out, pa.binary())})
+    counts = pa.table({"chunk": own.column("chunk").combine_chunks(), "ids": pa.nulls(len(out), pa.binary()), "blob": pa.array(out, pa.binary())})
+    return pa.concat_tables([heads.select(["chunk", "ids", "blob"]).cast(counts.schema), counts])
 
 
 def _survivors(percent: int):
@@ -126,19 +133,11 @@ def _survivors(percent: int):
 
 def candidates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, may: whether enough of its shingles occur elsewhere for any partner."""
-    spark = documents.sparkSession
     scanned = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
     total = scanned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = scanned.mapInArrow(_deal(width, max(1, -(-total // 6 // BUCKET))), _PART)
-    dealt = settled_shuffle(dealt)
-    counts = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, "chunk string, ids binary, blob binary")
-    heads = dealt.where("bucket < 0").select("chunk", "ids", "blob")
-    return counts.unionByName(heads).groupBy("chunk").applyInArrow(_survivors(percent), "doc_id long, n_shingles long, may boolean")
-
-
-def settled_shuffle(df: DataFrame) -> DataFrame:
-    """Read by two branches: kept in the shared folder rather than computed twice."""
-    return settled(df, "dealt")
+    counts = dealt.groupBy("bucket").applyInArrow(tidy(_shared), "chunk string, ids binary, blob binary")
+    return counts.groupBy("chunk").applyInArrow(tidy(_survivors(percent)), "doc_id long, n_shingles long, may boolean")
 
 
 # -- classes of equal sets ------------------------------------------------------------------------------------------------
@@ -199,6 +198,7 @@ def _index(percent: int):
                     out["own"].append(np.full(m, band == own))
             if out["rep"]:
                 yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
+        trim()
 
     return run
 
@@ -238,6 +238,7 @@ def _verify(percent: int):
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
             yield b.select(["a", "b"]).filter(pa.array(keep))
+        trim()
 
     return run
 
@@ -249,7 +250,7 @@ def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     key = ["band", "seg", "sig"]
     cost = subsets.groupBy(*key).agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where("all > 1 AND n > 0")
     # Segments whose subset nobody else has cost nothing and find nothing: a set's own bands' number of segments tells how many there are
-    told = subsets.join(cost, key).where("n > CAST(own AS INT)")
+    told = subsets.join(cost.hint("merge"), key).where("n > CAST(own AS INT)")
     by_set = told.groupBy("rep", "band").agg(F.sort_array(F.collect_list(F.struct("n", "seg", "sig"))).alias("met"))
     need = F.expr(f"CAST({100 - percent} * 2 * CAST(ceil(pow({RATIO}D, band + 1) * (1 + 1e-9D)) AS BIGINT) DIV {100 + percent} AS INT) + 1")
     by_set = by_set.withColumn("need", need).withColumn("free", F.ceil(F.lit(SLACK) * F.col("need")).cast("int") - F.size("met"))
@@ -294,21 +295,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, sizes: DataFrame, percent: i
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.hint("merge").join(classes.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").hint("merge").join(classes.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     return settled(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "verified")
 
 
 def groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document (doc_id long, text)."""
+    lean_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = settled(candidates(documents, width, percent), "shared")
     may = known.where("may").select("doc_id").distinct()
-    sets = settled(documents.join(may, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, key binary, shingles binary"), "sets")
+    sets = settled(documents.join(may.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, key binary, shingles binary"), "sets")
     reps = settled(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
-    classes = settled(sets.join(reps.select("key", "rep"), "key").where("doc_id = rep").select("rep", "shingles").dropDuplicates(["rep"]), "sets-of-classes")
+    classes = settled(sets.join(reps.select("key", "rep").hint("merge"), "key").where("doc_id = rep").select("rep", "shingles").dropDuplicates(["rep"]), "sets-of-classes")
     parts = components(similar_pairs(classes, percent)).withColumnRenamed("node", "rep")
     member = sets.select("key", "doc_id").join(reps, "key").join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(member.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = known.join(member.dropDuplicates(["doc_id"]).hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     loose = documents.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(loose)
 
