@@ -33,7 +33,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents linked by Jaccard similarity the one with the smallest id; documents without an id all stay."""
     found = jaccard.groups(docs)
     first = found.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(first, docs.doc_id == first["__id"], "left_semi")
+    rows = docs.join(first.hint("merge"), docs.doc_id == first["__id"], "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
     once = rows.withColumn("__again", again).where("__again = 1").drop("__again")
     return once.unionByName(docs.where("doc_id IS NULL"))

@@ -81,7 +81,8 @@ def dedup(documents: DataFrame, min_lines: int = MIN_LINES, long_line: int = LON
     """doc (the whole row), kept (its text without later copies), n_lines (with words), n_removed, n_runs, longest."""
     ranges = settled(copied_ranges(documents, min_lines, long_line), "ranges")
     rows = documents.select(F.struct("*").alias("doc"), "text", *_identity(documents))
-    both = rows.join(ranges, _DOC, "left").withColumn("w", _lines(F.col("text")))
+    # a merge join at every size: a broadcast of the ranges would only hold for small inputs
+    both = rows.join(ranges.hint("merge"), _DOC, "left").withColumn("w", _lines(F.col("text")))
     # over all lines: kept up to a range, then gone as far as its last line
     edge = lambda i: F.element_at("cut", i)
     both = both.withColumn("cut", F.transform("ranges", lambda r: F.struct(F.element_at("w", r["s"] + 1)["at"].alias("s"), (F.element_at("w", r["e"])["at"] + 1).alias("e"))))

@@ -54,19 +54,20 @@ def _time(x, knots):
     return out
 
 
-def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules=SCHEDULES) -> DataFrame:
-    """doc (the whole row), size, source_size, target, taken (words), occurrences: array of (copy, words, position)."""
+def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules=SCHEDULES, carry=None) -> DataFrame:
+    """doc (the row, or those of its columns that carry names), size, source_size, target, taken (words), occurrences: array of (copy, words, position)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.select(F.struct("*").alias("doc"), "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"), size.alias("size")).withColumn("bucket", F.substring("draw", 1, 3))
-    narrow = documents.select("source", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3).alias("bucket"), size.alias("size"))
-    sums = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    goals = targets(sums, weights, max_repeats)
-    plan = offsets.alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "bucket", "offset", "source_size", "slot", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    both = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
+    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # a key that is never null: the window's partitioning then serves the join too
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    rows = documents.select(F.struct(*(carry or ["*"])).alias("doc"), F.col("doc_id").alias("id"), key.alias("key"), F.substring(draw, 1, 3).alias("bucket"), draw.alias("draw"), size.alias("size"))
+    sums = documents.select("source", key.alias("key"), F.substring(draw, 1, 3).alias("bucket"), size.alias("size")).groupBy("source", "key", "bucket").agg(F.sum("size").alias("size"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("key", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    goals = targets(sums, weights, max_repeats).withColumn("key", key)
+    plan = offsets.join(goals, "key").select("key", "bucket", "offset", "source_size", "slot", "target")
+    within = Window.partitionBy("key", "bucket").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, ["key", "bucket"])
     goal = F.floor(F.col("target") + 0.5)
     passes = []
     for k in range(max_repeats):
@@ -77,14 +78,16 @@ def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules
         passes.append(F.struct(F.lit(k).alias("copy"), words.alias("words"), at.alias("position")))
     occurrences = F.filter(F.array(*passes), lambda o: o["words"] > 0)
     taken = F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, o: n + o["words"])
-    out = both.select("doc", F.col("r.size").alias("size"), "source_size", "target", occurrences.alias("occurrences"))
+    out = both.select("doc", "size", "source_size", "target", occurrences.alias("occurrences"))
     return out.withColumn("taken", taken)
 
 
 def mixture(documents: DataFrame, **options) -> DataFrame:
     """The documents in training order, a row for each time that one is read. Where a source's target ends within a document, its text ends there."""
     read = mix(documents, **options).select("doc", "size", F.explode("occurrences").alias("o"))
-    text = F.when(F.col("o.words") < F.col("size"), F.regexp_extract(F.col("doc.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("o.words").cast("string"), F.lit("}")), 0)).otherwise(F.col("doc.text"))
+    # cut before the space after the last word that fits
+    words = F.split("doc.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("o.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("o.words").cast("int")), "")).otherwise(F.col("doc.text"))
     columns = [text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in documents.columns]
     kept = read.select(*columns, F.col("o.position").alias("__position"), F.col("o.copy").alias("__copy"))
     return kept.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id", "__copy").drop("__position", "__copy")
@@ -92,7 +95,7 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.round(F.element_at("occurrences.position", 1), 9)
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("text", F.col("text")))
+    out = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc.doc_id", "size", "source_size", "target", "taken", F.when(F.size("occurrences") > 0, first).alias("first_position"))
 
 
