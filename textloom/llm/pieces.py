@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,8 +76,8 @@ def unit_pattern(known) -> str:
         return r"(?s).+"
     if any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in several for a, b in zip(p, p[1:], strict=False)):
         return rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
-    # numbers that aren't decimal digits are word signs to a pattern, but no letters
-    odd = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not re.match(r"\d", c)))
+    # a pattern takes numbers that aren't decimal digits for word signs: those in pieces of several signs are named
+    odd = re.escape("".join(sorted({c for p in several for c in p if c.isalnum() and not c.isalpha() and not re.match(r"\d", c)})))
     return rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[\W\d_{odd}](?<!{SPACE}))+|{SPACE}+"
 
 
@@ -86,6 +85,12 @@ def units(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def words_of(text: str, pattern: re.Pattern) -> list[str] | None:
+    """The text's words between single spaces, each of which is made of whole units; None where spaces stand together."""
+    own = text.split(" ") if text else []
+    return None if "" in own or not pattern.pattern.startswith(f"{SPACE}*[") else own
+
+
 def merge(unit: str, model: Model) -> list[str]:
     """The BPE pieces of one unit: always the best pair, of equals the first."""
     n = len(unit)
@@ -145,7 +150,7 @@ def merged_spans(distinct: DataFrame, known: DataFrame, longest: int) -> DataFra
     # a merge joins two neighbours: its ends are boundaries and one boundary lies between
     may = lambda m, x: both(m, x) & (inside(m, x) != 0) & (inside(m, x).bitwiseAND(inside(m, x) - 1) == 0)
     step = lambda m, _: m - F.coalesce(F.try_element_at(F.transform(F.filter("edges", lambda x: may(m, x)), lambda x: inside(m, x)), F.lit(1)), F.lit(0).cast("long"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.col("n")), one(F.col("n") + 1) - 1, step)
+    folded = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n") - 1, F.size("edges"))), one(F.col("n") + 1) - 1, step)
     done = grouped.withColumn("left", folded)
     final = F.filter("edges", lambda x: both(F.col("left"), x) & (inside(F.col("left"), x) == 0))
     return done.select("unit", F.transform(final, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))).alias("spans"))
@@ -184,14 +189,25 @@ def best_spans(distinct: DataFrame, known: DataFrame, longest: int, unknown: flo
 
 def _distinct_units(pattern: str):
     def run(batches):
-        find, held = re.compile(pattern), set()
+        find, words, held = re.compile(pattern), set(), set()
+
+        def flush():
+            for w in words:
+                held.update(units(w, find))
+            return pa.RecordBatch.from_arrays([pa.array([u for u in held if len(u) <= LONGEST], pa.string())], ["unit"])
+
         for b in slices(batches, TOGETHER):
             for t in b.column("text").to_pylist():
-                held.update(units(t or "", find))
-            if len(held) > FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u in held if len(u) <= LONGEST], pa.string())], ["unit"])
-                held = set()
-        yield pa.RecordBatch.from_arrays([pa.array([u for u in held if len(u) <= LONGEST], pa.string())], ["unit"])
+                own = words_of(t or "", find)
+                if own is None:
+                    held.update(units(t, find))
+                else:
+                    words.update(own)
+            if len(words) + len(held) > FLUSH:
+                yield flush()
+                words.clear()
+                held.clear()
+        yield flush()
 
     return run
 
@@ -261,16 +277,21 @@ def _encoder(model: Model, store: dict, digest: bool):
         find = re.compile(model.pattern)
         for b in slices(batches, TOGETHER):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            place: dict[str, int] = {}
+            place: dict = {}  # of distinct words, or (in a tuple) of whole texts that have no plain words
             flat: list[int] = []
             counts = []
             for t in texts:
-                own = units(t, find)
+                own = words_of(t, find)
+                if own is None:
+                    own = [(t,)]
                 counts.append(len(own))
-                flat += [place.setdefault(u, len(place)) for u in own]
-            known = _unit_ids(list(place), model, store)
-            sizes = np.array([len(x) for x in known], dtype=np.int64)
-            every = np.concatenate(known) if known else np.zeros(0, dtype=np.uint32)
+                flat += [place.setdefault(w, len(place)) for w in own]
+            inside = [units(w[0] if isinstance(w, tuple) else w, find) for w in place]
+            known = {u: k for k, u in enumerate(dict.fromkeys(u for own in inside for u in own))}
+            found = _unit_ids(list(known), model, store)
+            parts = [[found[known[u]] for u in own] for own in inside]
+            sizes = np.array([sum(map(len, x)) for x in parts], dtype=np.int64)
+            every = np.concatenate([x for own in parts for x in own]) if sizes.sum() else np.zeros(0, dtype=np.uint32)
             begins = np.cumsum(sizes) - sizes
             at = np.array(flat, dtype=np.int64)
             n = sizes[at]
