@@ -170,6 +170,20 @@ def test_lines(spark, docs, none, low):
     assert lines.without_copies(own).columns == own.columns
 
 
+def test_every_repeated_line(spark, none, tmp_path):
+    """A short line alone between differing neighbours is a run too, in op2 and in the pipeline's stage 2."""
+    import corpus_pipeline as cp
+
+    texts = ["one\nshared by all\ntwo", "three\nshared by all\nfour", "shared by all\nfive\nshared by all", "shared by all"]
+    own = spark.createDataFrame([(k, x, "en", "a", 1, 0.0, 0, "") for k, x in enumerate(texts)], DOCS)
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lines.op2_line_dedup(spark, str(tmp_path)).collect()}
+    want = {k: v for (k, _), v in line_copies(list(enumerate(texts)), 1).items()}
+    assert {k: (r.n_lines, r.n_removed, r.kept_md5) for k, r in got.items()} == {k: (n, m, hashlib.md5(t.encode()).hexdigest()) for k, (t, n, m) in want.items()}
+    assert [got[k].n_removed for k in range(4)] == [0, 1, 2, 1]
+    assert {r.doc_id: r.text for r in cp.without_repeated_lines(spark, own, str(tmp_path)).collect()} == {0: texts[0], 1: "three\nfour", 2: "five"}
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------
 
 

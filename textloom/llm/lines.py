@@ -6,7 +6,8 @@ suffix array; only positions whose class has several members go on, until none a
 suffixes with a common prefix of 2**k lines or more, and all its members but the earliest are later copies. For every
 position the largest k with an earlier copy is enough: the union of these stretches is the union of the maximal repeated
 runs, because the last 2**k lines of a longer run are such a stretch of their own. A run counts from min_lines lines
-(a power of two), or if it is a line of at least long_line words. Lines without words between deleted ones go as well.
+(a power of two; by default one: every later copy of a line goes), or if it is a line of at least long_line words. Lines
+without words between deleted ones go as well.
 
 Classes are digests of 128 bits, counted with partial aggregation and joined back, so that a line that a third of all
 documents share is one counter. All of it is SQL functions. Texts are shuffled once, to meet their ranges.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import WORD, settled, table
 
-MIN_LINES, LONG_LINE = 2, 30
+MIN_LINES, LONG_LINE = 1, 30
 _DOC = ["d", "h"]
 
 
