@@ -40,8 +40,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in training order, repeated or left out as the weights of their sources ask."""
-    return _measured(mixing.mixture(docs))
+    """The documents in training order, whole, repeated or left out as the weights of their sources ask."""
+    return _measured(mixing.mixture(docs, whole=True))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

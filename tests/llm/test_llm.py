@@ -215,6 +215,26 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == mixing.mixture(none).count() == 0
 
 
+def test_mixing_whole(spark, docs, sf_dir):
+    """No text of the pipeline's mixture is a fragment; each source's last document is in or out, whichever is nearer."""
+    import corpus_pipeline as cp
+
+    texts = collections.Counter(r.text for r in docs.collect())
+    mixed = collections.Counter(r.text for r in cp.mixed_sources(spark, docs, sf_dir).collect())
+    assert mixed and set(mixed) <= set(texts)
+    got = mixing.mix(docs, whole=True).collect()
+    want = collections.Counter()
+    by_source = collections.defaultdict(list)
+    for r in got:
+        assert all(o.words == r.size and 0 <= o.position <= 1 for o in r.occurrences)
+        want[r.doc.text] += len(r.occurrences)
+        by_source[r.doc.source].append(r)
+    assert mixed == +want
+    for own in by_source.values():
+        goal, most = math.floor(own[0].target + 0.5), max(r.size for r in own)
+        assert abs(sum(r.taken for r in own) - goal) <= most / 2
+
+
 def test_schedule_inverts(spark):
     knots = ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))
     xs = [k / 100 for k in range(101)]

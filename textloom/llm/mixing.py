@@ -2,7 +2,8 @@
 
 Every source has a target in words (weights share the total; a source gives at most max_repeats times its size, and what
 it can't give goes to the others by weight). Its documents, in an order drawn by hash, pass by up to max_repeats times
-until the target is reached; the last of them counts with the words that still fit. Each occurrence then has a place x
+until the target is reached; the last of them counts with the words that still fit or, if whole is set, with all its
+words or none, whichever is nearer to the target (with all on a tie). Each occurrence then has a place x
 in its source's demand, from 0 to 1, and the source's weight schedule w(t), integrated over training time and inverted
 at x, gives the time t at which it is read. Sorting by t mixes the sources at each moment by their weights then.
 
@@ -54,7 +55,7 @@ def _time(x, knots):
     return out
 
 
-def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules=SCHEDULES, carry=None) -> DataFrame:
+def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules=SCHEDULES, carry=None, whole: bool = False) -> DataFrame:
     """doc (the row, or those of its columns that carry names), size, source_size, target, taken (words), occurrences: array of (copy, words, position)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -72,7 +73,10 @@ def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules
     passes = []
     for k in range(max_repeats):
         begin = F.col("source_size") * k + F.col("offset") + F.col("before")
-        words = F.greatest(F.least(goal - begin, F.col("size")), F.lit(0)).cast("long")
+        if whole:  # at least half fits; the middle of the document is then within the demand
+            words = F.when(2 * (goal - begin) >= F.col("size"), F.col("size")).otherwise(0).cast("long")
+        else:
+            words = F.greatest(F.least(goal - begin, F.col("size")), F.lit(0)).cast("long")
         x = (begin + words / 2) / F.greatest(goal, F.lit(1))
         at = F.coalesce(*[F.when(F.col("slot") == s, _time(x, knots)) for s, knots in enumerate(schedules)])
         passes.append(F.struct(F.lit(k).alias("copy"), words.alias("words"), at.alias("position")))
@@ -83,7 +87,7 @@ def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules
 
 
 def mixture(documents: DataFrame, **options) -> DataFrame:
-    """The documents in training order, a row for each time that one is read. Where a source's target ends within a document, its text ends there."""
+    """The documents in training order, a row for each time that one is read. Where a source's target ends within a document, its text ends there, unless whole is set."""
     read = mix(documents, **options).select("doc", "size", F.explode("occurrences").alias("o"))
     # cut before the space after the last word that fits
     words = F.split("doc.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
