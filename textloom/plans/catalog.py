@@ -292,7 +292,7 @@ SELECT word, term AS correction, distance::INT AS distance FROM (SELECT *, row_n
 
 @query
 def prefix_top10(spark, d):
-    return ix.prefix_top(_vocab(spark, d)).where(F.length("prefix") <= 3)
+    return ix.prefix_top(_vocab(spark, d))
 
 
 SQL["prefix_top10"] = f"""WITH {_VOCAB}, p AS (SELECT substr(term, 1, i) AS prefix, term, df, row_number() OVER (PARTITION BY substr(term, 1, i) ORDER BY df DESC, term) AS rnk FROM vocab, unnest([1, 2, 3]) AS t(i) WHERE i <= length(term))
