@@ -40,3 +40,17 @@ def test_prefixes_of_every_length(spark, small):
         best = sorted((-k, t) for t, k in df.items() if t.startswith(p))[:10]
         want += [(p, t, -k, r + 1) for r, (k, t) in enumerate(best)]
     assert got == sorted(want) and any(len(p) > 3 for p, *_ in got)
+
+
+def test_near_terms_of_any_script(spark, small):
+    terms = frequencies()
+    near = {(w, t, n) for w in catalog.TYPOS for t in terms if (n := damerau_distance(w, t)) <= 2}
+    got = {tuple(r) for r in entry.queries()["vocab_within_distance"](spark, small).collect()}
+    assert got == near and ("hte", "teß", 2) in got
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    best = {}
+    for w, t, n in near:
+        if n:
+            best.setdefault(w, []).append((10 * n - 2 * shared(w, t), n, t))
+    want = {(w, min(x)[2], min(x)[1]) for w, x in best.items()}
+    assert {tuple(r) for r in entry.queries()["spell_correct"](spark, small).collect()} == want and ("qeu", "qeß", 1) in want

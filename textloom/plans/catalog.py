@@ -267,14 +267,10 @@ _TYPOS = ", ".join(f"({_lit(t)})" for t in TYPOS)
 SQL["missing_terms"] = f"WITH {_VOCAB}, a(term) AS (VALUES {_TYPOS}, {', '.join(f'({_lit(t)})' for t in TERMS)}) SELECT DISTINCT term FROM a WHERE term NOT IN (SELECT term FROM vocab)"
 
 
-def _ascii(vocab: DataFrame) -> DataFrame:
-    return vocab.where(~F.regexp_like("term", F.lit(r"[^\x00-\x7F]")))
-
-
 @query
 def vocab_within_distance(spark, d):
-    """Terms of ASCII letters, whose distances both engines count alike."""
-    return se.within(_ascii(_vocab(spark, d)), _words(spark, TYPOS))
+    """Terms of any script; DuckDB counts distances in bytes, so its SQL has those of ASCII only."""
+    return se.within(_vocab(spark, d), _words(spark, TYPOS))
 
 
 _NEAR = f"near AS (SELECT word, term, damerau_levenshtein(word, term) AS distance FROM (VALUES {_TYPOS}) q(word), vocab WHERE NOT regexp_matches(term, '[^\\x00-\\x7F]') AND damerau_levenshtein(word, term) <= 2)"
@@ -283,7 +279,7 @@ SQL["vocab_within_distance"] = f"WITH {_VOCAB}, {_NEAR} SELECT word, term, dista
 
 @query
 def spell_correct(spark, d):
-    return se.spell(_ascii(_vocab(spark, d)), _words(spark, TYPOS))
+    return se.spell(_vocab(spark, d), _words(spark, TYPOS))
 
 
 SQL["spell_correct"] = f"""WITH {_VOCAB}, {_NEAR}, w AS (SELECT *, 10 * distance - 2 * (SELECT count(*) FROM unnest(range(1, 40)) AS t(i) WHERE i <= least(length(word), length(term)) AND substr(word, 1, i) = substr(term, 1, i)) AS weight FROM near WHERE distance > 0)
