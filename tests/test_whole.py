@@ -54,3 +54,13 @@ def test_near_terms_of_any_script(spark, small):
             best.setdefault(w, []).append((10 * n - 2 * shared(w, t), n, t))
     want = {(w, min(x)[2], min(x)[1]) for w, x in best.items()}
     assert {tuple(r) for r in entry.queries()["spell_correct"](spark, small).collect()} == want and ("qeu", "qeß", 1) in want
+
+
+def test_replaced_postings(spark, small):
+    """The replaced table is the index of the pages as they are after the batch, posting for posting."""
+    rows = [(k, t.split("\n")[0], t.split("\n")[0] if "\n" in t else t) for k, t in enumerate(TEXTS)]
+    want = ix.postings(ix.tokens(spark.createDataFrame(rows, "doc_id long, title string, content string")))
+    got = entry.queries()["upsert_replace"](spark, small)
+    assert set(got.columns) == set(want.columns)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    assert {r.term for r in got.collect()} < set(frequencies())

@@ -448,11 +448,11 @@ SQL["latency_percentiles"] = "SELECT event_type, quantile_disc(value, 0.5) AS p5
 
 @query
 def upsert_replace(spark, d):
-    """The vocabulary after every tenth page came again with its title as its content."""
+    """All postings after the pages with more than one line came again with their title as their content."""
     pages = _pages(spark, d)
-    batch = pages.where("doc_id % 10 = 0").withColumn("content", F.col("title"))
-    posts = lambda p: ix.token_arrays(p).select("doc_id", F.explode(F.array_distinct(F.concat("title_tokens", "content_tokens"))).alias("term"))
-    return ix.vocabulary(ix.replace(posts(pages), posts(batch), batch)).orderBy(F.desc("df"), "term").limit(100)
+    batch = pages.where(F.col("content").contains("\n")).withColumn("content", F.col("title"))
+    posts = lambda p: ix.postings(ix.tokens(p))
+    return ix.replace(posts(pages), posts(batch), batch)
 
 
 SQL["upsert_replace"] = f"WITH {_TOK}, v AS (SELECT token AS term, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id % 10 <> 0 OR field = 'title' GROUP BY token) SELECT term, df FROM v ORDER BY df DESC, term LIMIT 100"
