@@ -64,3 +64,34 @@ def test_replaced_postings(spark, small):
     assert set(got.columns) == set(want.columns)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 0
     assert {r.term for r in got.collect()} < set(frequencies())
+
+
+def plain_walk(raw):
+    canon = lambda u: re.match(r"(?i)(https?://[^?#]*)?", u)[0]
+    out, known = collections.defaultdict(set), collections.defaultdict(set)
+    for r in raw:
+        known[canon(r.url)].add(r.html)
+        host = re.match(r"https?://[^/?#]*", r.url)[0]
+        for x in re.findall(r'(?i)<a [^>]*?href="([^"]*)"', r.html):
+            x = canon(x if re.match(r"(?i)https?://", x) else host + x if re.match(r"/(?!/)", x) else "")
+            if x:
+                out[canon(r.url)].add(x)
+    seen, now, depth = {}, {}, 0
+    for u in sorted(known, reverse=True):
+        now[u.lower()] = u
+    while now:
+        seen |= dict.fromkeys(now, depth)
+        new = sorted({x for u in now.values() for x in out[u] if x.lower() not in seen}, reverse=True)
+        now, depth = {x.lower(): x for x in new}, depth + 1
+    return seen
+
+
+def test_frontier_of_all_pages(spark, tmp_path):
+    link = lambda *x: "<html><body>" + " ".join(f'<a href="{u}">x</a>' for u in x) + "</body></html>"
+    rows = [(k, f"http://h{k}.org/p{k}", link(f"/only{k}", "http://h0.org/p0")) for k in range(20)]
+    # one address in two cases is one visit, of the lesser spelling
+    rows += [(20, "http://a.org/X?q=1", link("/new")), (21, "http://a.org/x", link("/other"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for d in (str(tmp_path), DATA):
+        got = {r.url_key: r.depth for r in entry.queries()["crawl_frontier"](spark, d).collect()}
+        assert got == plain_walk(spark.read.parquet(f"{d}/pages.parquet").collect())

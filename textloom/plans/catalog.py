@@ -381,10 +381,10 @@ SQL["canonical_urls"] = "SELECT page_id, regexp_extract(url, '(?i)^(https?://[^?
 
 @query
 def crawl_frontier(spark, d):
-    """A walk of two levels from the first ten pages; a page's links are known whatever its own query string."""
+    """A walk from all pages until the frontier is empty; a page's links are known whatever its own query string."""
     raw = pg.Catalog(spark, d)["pages"]
-    seeds = raw.where("page_id < 10").select(H.canonical_expr(F.col("url"), F.col("url")).alias("url"))
-    visited, _ = pg.crawl(seeds, pg.table_fetcher(raw), depth=1, options=pg.CrawlOptions(max_pages=1_000_000, capacity=1_000_000))
+    seeds = raw.select(H.canonical_expr(F.col("url"), F.col("url")).alias("url"))
+    visited, _ = pg.crawl(seeds, pg.table_fetcher(raw), options=pg.CrawlOptions(max_pages=1 << 62, capacity=(1 << 31) - 1))
     return visited.select("url_key", "depth")
 
 
