@@ -95,3 +95,16 @@ def test_frontier_of_all_pages(spark, tmp_path):
     for d in (str(tmp_path), DATA):
         got = {r.url_key: r.depth for r in entry.queries()["crawl_frontier"](spark, d).collect()}
         assert got == plain_walk(spark.read.parquet(f"{d}/pages.parquet").collect())
+
+
+def test_distance_of_whole_titles(spark, small):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    got = {r.doc_id: r.distance for r in entry.queries()["text_functions"](spark, small).collect()}
+    assert got == {k: plain(exact.fold(t.split("\n")[0]), "the of and") for k, t in enumerate(TEXTS)}

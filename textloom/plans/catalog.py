@@ -465,7 +465,7 @@ def text_functions(spark, d):
     t = F.col("title")
     return p.select(
         "doc_id", X.fold(t).alias("folded"), X.truncate(X.collapse(F.col("content")), 80).alias("short"), X.last_word(t).alias("last_word"), X.replace_last_word(t, F.lit("x")).alias("replaced"),
-        X.common_prefix_length(X.fold(t), F.lit("the of")).alias("common"), D.levenshtein(F.substring(F.regexp_replace(t, r"[^ -~]", ""), 1, 10), F.lit("the of and")).alias("distance"), F.size(X.split_words(t)).alias("n_words"),
+        X.common_prefix_length(X.fold(t), F.lit("the of")).alias("common"), D.levenshtein(X.fold(t), F.lit("the of and")).alias("distance"), F.size(X.split_words(t)).alias("n_words"),
     )
 
 
