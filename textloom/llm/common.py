@@ -36,15 +36,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now rather than at the driver's next collection."""
+def discard(df: DataFrame) -> None:
+    """Delete a settled table that nothing needs any more: what was made of it has been settled too."""
     import gc
 
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # the shuffle files of finished jobs go when both sides drop their plans
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def lean_batches(spark: SparkSession, rows: int = 2000) -> None:

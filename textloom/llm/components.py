@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import settled
+from textloom.llm.common import discard, settled
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = settled(small.distinct(), "links")
+        last, edges = edges, settled(small.distinct(), "links")
+        discard(last)
         if (new := _mark(edges)) == mark:
             break
         mark = new

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashstore as hs
-from textloom.llm.common import lean_batches, settled, table, tidy, trim
+from textloom.llm.common import discard, lean_batches, settled, table, tidy, trim
 from textloom.llm.components import components
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, BUCKET = 4 << 20, 2_000_000
+TOGETHER, BUCKET, BLOCK, SHINGLES = 4 << 20, 2_000_000, 512, 1_000_000
 WIDTH, PERCENT, RATIO, SLACK, HOT = 5, 80, 1.25, 1.3, 64
 
 
@@ -144,13 +144,15 @@ def candidates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def _sets(width: int):
+    """Each document's set, sorted, its size and a digest of it (null for an empty set, which equals no other)."""
+
     def run(batches):
         for b in pieces(batches, TOGETHER):
             code, who = shingles(b.column("text"), width)
             cut = np.searchsorted(who, np.arange(b.num_rows + 1))
             blobs = [code[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "key", "shingles"])
+            keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in blobs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(cut)), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "n", "key", "shingles"])
 
     return run
 
@@ -227,25 +229,161 @@ def _deletions(percent: int):
     return run
 
 
-def _verify(percent: int):
+# -- verification -------------------------------------------------------------------------------------------------------------
+
+
+def _codes(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
+
+
+def _whole_groups(batches, names: list[str]):
+    """Tables of whole groups (rows that agree in names) from batches in which groups follow each other."""
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        new = np.zeros(b.num_rows, dtype=bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        if held:
+            new[0] = any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(names, keys, strict=True))
+        edge = np.flatnonzero(new)
+        cut = int(edge[-1]) if len(edge) else 0
+        if len(edge):
+            if whole := [x for x in [*held, b.slice(0, cut)] if x.num_rows]:
+                yield pa.Table.from_batches(whole).combine_chunks()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _stars(percent: int, kind: str):
+    """Links of each group's first row (its lead) with the others."""
+
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+        for own in _whole_groups(batches, ["lead", "block"]):
+            lead, rep, sets = own.column("lead").to_pylist(), own.column("rep").to_pylist(), _codes(own.column("shingles"))
+            keep, x = [], None
+            for k, (a, b, y) in enumerate(zip(rep, lead, sets, strict=True)):
+                if a == b:
+                    x = y
+                elif len(x) * percent <= len(y) * 100 and len(y) * percent <= len(x) * 100:
+                    same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * same >= percent * (len(x) + len(y) - same):
+                        keep.append(k)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([rep[k] for k in keep], kind), "b": pa.array([lead[k] for k in keep], kind)})
+        trim()
+
+    return run
+
+
+def common(rows: list[np.ndarray], columns: list[np.ndarray], chunk: int = 4096, most: int = 4 << 20) -> np.ndarray:
+    """The number of common codes of each row's set and each column's."""
+    n, m = len(rows), len(columns)
+    out = np.zeros(n * m, dtype=np.int64)
+    if not n or not m:
+        return out.reshape(n, m)
+    r, c = np.concatenate(rows), np.concatenate(columns)
+    both = np.intersect1d(r, c)
+    if not len(both):
+        return out.reshape(n, m)
+
+    def entries(codes, sets):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, codes), len(both) - 1)
+        hit = both[at] == codes
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    (r, row), (c, column) = entries(r, rows), entries(c, columns)
+    in_rows, in_columns = np.bincount(r, minlength=len(both)), np.bincount(c, minlength=len(both))
+    begin = np.cumsum(in_columns) - in_columns
+    heavy = in_rows * in_columns > max(64, n * m // 256)  # a product of matrices is cheaper for these
+    light = np.flatnonzero(~heavy[r])
+    size = in_columns[r[light]]
+    done = np.cumsum(size)
+    for k in range(int(done[-1]) // most + 1 if len(done) else 0):
+        i, j = np.searchsorted(done, [k * most, (k + 1) * most], side="right")
+        who, times = light[i:j], size[i:j]
+        if len(who):
+            met = column[np.repeat(begin[r[who]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+            out += np.bincount(np.repeat(row[who], times) * m + met, minlength=n * m)
+    out = out.reshape(n, m)
+    number = np.cumsum(heavy) - 1
+    r_heavy, c_heavy = np.flatnonzero(heavy[r]), np.flatnonzero(heavy[c])
+    for k in range(0, int(heavy.sum()), chunk):
+        x, y = np.zeros((n, chunk), dtype=np.float32), np.zeros((m, chunk), dtype=np.float32)
+        for z, code, who, at in ((x, r, row, r_heavy), (y, c, column, c_heavy)):
+            here = at[(number[code[at]] >= k) & (number[code[at]] < k + chunk)]
+            z[who[here], number[code[here]] - k] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def _blocks(percent: int, kind: str):
+    """Links of the rows of each block (side 0) with its columns (side 1) of other parts: not all, but as many as connect what they connect."""
+
+    def run(batches):
+        for own in _whole_groups(batches, ["lead", "row", "col"]):
+            side, ids, parts = (own.column(c).to_numpy() for c in ("side", "rep", "part"))
+            sets = _codes(own.column("shingles"))
+            mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            same = common([sets[k] for k in mine], [sets[k] for k in other])
+            size = np.array([len(x) for x in sets])
+            near = (100 * same >= percent * (size[mine][:, None] + size[other][None, :] - same)) & (parts[mine][:, None] != parts[other][None, :])
+            a, b = np.nonzero(near)
+            # a link for each row and column of a part of the graph, to its smallest id
+            low, high = ids[mine].copy(), ids[other].copy()
+            while len(a):
+                l, h = low.copy(), high.copy()
+                np.minimum.at(low, a, high[b])
+                np.minimum.at(high, b, low[a])
+                if (l == low).all() and (h == high).all():
+                    break
+            rows, columns = np.unique(a), np.unique(b)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([ids[mine][rows], ids[other][columns]]), kind), "b": pa.array(np.concatenate([low[rows], high[columns]]), kind)})
         trim()
 
     return run
 
 
+def _first_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (rep, lead): each lead meets its own in blocks of bounded size."""
+    size = classes.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
+    fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    own = settled(pairs.where("rep <> lead").join(classes.select("rep", "n"), "rep").join(size, "lead").where(fit).select("lead", "rep", "n"), "stars")
+    sizes = own.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    member = own.join(sizes, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    heads = sizes.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = member.unionByName(heads).hint("merge").join(classes.select("rep", "shingles"), "rep")
+    dealt = rows.repartition("lead", "block").sortWithinPartitions("lead", "block", F.col("rep") != F.col("lead"))
+    return settled(dealt.select("lead", "block", "rep", "shingles").mapInArrow(_stars(percent, pa.int64()), "a long, b long"), "first-links")
+
+
+def _other_links(spots: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different parts: those that share a subset are in the group of its lead; groups are compared in blocks."""
+    own = spots.distinct().join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(classes.select("rep", "n"), "rep")
+    own = settled(own.select("lead", "rep", "part", "n"), "groups")
+    by_part = own.groupBy("lead", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    # the largest part's members needn't meet each other: all others meet the whole group
+    most = by_part.groupBy("lead").agg(F.max(F.struct("k", "part", "m")).alias("most"), F.sum("k").alias("k"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    number = lambda k, m: F.greatest(F.ceil(k / BLOCK), F.ceil(m / SHINGLES)).cast("int")
+    plan = settled(most.select("lead", F.col("most.part").alias("main"), number(F.col("k") - F.col("most.k"), F.col("m") - F.col("most.m")).alias("rows"), number(F.col("k"), F.col("m")).alias("cols")), "plan")
+    all_of = own.join(plan, "lead")
+    at = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    mine = all_of.where("part <> main").select("lead", at("rows", 1).alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(0).alias("side"), "rep", "part")
+    other = all_of.select("lead", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), at("cols", 2).alias("col"), F.lit(1).alias("side"), "rep", "part")
+    rows = mine.unionByName(other).hint("merge").join(classes.select("rep", "shingles"), "rep")
+    dealt = rows.repartition("lead", "row", "col").sortWithinPartitions("lead", "row", "col")
+    return settled(dealt.select("lead", "row", "col", "side", "rep", "part", "shingles").mapInArrow(_blocks(percent, pa.int64()), "a long, b long"), "other-links")
+
+
 def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between classes (rep, shingles; distinct sets, none empty) that connect all classes which similarity connects."""
-    kind = classes.schema["rep"].dataType.simpleString()
+    """Links (a, b) between classes (rep long, n, shingles; distinct sets, none empty) that connect all classes which similarity connects."""
+    kind = "bigint"
     subsets = settled(classes.mapInArrow(_index(percent), f"rep {kind}, band int, seg int, sig long, own boolean"), "subsets")
     key = ["band", "seg", "sig"]
     cost = subsets.groupBy(*key).agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where("all > 1 AND n > 0")
@@ -278,25 +416,16 @@ def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     spot = F.xxhash64("space", "band", "seg", "sig").alias("spot")
     probes = settled(probes.select("rep", spot).distinct(), "probes")
     index = settled(index.select("rep", spot).join(probes.select("spot").distinct(), "spot", "left_semi").distinct(), "index")
-    sizes = classes.select("rep", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    first = probes.join(index.groupBy("spot").agg(F.min("rep").alias("lead")), "spot").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    links = _verified(first, classes, sizes, percent)
+    for x in (subsets, plan):
+        discard(x)
+    # each subset's lead is the smallest class that has it; all that share the subset meet the lead first
+    leads = index.groupBy("spot").agg(F.min("rep").alias("lead"))
+    spots = settled(probes.unionByName(index).join(leads, "spot").select("lead", "rep").distinct(), "spots")
+    for x in (probes, index):
+        discard(x)
+    links = _first_links(spots, classes, percent)
     parts = settled(components(links).withColumnRenamed("node", "rep"), "parts")
-    # what is left: pairs of one subset in different components
-    part = lambda df: df.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("spot", "rep", "part")
-    probing, indexed = settled(part(probes), "probing"), settled(part(index), "indexed")
-    sides = probing.select("spot", "part").distinct().join(indexed.select("spot", F.col("part").alias("other")).distinct(), "spot").where("part <> other")
-    left = probing.join(sides, ["spot", "part"]).select("spot", "other", F.col("rep").alias("a")).join(indexed.select("spot", F.col("part").alias("other"), F.col("rep").alias("b")), ["spot", "other"]).select("a", "b")
-    return links.unionByName(_verified(left, classes, sizes, percent))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    kind = classes.schema["rep"].dataType.simpleString()
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    both = pairs.hint("merge").join(classes.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").hint("merge").join(classes.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    return settled(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "verified")
+    return links.unionByName(_other_links(spots, parts, classes, percent))
 
 
 def groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -305,14 +434,22 @@ def groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = settled(candidates(documents, width, percent), "shared")
     may = known.where("may").select("doc_id").distinct()
-    sets = settled(documents.join(may.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, key binary, shingles binary"), "sets")
-    reps = settled(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
-    classes = settled(sets.join(reps.select("key", "rep").hint("merge"), "key").where("doc_id = rep").select("rep", "shingles").dropDuplicates(["rep"]), "sets-of-classes")
-    parts = components(similar_pairs(classes, percent)).withColumnRenamed("node", "rep")
-    member = sets.select("key", "doc_id").join(reps, "key").join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(member.dropDuplicates(["doc_id"]).hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = documents.join(may.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, n long, key binary, shingles binary")
+    sets = settled(own.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # a class is numbered by one of its rows: several classes may have the same smallest doc_id
+    rows = settled(sets.select("doc_id", "n", "key", "row"), "rows")
+    reps = settled(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first")), "reps")
+    classes = settled(sets.join(reps.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("rep"), "n", "shingles"), "classes")
+    discard(sets)
+    parts = settled(components(similar_pairs(classes, percent)).withColumnRenamed("node", "rep"), "parts")
+    discard(classes)
+    named = reps.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    member = named.join(smallest, "component").select("key", "component_id")
+    linked = rows.join(member.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = known.join(may.hint("merge"), "doc_id", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     loose = documents.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(loose)
+    return alone.unionByName(linked).unionByName(loose)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
