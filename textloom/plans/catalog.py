@@ -103,13 +103,15 @@ SQL["term_df_top"] = f"WITH {_VOCAB} SELECT term, df FROM vocab ORDER BY df DESC
 
 @query
 def postings_tf(spark, d):
-    own = ix.lookup(ix.postings(ix.tokens(_pages(spark, d))), "term", TERMS + TITLE_TERMS)
-    return own.select("term", "doc_id", "tf_title", "tf_content", F.size("positions_content").alias("n_positions"), F.element_at("positions_content.start", 1).alias("first_start"), F.element_at("positions_content.end", 1).alias("first_end"))
+    return _spots(ix.lookup(ix.postings(ix.tokens(_pages(spark, d))), "term", TERMS + TITLE_TERMS))
+
+
+def _spots(postings: DataFrame) -> DataFrame:
+    return postings.select("term", "doc_id", "tf_title", "tf_content", F.size("positions_content").alias("n_positions"), F.element_at("positions_content.start", 1).alias("first_start"), F.element_at("positions_content.end", 1).alias("first_end"))
 
 
-_PLACED = f"""parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate({_UNACCENT % 'content'}, chr(1), ' '), '([#+]+)([{X.W}])', '\\1' || chr(1) || chr(1) || '\\2', 'g'), '(\\.*[{X.W}]+)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM d)"""
 #: Offsets need no lookahead here: a token's start is where its dots or word begin, found by counting what precedes.
-SQL["postings_tf"] = f"""WITH {_POST},
+_SPOTS = f"""WITH {_POST},
 w AS (SELECT doc_id, {_UNACCENT % 'content'} AS s FROM d),
 cutup AS MATERIALIZED (SELECT doc_id, regexp_extract_all(s, '(\\.*)([{X.W}]+)([#+]*)(\\.?)') AS raws, regexp_split_to_array(s, '(\\.*)([{X.W}]+)([#+]*)(\\.?)') AS gaps FROM w),
 cut AS (SELECT doc_id, unnest(raws) AS raw, unnest(range(len(raws))) AS k, unnest(gaps[1:len(raws)]) AS own, unnest(gaps[2:len(raws) + 1]) AS next FROM cutup),
@@ -119,7 +121,8 @@ named AS (SELECT doc_id, k, (coalesce(before, 0) + gap)::INT AS start, raw, rege
 tokened AS (SELECT doc_id, start, regexp_replace(CASE WHEN "drop" THEN regexp_replace(raw, '[#+]+$', '') ELSE raw END, '\\.$', '') AS piece FROM named),
 firsts AS (SELECT term, doc_id, min(struct_pack(s := start, e := start + length(piece))) AS f FROM (SELECT doc_id, start, piece, lower(regexp_replace(piece, '^\\.+', '.')) AS term FROM tokened) GROUP BY term, doc_id)
 SELECT post.term, post.doc_id, tf_title::INT AS tf_title, tf_content::INT AS tf_content, tf_content::INT AS n_positions, f.s::INT AS first_start, f.e::INT AS first_end
-FROM post LEFT JOIN firsts ON post.term = firsts.term AND post.doc_id = firsts.doc_id WHERE post.term IN ({', '.join(map(_lit, TERMS + TITLE_TERMS))})"""
+FROM post LEFT JOIN firsts ON post.term = firsts.term AND post.doc_id = firsts.doc_id"""
+SQL["postings_tf"] = f"{_SPOTS} WHERE post.term IN ({', '.join(map(_lit, TERMS + TITLE_TERMS))})"
 
 
 @query
@@ -234,7 +237,7 @@ def char_gram_profile(spark, d):
 
 
 _GRAMS = """wd AS (SELECT doc_id, '_' || word || '_' AS w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY ALL),
-gr AS (SELECT doc_id, substr(w, i, n) AS gram, sum(k)::BIGINT AS n FROM wd, unnest(range(1, 4)) AS a(n), unnest(range(1, 400)) AS b(i) WHERE i + n - 1 <= length(w) GROUP BY doc_id, gram),
+gr AS (SELECT doc_id, substr(w, i, n) AS gram, sum(k)::BIGINT AS n FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM wd), unnest(range(1, 4)) AS a(n) WHERE i + n - 1 <= length(w) GROUP BY doc_id, gram),
 ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS rnk FROM gr) WHERE rnk < 320)"""
 SQL["char_gram_profile"] = f"WITH {_GRAMS} SELECT doc_id, count(*) AS n_grams, max(n) AS most, min_by(gram, rnk) AS first_gram, max_by(gram, rnk) AS last_gram, sum(rnk * length(gram))::BIGINT AS checksum FROM ranks GROUP BY doc_id"
 
@@ -269,11 +272,11 @@ SQL["missing_terms"] = f"WITH {_VOCAB}, a(term) AS (VALUES {_TYPOS}, {', '.join(
 
 @query
 def vocab_within_distance(spark, d):
-    """Terms of any script; DuckDB counts distances in bytes, so its SQL has those of ASCII only."""
+    """Terms of any script. DuckDB counts distances in bytes: as the words asked for are ASCII, its SQL puts one byte for each other sign, which is as far from them."""
     return se.within(_vocab(spark, d), _words(spark, TYPOS))
 
 
-_NEAR = f"near AS (SELECT word, term, damerau_levenshtein(word, term) AS distance FROM (VALUES {_TYPOS}) q(word), vocab WHERE NOT regexp_matches(term, '[^\\x00-\\x7F]') AND damerau_levenshtein(word, term) <= 2)"
+_NEAR = f"near AS (SELECT word, term, damerau_levenshtein(word, regexp_replace(term, '[^\\x00-\\x7F]', chr(1), 'g')) AS distance FROM (VALUES {_TYPOS}) q(word), vocab WHERE damerau_levenshtein(word, regexp_replace(term, '[^\\x00-\\x7F]', chr(1), 'g')) <= 2)"
 SQL["vocab_within_distance"] = f"WITH {_VOCAB}, {_NEAR} SELECT word, term, distance::INT AS distance FROM near"
 
 
@@ -282,7 +285,7 @@ def spell_correct(spark, d):
     return se.spell(_vocab(spark, d), _words(spark, TYPOS))
 
 
-SQL["spell_correct"] = f"""WITH {_VOCAB}, {_NEAR}, w AS (SELECT *, 10 * distance - 2 * (SELECT count(*) FROM unnest(range(1, 40)) AS t(i) WHERE i <= least(length(word), length(term)) AND substr(word, 1, i) = substr(term, 1, i)) AS weight FROM near WHERE distance > 0)
+SQL["spell_correct"] = f"""WITH {_VOCAB}, {_NEAR}, w AS (SELECT *, 10 * distance - 2 * (SELECT count(*) FROM unnest(range(1, length(word) + 1)) AS t(i) WHERE i <= least(length(word), length(term)) AND substr(word, 1, i) = substr(term, 1, i)) AS weight FROM near WHERE distance > 0)
 SELECT word, term AS correction, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY weight, distance, term) AS k FROM w) WHERE k = 1"""
 
 
@@ -291,7 +294,7 @@ def prefix_top10(spark, d):
     return ix.prefix_top(_vocab(spark, d))
 
 
-SQL["prefix_top10"] = f"""WITH {_VOCAB}, p AS (SELECT substr(term, 1, i) AS prefix, term, df, row_number() OVER (PARTITION BY substr(term, 1, i) ORDER BY df DESC, term) AS rnk FROM vocab, unnest([1, 2, 3]) AS t(i) WHERE i <= length(term))
+SQL["prefix_top10"] = f"""WITH {_VOCAB}, p AS (SELECT substr(term, 1, i) AS prefix, term, df, row_number() OVER (PARTITION BY substr(term, 1, i) ORDER BY df DESC, term) AS rnk FROM (SELECT *, unnest(range(1, length(term) + 1)) AS i FROM vocab))
 SELECT prefix, term, df, rnk::INT AS rnk FROM p WHERE rnk <= 10"""
 
 
@@ -389,8 +392,9 @@ def crawl_frontier(spark, d):
 
 
 SQL["crawl_frontier"] = f"""WITH {_LINKS}, g AS (SELECT DISTINCT regexp_extract(src_url, '(?i)^(https?://[^?#]*)', 1) AS s, dst_url AS t FROM edges),
-c0 AS (SELECT DISTINCT lower(regexp_extract(url, '(?i)^(https?://[^?#]*)', 1)) AS u FROM pages WHERE page_id < 10),
-c1 AS (SELECT DISTINCT lower(t) AS u FROM g WHERE s IN (SELECT regexp_extract(url, '(?i)^(https?://[^?#]*)', 1) FROM pages WHERE page_id < 10) AND lower(t) NOT IN (SELECT u FROM c0))
+c0 AS (SELECT DISTINCT lower(regexp_extract(url, '(?i)^(https?://[^?#]*)', 1)) AS u FROM pages WHERE regexp_matches(url, '(?i)^https?://')),
+c1 AS (SELECT DISTINCT lower(t) AS u FROM g WHERE lower(t) NOT IN (SELECT u FROM c0))
+-- every page is a seed, so what they link to beyond each other has no page and no links
 SELECT u AS url_key, 0 AS depth FROM c0 UNION ALL SELECT u, 1 FROM c1"""
 
 
@@ -452,10 +456,10 @@ def upsert_replace(spark, d):
     pages = _pages(spark, d)
     batch = pages.where(F.col("content").contains("\n")).withColumn("content", F.col("title"))
     posts = lambda p: ix.postings(ix.tokens(p))
-    return ix.replace(posts(pages), posts(batch), batch)
+    return _spots(ix.replace(posts(pages), posts(batch), batch))
 
 
-SQL["upsert_replace"] = f"WITH {_TOK}, v AS (SELECT token AS term, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id % 10 <> 0 OR field = 'title' GROUP BY token) SELECT term, df FROM v ORDER BY df DESC, term LIMIT 100"
+SQL["upsert_replace"] = _SPOTS.replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
 
 
 @query
@@ -471,5 +475,5 @@ def text_functions(spark, d):
 
 SQL["text_functions"] = f"""WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS t, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)
 SELECT doc_id, lower({_UNACCENT % 't'}) AS folded, CASE WHEN length(c) <= 80 THEN c ELSE substr(c, 1, 80) || '…' END AS short, string_split(t, ' ')[-1] AS last_word, substr(t, 1, length(t) - length(string_split(t, ' ')[-1])) || 'x' AS replaced,
-(SELECT count(*) FROM unnest(range(1, 7)) AS r(i) WHERE i <= length(t) AND substr(lower({_UNACCENT % 't'}), 1, i) = substr('the of', 1, i))::INT AS common, levenshtein(lower(substr(regexp_replace(t, '[^ -~]', '', 'g'), 1, 10)), 'the of and')::INT AS distance,
+(SELECT count(*) FROM unnest(range(1, 7)) AS r(i) WHERE i <= length(t) AND substr(lower({_UNACCENT % 't'}), 1, i) = substr('the of', 1, i))::INT AS common, levenshtein(regexp_replace(lower({_UNACCENT % 't'}), '[^\\x00-\\x7F]', chr(1), 'g'), 'the of and')::INT AS distance,
 len(list_filter(regexp_split_to_array(t, '[\\x00-/:-@\\[-`{{-\\x7F]+'), lambda x: x <> ''))::INT AS n_words FROM p"""
