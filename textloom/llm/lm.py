@@ -2,13 +2,15 @@
 
 Two passes over the training texts count words, then trigrams; tasks count what they read in arrays before anything is
 shuffled. Trigrams meet by their middle word, so that one task sees all contexts of its trigrams and all left neighbours
-of its bigrams; middle words with more than a quarter of a bucket's share are spread by their left neighbour, and only
-their bigrams meet once more. Each task writes its part of the model to the shared folder as sorted hash arrays; the
-scoring pass maps those files into memory, looks up whole batches of n-grams and sums log10 probabilities by document.
-Nothing is pruned, and what is kept grows with the corpus. The driver sees counts of counts and the spread words only.
+of its bigrams; frequent middle words are spread by their left neighbour, and only their bigrams meet once more. Words
+are numbered by frequency within their hash bucket, so that one number tells which are frequent. Each task writes its part
+of the model to the shared folder as sorted hash arrays; the scoring pass maps those files into memory, looks up whole
+batches of n-grams and sums log10 probabilities by document. Nothing is pruned, and what is kept grows with the corpus.
+The driver sees a few numbers for each bucket.
 
 Nulls: a null text is an empty one: one token, the end. A null doc_id counts as the text ''. Repeated rows count and are
-scored each. An empty corpus leaves the uniform probability 1 / (words + 1). Other columns are ignored.
+scored each. Very long texts are one row each and cost memory in proportion to their words. An empty corpus leaves the
+uniform probability 1 / (words + 1). More than 2**32 - 2 numbers of words raise an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from textloom.llm import hashstore as hs
 from textloom.llm.common import lean_batches, scratch, settled, table, tidy
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, FLUSH, BUCKET, HOT = 4 << 20, 2_000_000, 2_000_000, 4
+TOGETHER, FLUSH, BUCKET, HOT, TEXT = 4 << 20, 2_000_000, 2_000_000, 4, 128 << 20
+STATS = ("id", "total", "one", "two", "more")
 BEGIN, UNKNOWN = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
 BLOBS = "bucket int, kind string, blob binary"
@@ -34,6 +37,20 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64)
+
+
+def _by_bucket(at: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """The order by bucket and, within it, by key."""
+    small = at.astype(np.uint16) if not len(at) or int(at.max()) < 1 << 16 else at  # a radix sort
+    if keys is None:
+        return np.argsort(small, kind="stable")
+    order = np.argsort(keys)
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of each one's counts."""
     order = np.argsort(keys, kind="stable")
@@ -59,7 +76,7 @@ def _count_words(buckets: int):
         def flush():
             keys, counts = _sums(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
             at = keys % np.uint64(buckets)
-            order = np.argsort(at, kind="stable")
+            order = _by_bucket(at)
             keys, counts, at = keys[order], counts[order], at[order]
             return _rows([(k, "w", hs.pack(keys[i:j], counts[i:j].astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))) for k, i, j in _cuts(at)])
 
@@ -83,11 +100,12 @@ def _keep_words(base: str, buckets: int):
         keys, counts = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
         rank = np.empty(len(keys), dtype=np.int64)
         rank[np.lexsort([keys, -counts])] = np.arange(len(keys))
+        if len(keys) * buckets >= int(UNKNOWN):
+            raise OverflowError("more words than 32-bit numbers")
         ids = (rank * buckets + k).astype(np.uint32)  # frequent words get small numbers
         hs.save(f"{base}/words-{k}", {"key": keys, "id": ids, "count": counts.astype(np.uint64)})
-        often = counts * HOT > BUCKET
-        said = [(k, "n", hs.pack(np.array([len(keys), counts.sum(), counts[keys == END_HASH].sum()], dtype=np.int64))), (k, "often", hs.pack(ids[often], counts[often]))]
-        return pa.Table.from_batches([_rows(said)])
+        often = int((counts * HOT > BUCKET).sum())
+        return pa.Table.from_batches([_rows([(k, "n", hs.pack(np.array([len(keys), counts.sum(), counts[keys == END_HASH].sum(), often], dtype=np.int64)))])])
 
     return run
 
@@ -96,7 +114,7 @@ def _lookup_words(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Number and training count of each word hash; unknown ones: UNKNOWN and 0."""
     ids, counts = np.full(len(keys), UNKNOWN, dtype=np.uint32), np.zeros(len(keys), dtype=np.int64)
     at = keys % np.uint64(model["word_buckets"])
-    order = np.lexsort([keys, at])
+    order = _by_bucket(at, keys)
     for k, i, j in _cuts(at[order]):
         if k not in model["word_files"]:
             continue
@@ -128,16 +146,21 @@ def _sequences(model: dict, texts: pa.Array):
 # -- n-grams --------------------------------------------------------------------------------------------------------------
 
 
+def _hot(model: dict, v):
+    """Frequent words: those with small numbers, and the beginning where there are many texts."""
+    return (v < model["hot"]) | (v == BEGIN) if model["many_texts"] else v < model["hot"]
+
+
 def _bucket3(model: dict, u, v):
     """Trigrams and their contexts: by the middle word; those of frequent middle words by both words of the context."""
     alone, both = hs.mix(v.astype(np.uint64)), hs.mix(hs.pair(u, v))
-    return (np.where(np.isin(v, model["hot"]), both, alone) % np.uint64(model["buckets"])).astype(np.int64)
+    return (np.where(_hot(model, v), both, alone) % np.uint64(model["buckets"])).astype(np.int64)
 
 
 def _bucket2(model: dict, v, w):
     """Bigrams: with the trigrams that have v in the middle, or, for frequent v, in as many buckets after those."""
     n = np.uint64(model["buckets"])
-    return np.where(np.isin(v, model["hot"]), n + hs.mix(hs.pair(v, w) + np.uint64(1)) % n, hs.mix(v.astype(np.uint64)) % n).astype(np.int64)
+    return np.where(_hot(model, v), n + hs.mix(hs.pair(v, w) + np.uint64(1)) % n, hs.mix(v.astype(np.uint64)) % n).astype(np.int64)
 
 
 def _key3(u, v, w):
@@ -146,16 +169,23 @@ def _key3(u, v, w):
 
 
 def _distinct(*columns_and_counts):
-    """Rows of columns in order without repeats, with the sums of the last column."""
-    *columns, counts = columns_and_counts
-    order = np.lexsort([c for c in reversed(columns)])
-    columns, counts = [c[order] for c in columns], counts[order]
-    new = np.zeros(len(counts), dtype=bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    return *(c[first] for c in columns), np.add.reduceat(counts, first) if len(first) else counts
+    """Rows of two or three columns in order without repeats, with the sums of the last column."""
+    a, b, *c, counts = columns_and_counts
+    key = hs.pair(a, b)
+    if c:  # the rank of the first two leaves room for the third
+        order = np.argsort(key)
+        first = np.zeros(len(key), dtype=bool)
+        first[1:] = key[order][1:] != key[order][:-1]
+        own, key = key[order], hs.pair(np.cumsum(first), c[0][order])
+        counts = counts[order]
+    order = np.argsort(key)
+    key, counts = key[order], counts[order]
+    at = _runs(key)
+    counts = np.add.reduceat(counts, at) if len(at) else counts
+    if not c:
+        return (key[at] >> np.uint64(32)).astype(np.uint32), key[at].astype(np.uint32), counts
+    pairs = own[order[at]]
+    return (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32), key[at].astype(np.uint32), counts
 
 
 def _count_trigrams(model: dict):
@@ -167,7 +197,7 @@ def _count_trigrams(model: dict):
             u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             v, u, w, n = _distinct(v, u, w, np.ones(len(u), dtype=np.uint32))
             at = _bucket3(model, u, v)
-            order = np.argsort(at, kind="stable")
+            order = _by_bucket(at)
             v, u, w, n, at = v[order], u[order], w[order], n[order], at[order]
             return _rows([(k, "t", hs.pack(v[i:j], u[i:j], w[i:j], n[i:j])) for k, i, j in _cuts(at)])
 
@@ -208,7 +238,7 @@ def _neighbours(model: dict, w: np.ndarray):
     """Rows that say how many distinct left neighbours w has among these bigrams."""
     ids, n = _sums(w, np.ones(len(w), dtype=np.int64))
     at = ids % np.uint32(model["word_buckets"])
-    order = np.argsort(at, kind="stable")
+    order = _by_bucket(at)
     return [(k, "u", hs.pack(ids[order][i:j], n[order][i:j].astype(np.uint32))) for k, i, j in _cuts(at[order])]
 
 
@@ -222,18 +252,20 @@ def _keep_trigrams(model: dict):
         arrays = {f"t.{a}": x for a, x in hs.keyed(_key3(u, v, w), n=n).items()}
         first = _runs(v, u)
         total, *several = _stats(first, n)
-        more = total > 1  # a context seen once needs no entry of its own
+        # a context seen once needs no entry of its own: its bigram tells that it was seen, but for the beginning of texts
+        more = (total > 1) | ((u[first] == BEGIN) & (v[first] == BEGIN))
         order = np.argsort(keys := hs.mix(hs.pair(u[first], v[first]))[more])
-        arrays |= {"c.key": keys[order]} | {f"c.{name}": x[more][order].astype(np.uint32) for name, x in zip(("total", "one", "two", "more"), [total, *several], strict=True)}
+        arrays |= {"c.key": keys[order]} | {f"c.{name}": _small(x[more][order]) for name, x in zip(("total", "one", "two", "more"), [total, *several], strict=True)}
         said = [(k, "3", hs.pack(_of_counts(n)))]
         v2, w2, left = _distinct(v, w, np.ones(len(v), dtype=np.int64))
-        hot = np.isin(v2, model["hot"])
+        hot = _hot(model, v2)
         if hot.any():
             at = _bucket2(model, v2[hot], w2[hot]) - model["buckets"]
-            order = np.argsort(at, kind="stable")
-            hv, hw, hn = v2[hot][order], w2[hot][order], left[hot][order].astype(np.uint32)
+            order = _by_bucket(at)
+            hv, hw, hn = v2[hot][order], w2[hot][order], _small(left[hot][order])
             said += [(b, "h", hs.pack(hv[i:j], hw[i:j], hn[i:j])) for b, i, j in _cuts(at[order])]
-        arrays_2, said_2, _ = _bigrams(model, k, v2[~hot], w2[~hot], left[~hot])
+        arrays_2, said_2, contexts = _bigrams(model, k, v2[~hot], w2[~hot], left[~hot])
+        arrays_2 |= {f"v.{name}": x for name, x in zip(STATS, contexts, strict=True)}
         hs.save(f"{model['base']}/grams-{k}", arrays | arrays_2)
         return pa.Table.from_batches([_rows(said + said_2)])
 
@@ -245,32 +277,44 @@ def _bigrams(model: dict, k: int, v, w, left):
     arrays = {f"b.{a}": x for a, x in hs.keyed(hs.mix(hs.pair(v, w)), n=left).items()}
     first = _runs(v)
     stats = _stats(first, left)
-    contexts = [v[first], *stats]
-    arrays |= {f"v.{name}": x for name, x in zip(("id", "total", "one", "two", "more"), contexts, strict=True)}
-    return arrays, [(k, "2", hs.pack(_of_counts(left))), *_neighbours(model, w)], contexts
+    return arrays, [(k, "2", hs.pack(_of_counts(left))), *_neighbours(model, w)], [v[first], *stats]
 
 
 def _keep_frequent(model: dict):
-    """Bigrams of frequent left words: their parts meet, and the sums for each left word go to the driver (one row a word and bucket)."""
+    """Bigrams of frequent left words: their parts meet, and the sums for each left word go to that word's bucket."""
 
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
         v, w, n = _distinct(*(np.concatenate(c) for c in zip(*[hs.unpack(x.as_buffer()) for x in own.column("blob")], strict=True)))
         arrays, said, contexts = _bigrams(model, k + model["buckets"], v, w, n.astype(np.int64))
         hs.save(f"{model['base']}/grams-{k + model['buckets']}", arrays)
-        return pa.Table.from_batches([_rows([*said, (k, "v", hs.pack(*contexts))])])
+        at = contexts[0] % np.uint32(model["word_buckets"])
+        order = _by_bucket(at)
+        said += [(b, "v", hs.pack(*(x[order][i:j] for x in contexts))) for b, i, j in _cuts(at[order])]
+        return pa.Table.from_batches([_rows(said)])
 
     return run
 
 
 def _keep_unigrams(model: dict):
+    """Of a bucket's words: their numbers of left neighbours, and the sums for the frequent ones as contexts."""
+
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        ids, n = _sums(*(np.concatenate(c) for c in zip(*[hs.unpack(x.as_buffer()) for x in own.column("blob")], strict=True)))
-        dense = np.zeros(int(ids.max()) // model["word_buckets"] + 1, dtype=np.uint32)
-        dense[ids // np.uint32(model["word_buckets"])] = n
-        hs.save(f"{model['base']}/left-{k}", {"n": dense})
-        return pa.Table.from_batches([_rows([(k, "1", hs.pack(np.append(_of_counts(n), [n.astype(np.int64).sum(), (n > 2).sum()])))])])
+        parts = {kind: [hs.unpack(x.as_buffer()) for x, a in zip(own.column("blob"), own.column("kind").to_pylist(), strict=True) if a == kind] for kind in "uv"}
+        arrays = {"n": np.zeros(0, dtype=np.uint32)} | {f"v.{name}": np.zeros(0, dtype=np.uint64) for name in STATS}
+        said = []
+        if parts["u"]:
+            ids, n = _sums(*(np.concatenate(c).astype(np.int64) for c in zip(*parts["u"], strict=True)))
+            arrays["n"] = np.zeros(int(ids.max()) // model["word_buckets"] + 1, dtype=np.int64)
+            arrays["n"][ids // model["word_buckets"]] = n
+            arrays["n"] = _small(arrays["n"])
+            said.append((k, "1", hs.pack(np.append(_of_counts(n), [n.sum(), (n > 2).sum()]))))
+        if parts["v"]:
+            ids, *stats = (np.concatenate(c) for c in zip(*parts["v"], strict=True))
+            arrays |= {f"v.{name}": x for name, x in zip(STATS, [np.unique(ids), *(_sums(ids, x)[1] for x in stats)], strict=True)}
+        hs.save(f"{model['base']}/left-{k}", arrays)
+        return pa.Table.from_batches([_rows([*said, (k, "left", b"")])])
 
     return run
 
@@ -290,47 +334,51 @@ def train(texts: DataFrame) -> dict:
     spark = texts.sparkSession
     lean_batches(spark)
     base = scratch(spark, "lm")
-    word_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT))
     said = settled(texts.mapInArrow(_count_words(word_buckets), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_words(base, word_buckets)), BLOBS), "lm-words").collect()
-    counts = {r["bucket"]: hs.unpack(r["blob"])[0] for r in said if r["kind"] == "n"}
+    counts = {r["bucket"]: hs.unpack(r["blob"])[0] for r in said}
     words, tokens, ends = (int(sum(c[i] for c in counts.values())) for i in range(3))
+    often = max((int(c[3]) for c in counts.values()), default=0)
     buckets = -(-tokens // BUCKET) or 1
-    often = [hs.unpack(r["blob"]) for r in said if r["kind"] == "often"]
-    ids = np.concatenate([a for a, _ in often] or [np.zeros(0, dtype=np.uint32)])
-    share = np.concatenate([n for _, n in often] or [np.zeros(0)])
-    hot = np.sort(np.append(ids[share * HOT * buckets > tokens], [BEGIN] if ends * HOT * buckets > tokens else []).astype(np.uint32))
-    model = {"base": base, "word_buckets": word_buckets, "word_files": set(counts), "buckets": buckets, "hot": hot if buckets > 1 else hot[:0], "words": words, "tokens": tokens}
+    model = {"base": base, "word_buckets": word_buckets, "word_files": set(counts), "buckets": buckets, "words": words, "tokens": tokens}
+    # numbers below this are the most frequent words of each bucket, all those with more than a part of a bucket among them
+    model |= {"hot": often * word_buckets if buckets > 1 else 0, "many_texts": buckets > 1 and ends * HOT > BUCKET}
     grams = settled(texts.mapInArrow(_count_trigrams(model), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_trigrams(model)), BLOBS), "lm-grams")
     frequent = settled(grams.where("kind = 'h'").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(tidy(_keep_frequent(model)), BLOBS), "lm-frequent")
-    lefts = grams.where("kind = 'u'").unionByName(frequent.where("kind = 'u'"))
+    lefts = grams.where("kind = 'u'").unionByName(frequent.where("kind IN ('u', 'v')"))
     single = settled(lefts.groupBy("bucket").applyInArrow(tidy(_keep_unigrams(model)), BLOBS), "lm-left")
-    small = [*grams.where("kind IN ('2', '3')").collect(), *frequent.where("kind IN ('2', 'v')").collect(), *single.collect()]
-    got = lambda kind: [hs.unpack(r["blob"]) for r in small if r["kind"] == kind]
-    sums = {k: sum((x[0] for x in got(k)), np.zeros(6 if k == "1" else 4, dtype=np.int64)) for k in "123"}
+    small = [*grams.where("kind IN ('2', '3')").collect(), *frequent.where("kind = '2'").collect(), *single.collect()]
+    sums = {k: sum((hs.unpack(r["blob"])[0] for r in small if r["kind"] == k), np.zeros(6 if k == "1" else 4, dtype=np.int64)) for k in "123"}
     model |= {f"d{k}": _discounts(sums[k]) for k in "123"}
     n1, n2, _, _, total, more = (float(x) for x in sums["1"])
     d = model["d1"]
     model |= {"left_total": total, "left_rest": (d[1] * n1 + d[2] * n2 + d[3] * more) / total if total else 1.0}
-    model["left_files"] = {r["bucket"] for r in small if r["kind"] == "1"}
+    model["left_files"] = {r["bucket"] for r in small if r["kind"] == "left"}
     model["gram_files"] = {r["bucket"] for r in small if r["kind"] == "2"}
-    hot_rows = got("v")
-    if hot_rows:
-        ids, *stats = (np.concatenate(c) for c in zip(*hot_rows, strict=True))
-        order, inverse = np.unique(ids, return_inverse=True)
-        model["hot_contexts"] = (order, *(np.bincount(inverse, weights=s.astype(np.float64)) for s in stats))
     return model
 
 
 # -- scoring --------------------------------------------------------------------------------------------------------------
 
 
-def _by_file(model: dict, at: np.ndarray, keys: np.ndarray):
+def _by_file(model: dict, at: np.ndarray, keys: np.ndarray, name: str = "gram"):
     """For each file that is needed: its arrays, and who asks, in order of their keys."""
-    order = np.lexsort([keys, at])
+    order = _by_bucket(at, keys)
     for k, i, j in _cuts(at[order]):
-        if k in model["gram_files"]:
-            yield hs.load(f"{model['base']}/grams-{k}"), order[i:j]
+        if k in model[f"{name}_files"]:
+            yield hs.load(f"{model['base']}/{name}s-{k}" if name == "gram" else f"{model['base']}/{name}-{k}"), order[i:j]
+
+
+def _contexts(own: dict, keys: np.ndarray, prefix: str, name: str = "id"):
+    """Of the keys that a file has as contexts: which, and their sums."""
+    known = own[f"{prefix}.{name}"]
+    if not len(known):
+        return np.zeros(0, dtype=np.int64), []
+    spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = np.flatnonzero(known[spot] == keys)
+    return hit, [own[f"{prefix}.{x}"][spot[hit]] for x in STATS[1:]]
 
 
 def _off(d: list[float], n: np.ndarray) -> np.ndarray:
@@ -347,12 +395,11 @@ def probabilities(model: dict, u, v, w) -> np.ndarray:
     # unigrams
     left = np.zeros(n, dtype=np.int64)
     known = np.flatnonzero(w < UNKNOWN)
-    at = w[known] % np.uint32(model["word_buckets"])
-    order = known[np.argsort(at, kind="stable")]
-    for k, i, j in _cuts(np.sort(at)):
-        if k in model["left_files"]:
-            dense, spot = hs.load(f"{model['base']}/left-{k}")["n"], w[order[i:j]] // np.uint32(model["word_buckets"])
-            left[order[i:j]] = np.where(spot < len(dense), dense[np.minimum(spot, len(dense) - 1)], 0)
+    width = np.uint32(model["word_buckets"])
+    for own, who in _by_file(model, w[known] % width, w[known], "left"):
+        if len(dense := own["n"]):
+            spot = w[known[who]] // width
+            left[known[who]] = np.where(spot < len(dense), dense[np.minimum(spot, len(dense) - 1)], 0)
     p = np.maximum(left - _off(model["d1"], left), 0) / max(model["left_total"], 1) + model["left_rest"] / (model["words"] + 1)
     # bigrams
     has = (v != UNKNOWN) & (w != UNKNOWN)
@@ -362,18 +409,12 @@ def probabilities(model: dict, u, v, w) -> np.ndarray:
         b = hs.part(own, "b.")
         count[who] = hs.value(b, "n", hs.find(b, key[who]))
     count[~has] = 0
-    hot = np.isin(v, model["hot"])
-    plain = np.flatnonzero(~hot & (v != UNKNOWN))
-    for own, who in _by_file(model, _bucket2(model, v[plain], w[plain]), v[plain].astype(np.uint64)):
-        if len(own["v.id"]):
-            spot = np.minimum(np.searchsorted(own["v.id"], v[plain[who]]), len(own["v.id"]) - 1)
-            hit = own["v.id"][spot] == v[plain[who]]
-            seen[:, plain[who[hit]]] = [own[f"v.{x}"][spot[hit]] for x in ("total", "one", "two", "more")]
-    if "hot_contexts" in model:
-        ids, *stats = model["hot_contexts"]
-        spot = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-        hit = hot & (ids[spot] == v)
-        seen[:, hit] = [s[spot[hit]] for s in stats]
+    hot = _hot(model, v)
+    for name, who in (("gram", np.flatnonzero(~hot & (v != UNKNOWN))), ("left", np.flatnonzero(hot))):
+        for own, asks in _by_file(model, _bucket2(model, v[who], w[who]) if name == "gram" else v[who] % width, v[who], name):
+            hit, stats = _contexts(own, v[who[asks]], "v")
+            if len(hit):
+                seen[:, who[asks[hit]]] = stats
     d = model["d2"]
     p = np.where(seen[0] > 0, np.maximum(count - _off(d, count), 0) / np.maximum(seen[0], 1) + _rest(d, *seen) * p, p)
     # trigrams; the context u v was seen if that bigram was, and once if it has no entry
@@ -384,10 +425,10 @@ def probabilities(model: dict, u, v, w) -> np.ndarray:
         count3[who] = hs.value(t, "n", hs.find(t, key[who]))
     pair = hs.mix(hs.pair(u, v))
     for own, who in _by_file(model, here, pair):
-        if len(own["c.key"]):
-            spot = np.minimum(np.searchsorted(own["c.key"], pair[who]), len(own["c.key"]) - 1)
-            hit = own["c.key"][spot] == pair[who]
-            context[:, who[hit]] = [own[f"c.{x}"][spot[hit]] for x in ("total", "one", "two", "more")]
+        if "c.key" in own:
+            hit, stats = _contexts(own, pair[who], "c", "key")
+            if len(hit):
+                context[:, who[hit]] = stats
     before = np.zeros(n, dtype=bool)
     before[1:] = (count[:-1] > 0) & (u[1:] == v[:-1]) & (v[1:] == w[:-1])
     once = (context[0] == 0) & (before | (count3 > 0))
