@@ -2,17 +2,19 @@
 
 A list is a log of dated entries: (kind, value, category, action, day) adds or removes a host, a domain with all below it,
 or a path prefix of a host. Entries become validity intervals, from an addition's day until the day of the next entry for
-the same thing; every capture meets the intervals that hold on the day it was fetched, by equality on the keys its URL
-gives (its host, each domain above it, each path prefix at a slash). All in SQL functions, no Python on the way.
-
-The side of the list is broadcast only where its counted rows are at most BROADCAST; else both sides shuffle on the key,
-and Spark splits the keys of hot hosts. Only keys that the list has at all go into the join (a left semi join would cost
-the same shuffle, so the equi-join itself does that).
-
-Nulls: a null URL, and one without a scheme and host, matches nothing; a null fetch day matches nothing; list entries
-with a null kind, value, action or day are dropped. A null category is the category ''. Ties: of several entries for the
-same thing on one day, a removal wins. Repeated list rows change nothing; repeated captures are judged one by one.
-Very long URLs give one key for each slash. Other columns are carried along. An empty list blocks nothing.
+the same thing; every URL and day of the captures meets the intervals that hold on that day, by equality on the keys the
+URL gives (its host, each domain above it, each path prefix at a slash). All in SQL functions, no Python on the way.
+
+Both sides shuffle on the key, and Spark splits the keys of hot hosts or, where it finds the list's side small enough when
+it has been written, sends that around instead. What is found is joined back by URL and day, so that it doesn't matter how
+captures are numbered. Only keys that the list has at all go into the join (a left semi join would cost the same shuffle,
+so the equi-join itself does that).
+
+Nulls: a null URL, and one without a scheme and host, matches nothing; a null fetch day matches nothing; a capture_id is
+carried along, null or not; list entries with a null kind, value, action or day are dropped. A null category is the category
+''. Ties: of several entries for the same thing on one day, a removal wins. Repeated list rows change nothing; captures that
+repeat, or share a capture_id with others, are judged one by one. Very long URLs give one key for each slash. Other columns,
+whatever their names, are carried along in the capture. An empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 
-BROADCAST = 100_000
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -48,17 +49,16 @@ def keys(url) -> tuple:
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (capture_id, url, day, ...) with host, active (entries that match on that day), categories (sorted) and blocked."""
-    held = intervals(entries)
-    small = held.limit(BROADCAST + 1).count() <= BROADCAST
+    """capture (the whole row: url, day, ...) with host, active (entries that match on that day), categories (sorted) and blocked."""
     host, all_keys = keys(F.col("url"))
-    asked = captures.select("capture_id", F.col("day").alias("fetched"), F.explode(all_keys).alias("k")).select("capture_id", "fetched", "k.kind", "k.value").where("fetched IS NOT NULL").distinct()
-    met = asked.join(F.broadcast(held) if small else held, ["kind", "value"]).where("fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)")
-    found = met.groupBy("capture_id", "fetched").agg(F.count("*").alias("active"), F.array_sort(F.collect_set("category")).alias("categories"))
-    rows = captures.select(F.struct("*").alias("row"), host.alias("host"))
-    out = rows.join(found, (F.col("row.capture_id") == found.capture_id) & (F.col("row.day") == found.fetched), "left")
+    asked = captures.where("url IS NOT NULL AND day IS NOT NULL").select("url", F.col("day").alias("fetched")).distinct()
+    asked = asked.select("url", "fetched", F.explode(all_keys).alias("k")).select("url", "fetched", "k.kind", "k.value").distinct()
+    met = asked.join(intervals(entries), ["kind", "value"]).where("fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)")
+    found = met.groupBy(F.col("url").alias("asked"), "fetched").agg(F.count("*").alias("active"), F.array_sort(F.collect_set("category")).alias("categories"))
+    rows = captures.select(F.struct("*").alias("capture"), host.alias("host"))
+    out = rows.join(found, (F.col("capture.url") == found.asked) & (F.col("capture.day") == found.fetched), "left")
     return out.select(
-        *[F.col("row").getField(c).alias(c) for c in captures.columns if c not in ("host", "active", "categories", "blocked")],
+        "capture",
         "host",
         F.coalesce("active", F.lit(0)).alias("active"),
         F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
@@ -92,7 +92,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, fetched on a day that its id gives, against the list that dated_list() makes of all pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("day"))
-    return judge(captures, dated_list(pages)).select(F.col("capture_id").alias("page_id"), "url", F.col("day").cast("string").alias("day"), "host", "active", F.array_join("categories", ",").alias("categories"), "blocked")
+    return judge(captures, dated_list(pages)).select(F.col("capture.capture_id").alias("page_id"), "capture.url", F.col("capture.day").cast("string").alias("day"), "host", "active", F.array_join("categories", ",").alias("categories"), "blocked")
 
 
 SQL = r"""
@@ -111,8 +111,10 @@ log AS (SELECT kind, value, category, 'add' AS action, start AS day FROM own
 held AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY kind, value, category ORDER BY day) AS valid_to FROM log) WHERE action = 'add'),
 asked AS (SELECT DISTINCT page_id, day, kind, value FROM (
       SELECT page_id, day, 'host' AS kind, host AS value FROM p WHERE host <> ''
-      UNION ALL SELECT page_id, day, 'domain', array_to_string(list_slice(string_split(host, '.'), i, 999), '.') FROM p, unnest(range(1, 100)) AS t(i) WHERE host <> '' AND i <= len(string_split(host, '.'))
-      UNION ALL SELECT page_id, day, 'path', lower(host || '/' || array_to_string(list_slice(parts, 1, i), '/')) FROM p, unnest(range(1, 100)) AS t(i) WHERE host <> '' AND i <= len(parts))),
+      UNION ALL SELECT page_id, day, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+        FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+      UNION ALL SELECT page_id, day, 'path', lower(host || '/' || array_to_string(list_slice(parts, 1, i), '/'))
+        FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p WHERE host <> ''))),
 met AS (SELECT a.page_id, a.day, count(*) AS active, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM asked a
       JOIN held h ON a.kind = h.kind AND a.value = h.value AND a.day >= h.day AND (h.valid_to IS NULL OR a.day < h.valid_to) GROUP BY a.page_id, a.day)
 SELECT p.page_id, p.url, p.day::DATE::VARCHAR AS day, p.host, coalesce(active, 0) AS active, coalesce(categories, '') AS categories, active IS NOT NULL AS blocked
