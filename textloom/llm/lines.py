@@ -19,8 +19,6 @@ columns, whatever their names, are carried along. An empty table gives an empty
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +48,9 @@ def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def copied_ranges(documents: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """d, h (a document), ranges: array of (s, e) over its lines with words that are later copies; longest: the longest stretch found."""
-    low = int(math.log2(min_lines))
+    low = min_lines.bit_length() - 1
+    if min_lines != 1 << low:
+        raise ValueError("min_lines must be a power of two")
     ids = documents.select(*_identity(documents), "text").where("text IS NOT NULL")
     lines = ids.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("pos", "l"))
     words = F.regexp_count("l.line", F.lit(WORD))
@@ -109,11 +109,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS spot FROM documents WHERE text IS NOT NULL),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-x AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nextline FROM w),
-f AS (SELECT *, min(struct_pack(d := doc_id, p := pos)) OVER (PARTITION BY line) < struct_pack(d := doc_id, p := pos) AND n >= 30 AS one,
-        nextline IS NOT NULL AND min(struct_pack(d := doc_id, p := pos)) OVER (PARTITION BY line, nextline) < struct_pack(d := doc_id, p := pos) AS two FROM x),
-g AS (SELECT *, one OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM f),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+g AS (SELECT *, min(struct_pack(d := doc_id, p := pos)) OVER (PARTITION BY line) < struct_pack(d := doc_id, p := pos) AS gone FROM w),
 -- lines that meet belong to one run
 r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g),
 b AS (SELECT l.doc_id, l.spot, l.line, r.gone, last_value(r.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.spot ROWS UNBOUNDED PRECEDING) AS before,
