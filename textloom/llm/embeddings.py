@@ -109,7 +109,12 @@ def _join(threshold: float):
         empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n_links": pd.Series(dtype="int64")})
         if not len(mine) or not len(other):
             return empty
-        near = _matrix(mine["vector"]) @ _matrix(other["vector"]).T >= threshold
+        x, y = _matrix(mine["vector"]), _matrix(other["vector"])
+        near = x @ y.T
+        # a product of matrices rounds by the shape of the block: what is close to the threshold is summed alike in every block
+        edge = np.nonzero(np.abs(near - threshold) < 1e-9)
+        near = near >= threshold
+        near[edge] = (x[edge[0]] * y[edge[1]]).sum(axis=1) >= threshold
         ids, others = mine["rep"].to_numpy(), other["rep"].to_numpy()
         near &= ids[:, None] != others[None, :]
         weight = near @ other["n"].to_numpy().astype(np.float64)
@@ -174,10 +179,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
         AND list_cosine_similarity(a.e, b.e) >= 0.98),
-n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, 0::BIGINT AS component_id FROM embeddings LEFT JOIN n ON a = vec_id
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id <= coalesce(least.b, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id
 """

@@ -19,5 +19,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op3_source_mixing": mixing.SQL,
+    "op5_embedding_dedup": embeddings.SQL,
     "op10_url_filters": urlfilter.SQL,
 }
