@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, table
+from textloom.llm.common import WORD, settled, table
 
 #: Knots (time, weight) of the schedules of the sources that weigh 1, 2 and 3: the lighter come early, the heavier late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
@@ -62,7 +62,13 @@ def mix(documents: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, schedules
     # a key that is never null: the window's partitioning then serves the join too
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
     rows = documents.select(F.struct(*(carry or ["*"])).alias("doc"), F.col("doc_id").alias("id"), key.alias("key"), F.substring(draw, 1, 3).alias("bucket"), draw.alias("draw"), size.alias("size"))
-    sums = documents.select("source", key.alias("key"), F.substring(draw, 1, 3).alias("bucket"), size.alias("size")).groupBy("source", "key", "bucket").agg(F.sum("size").alias("size"))
+    if carry:  # without texts: counted once
+        rows = settled(rows, "sizes")
+        counted = rows
+    else:
+        counted = documents.select(key.alias("key"), F.substring(draw, 1, 3).alias("bucket"), size.alias("size"))
+    source = F.when(F.col("key") != "", F.expr("substring(key, 2)"))
+    sums = settled(counted.groupBy("key", "bucket").agg(F.sum("size").alias("size")), "sums").withColumn("source", source)
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
     goals = targets(sums, weights, max_repeats).withColumn("key", key)
@@ -98,9 +104,12 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it, range-sorted by the time at which it is first read; those not taken come last."""
     first = F.round(F.element_at("occurrences.position", 1), 9)
     out = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return out.select("doc.doc_id", "size", "source_size", "target", "taken", F.when(F.size("occurrences") > 0, first).alias("first_position"))
+    placed = out.select("doc.doc_id", "size", "source_size", "target", "taken", F.when(F.size("occurrences") > 0, first).alias("first_position"))
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 SQL = r"""
