@@ -4,16 +4,20 @@ Texts fall into units that no piece crosses (a run of spaces with the word that
 distinct unit of the corpus is treated once. Its substrings of bounded length are exploded and joined by equality to the
 piece table, which makes the edges of a lattice; the edges are grouped by unit, and a higher-order aggregate folds them:
 
-* for unigram models, Viterbi: the best sum of scores for every end, the path of the last;
-* for BPE models, whose scores are merge ranks and whose segmentation is not the best sum: the merges in their order,
-  with the boundaries that are left as bits of a number. This gives the ids of the sentencepiece library.
+* for unigram models, Viterbi (best_spans): the best sum of scores for every end, the path of the last;
+* for BPE models, whose scores are merge ranks and whose segmentation is not the best sum (merged_spans): one pass over the
+  edges in the order of their merges, which the piece table gives (schedule), with the set of boundaries that are left as
+  the state. This gives the ids of the sentencepiece library, for units of any length.
 
-The results are written to the shared folder as sorted hash arrays, and a scan of the texts maps them into memory and puts
-the ids of each document together. Only the piece table, whose size the model fixes, is broadcast. Units of more than
-LONGEST signs are merged where they stand, with a heap.
+The results are written to the shared folder as sorted hash arrays, dealt by the units' hashes to as many files as the
+number of units asks for, and a scan of the texts maps them into memory and puts the ids of each document together. Only the
+piece table, whose size the model fixes, is broadcast. Units are looked up by 64-bit hashes; the decoded ids are compared
+with the text, and a text that differs (two units with one hash) is encoded where it stands.
 
 Nulls: a null text is an empty one and has no ids. Signs that the model lacks are bytes. Repeated rows are encoded each.
-Other columns are ignored. An empty table gives an empty result. decode() is exact: it gives the text back.
+Very long texts are one row each; a unit of n signs that is very long costs n bytes a merge. Other columns, whatever their
+names, are ignored. An empty table gives an empty result. decode() is exact: it gives the text back, but for signs U+2581
+in a text, which the model reads as spaces.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from textloom.llm import hashstore as hs
 from textloom.llm.common import lean_batches, scratch, settled, table, tidy
 from textloom.llm.words import hash_strings, pieces as slices
 
-SPACE, LONGEST, TOGETHER, FLUSH = "▁", 60, 4 << 20, 400_000
+SPACE, LONGEST, WINDOW, TOGETHER, FLUSH, BUCKET = "▁", 60, 48, 1 << 20, 400_000, 200_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -85,14 +90,8 @@ def units(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def words_of(text: str, pattern: re.Pattern) -> list[str] | None:
-    """The text's words between single spaces, each of which is made of whole units; None where spaces stand together."""
-    own = text.split(" ") if text else []
-    return None if "" in own or not pattern.pattern.startswith(f"{SPACE}*[") else own
-
-
-def merge(unit: str, model: Model) -> list[str]:
-    """The BPE pieces of one unit: always the best pair, of equals the first."""
+def merge(unit: str, model: Model, done: list | None = None) -> list[str]:
+    """The BPE pieces of one unit: always the best pair, of equals the first. done gets each merge's place and piece."""
     n = len(unit)
     part, left, right = list(unit), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list = []
@@ -110,6 +109,8 @@ def merge(unit: str, model: Model) -> list[str]:
         if j >= n or part[j] != b or not a:
             continue
         part[i], part[j] = a + b, ""
+        if done is not None:
+            done.append((i, a + b))
         right[i] = right[j]
         if right[i] < n:
             left[right[i]] = i
@@ -130,30 +131,79 @@ def ids_of(parts: list[str], model: Model) -> list[int]:
 # -- the lattice --------------------------------------------------------------------------------------------------------------
 
 
+def schedule(model: Model) -> list[tuple[str, int, int, int, int]]:
+    """(piece, time, offset, depth, index) of all pieces of several signs that merges can make, for BPE.
+
+    What happens within a piece before it is whole happens in every text as it does in the piece alone, as no merge has
+    crossed its ends. So its own merges give its place in the order of all merges: time is the rank of the last merge that
+    was worse than all before it, offset where that merge begins, depth how many better ones it made possible since.
+    """
+    several = sorted((p for p in model.score if len(p) > 1), key=lambda p: (-model.score[p][0], model.score[p][1]))
+    rank, last = {}, None
+    for p in several:
+        if last is None or model.score[p][0] != last:
+            last = model.score[p][0]
+            time = len(rank)
+        rank[p] = time
+    out = []
+    for index, p in enumerate(several):
+        done: list[tuple[int, str]] = []
+        if merge(p, model, done) != [p]:
+            continue
+        at, depth = (-1, -1), 0
+        for place, made in done:
+            if (rank[made], place) > at:
+                at, depth = (rank[made], place), 0
+            else:
+                depth += 1
+        out.append((p, at[0], at[1], depth, index))
+    return out
+
+
 def edges(distinct: DataFrame, known: DataFrame, longest: int, least: int) -> DataFrame:
-    """unit, n, s, e, score, id: substrings of units (unit) of least to longest signs that are pieces (piece, score, id)."""
-    n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(F.sequence(F.lit(least), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.cast("int").alias("s"), (s + k).cast("int").alias("e"), F.substring("unit", s + 1, k).alias("piece")))))
-    cut = distinct.where(n >= least).select("unit", n.alias("n"), F.explode(spans).alias("x")).select("unit", "n", "x.s", "x.e", "x.piece")
-    return cut.join(F.broadcast(known), "piece").select("unit", "n", "s", "e", "score", "id")  # the vocabulary: its size is the model's
-
-
-def merged_spans(distinct: DataFrame, known: DataFrame, longest: int) -> DataFrame:
-    """unit, spans: array of (s, e, id) of the pieces of several signs that BPE leaves; single signs fill the gaps. Units of up to 62 signs."""
-    one = lambda c, n=1: F.call_function("shiftleft", F.lit(n).cast("long"), c)
-    lattice = edges(distinct, known, longest, 2)
-    ends = one(F.col("s")).bitwiseOR(one(F.col("e")))
-    inner = one(F.col("e")) - one(F.col("s"), 2)
-    grouped = lattice.groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "s", "e", "id", ends.alias("ends"), inner.alias("inner")))).alias("edges"))
+    """distinct (unit, ...) with n (its length) and, for all its substrings of least to longest signs that are pieces, s, e and what known (piece, ...) has of them."""
+    n, m, step = F.length("unit"), F.length("w.part"), F.lit(WINDOW)
+    # long units are cut into windows first: a substring costs time in proportion to its place
+    whole = F.array(F.struct(F.lit(0).alias("base"), F.col("unit").alias("part")))
+    windows = F.transform(F.sequence(F.lit(0), (n - 1) - F.pmod(n - 1, step), step), lambda b: F.struct(b.cast("int").alias("base"), F.substring("unit", b + 1, F.lit(WINDOW + longest - 1)).alias("part")))
+    own = distinct.where(n >= least).select("*", n.alias("n"), F.explode(F.when(n <= step, whole).otherwise(windows)).alias("w")).where(m >= least)
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.least(m - least, step - 1))).alias("x"))
+    own = own.select("*", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), m - F.col("x")))).alias("k"))
+    s = F.col("w.base") + F.col("x")
+    cut = own.select(*distinct.columns, "n", s.alias("s"), (s + F.col("k")).alias("e"), F.substring("w.part", F.col("x") + 1, F.col("k")).alias("piece"))
+    return cut.join(F.broadcast(known), "piece").drop("piece")  # the vocabulary: its size is the model's
+
+
+def merged_spans(units: DataFrame, known: DataFrame, longest: int, short: int = LONGEST) -> DataFrame:
+    """bucket, u, unit, spans: s << 20 | index of the pieces of several signs that BPE leaves of each unit (bucket, u, unit); single signs fill the gaps.
+
+    The edges in the order of their merges; each is made if no merge before it has crossed its ends. What is folded is the
+    set of boundaries that are left: the bits of a number for units of up to `short` signs, a byte each for longer ones.
+    """
+    lattice = edges(units, known, longest, 2)
+    brief = F.col("n") <= short
+    shift = lambda c, k: F.shiftleft(c.cast("long"), k)
+    key = shift(F.col("time"), 34).bitwiseOR(shift(F.col("s") + F.col("offset"), 28)).bitwiseOR(shift(F.col("depth"), 24)).bitwiseOR(shift(F.col("index"), 6)).bitwiseOR(F.col("s").cast("long"))
+    # numbers: bit k is the boundary before sign k
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
+    place = lambda c: F.when(brief, c).otherwise(0)
+    begin, end = bit(place(F.col("s"))), bit(place(F.col("e")))
+    narrow = F.struct(key.alias("key"), begin.bitwiseOR(end).alias("ends"), F.when(brief, end - begin - begin).alias("inner"))
+    wide = F.struct("time", (F.col("s") + F.col("offset")).alias("anchor"), "depth", "index", "s", "e")
+    grouped = lattice.groupBy("bucket", "u").agg(F.first("unit").alias("unit"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(brief, narrow))).alias("narrow"), F.sort_array(F.collect_list(F.when(~brief, wide))).alias("wide"))
+    ends = lambda m, x: m.bitwiseAND(x["ends"]) == x["ends"]
     inside = lambda m, x: m.bitwiseAND(x["inner"])
-    both = lambda m, x: m.bitwiseAND(x["ends"]) == x["ends"]
-    # a merge joins two neighbours: its ends are boundaries and one boundary lies between
-    may = lambda m, x: both(m, x) & (inside(m, x) != 0) & (inside(m, x).bitwiseAND(inside(m, x) - 1) == 0)
-    step = lambda m, _: m - F.coalesce(F.try_element_at(F.transform(F.filter("edges", lambda x: may(m, x)), lambda x: inside(m, x)), F.lit(1)), F.lit(0).cast("long"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n") - 1, F.size("edges"))), one(F.col("n") + 1) - 1, step)
-    done = grouped.withColumn("left", folded)
-    final = F.filter("edges", lambda x: both(F.col("left"), x) & (inside(F.col("left"), x) == 0))
-    return done.select("unit", F.transform(final, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))).alias("spans"))
+    left = F.aggregate("narrow", bit(place(F.col("n") + 1)) - 1, lambda m, x: F.when(ends(m, x), m - inside(m, x)).otherwise(m))
+    # bytes: byte k is the boundary before sign k
+    at = lambda m, k: F.substring(m, k + 1, F.lit(1)) == F.lit(b"1")
+    gone = lambda x: F.call_function("repeat", F.lit("0"), x["e"] - x["s"] - 1).cast("binary")
+    open_ends = lambda m, x: at(m, x["s"]) & at(m, x["e"])
+    start = F.call_function("repeat", F.lit("1"), F.when(~brief, F.col("n") + 1).otherwise(0)).cast("binary")
+    bytes_left = F.aggregate("wide", start, lambda m, x: F.when(open_ends(m, x), F.overlay(m, gone(x), x["s"] + 2, x["e"] - x["s"] - 1)).otherwise(m))
+    done = grouped.select("bucket", "u", "unit", "narrow", "wide", left.alias("left"), bytes_left.alias("bytes"))
+    spans = F.transform(F.filter("narrow", lambda x: ends(F.col("left"), x) & (inside(F.col("left"), x) == 0)), lambda x: shift(x["key"].bitwiseAND(63), 20).bitwiseOR(F.shiftright(x["key"], 6).bitwiseAND((1 << 18) - 1)))
+    whole = F.filter("wide", lambda x: open_ends(F.col("bytes"), x) & (F.substring("bytes", x["s"] + 2, x["e"] - x["s"] - 1) == gone(x)))
+    return done.select("bucket", "u", "unit", F.concat(spans, F.transform(whole, lambda x: shift(x["s"], 20).bitwiseOR(x["index"].cast("long")))).alias("spans"))
 
 
 def best_spans(distinct: DataFrame, known: DataFrame, longest: int, unknown: float) -> DataFrame:
@@ -187,83 +237,156 @@ def best_spans(distinct: DataFrame, known: DataFrame, longest: int, unknown: flo
 # -- the corpus -----------------------------------------------------------------------------------------------------------------
 
 
+def _units_of(texts: pa.Array, find: re.Pattern):
+    """What the texts consist of: for each distinct segment (a word between single spaces, or a whole text that has others) its units; and each text's segments.
+
+    Gives units (one after the other), their number in each segment, the segments of all texts and their number in each text.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    lists = pc.split_pattern(texts, " ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), counts)
+    plain = pc.invert(pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False) & find.pattern.startswith(f"{SPACE}*[")
+    plain[owner[pc.equal(flat, "").to_numpy(zero_copy_only=False)]] = False
+    words = flat.filter(pa.array(plain[owner])).dictionary_encode()
+    # words of ASCII letters are units as they stand
+    simple = pc.ascii_is_alpha(words.dictionary)
+    number = np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")
+    place = np.empty(len(number), dtype=np.int64)
+    place[number] = np.arange(len(number))
+    rest = np.flatnonzero(~plain)
+    # no unit reaches over a space: all other words are searched at once, and units that begin with one begin a word
+    mixed = words.dictionary.filter(pc.invert(simple)).to_pylist()
+    mixed = pa.array(find.findall(SPACE + SPACE.join(mixed)) if mixed else [], pa.large_string())
+    begin = np.flatnonzero(pc.starts_with(mixed, SPACE).to_numpy(zero_copy_only=False))
+    parts = [units(t, find) for t in texts.take(pa.array(rest)).to_pylist()]
+    counts[rest] = 1
+    segments = np.empty(int(counts.sum()), dtype=np.int64)
+    inside = np.repeat(plain, counts)
+    segments[inside] = place[words.indices.to_numpy(zero_copy_only=False)]
+    segments[~inside] = len(number) + np.arange(len(rest))
+    own = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), words.dictionary.filter(simple), pa.scalar("", pa.large_string()))
+    sizes = np.concatenate([np.ones(len(own), dtype=np.int64), np.diff(begin, append=len(mixed)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))])
+    return pa.concat_arrays([own, mixed, pa.array([u for x in parts for u in x], pa.large_string())]), sizes, segments, counts
+
+
 def _distinct_units(pattern: str):
     def run(batches):
-        find, words, held = re.compile(pattern), set(), set()
+        find, held, size = re.compile(pattern), [], 0
 
         def flush():
-            for w in words:
-                held.update(units(w, find))
-            return pa.RecordBatch.from_arrays([pa.array([u for u in held if len(u) <= LONGEST], pa.string())], ["unit"])
+            own = pa.chunked_array(held).unique()
+            own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+            return pa.RecordBatch.from_arrays([own.cast(pa.string()), pa.array(hash_strings(own).view(np.int64))], ["unit", "key"])
 
         for b in slices(batches, TOGETHER):
-            for t in b.column("text").to_pylist():
-                own = words_of(t or "", find)
-                if own is None:
-                    held.update(units(t, find))
-                else:
-                    words.update(own)
-            if len(words) + len(held) > FLUSH:
+            held.append(_units_of(b.column("text"), find)[0].unique())
+            size += len(held[-1])
+            if size > FLUSH:
                 yield flush()
-                words.clear()
-                held.clear()
-        yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _filled(unit: str, spans, model: Model) -> list[int]:
-    out, at = [], 0
-    for s in sorted(spans or [], key=lambda x: x["s"]):
-        out += ids_of(list(unit[at : s["s"]]), model)
-        out.append(s["id"])
-        at = s["e"]
-    return out + ids_of(list(unit[at:]), model)
-
-
-def _keep_units(base: str, model: Model):
+def _gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of flat, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _filled(own: pa.Array, spans: np.ndarray, counts: np.ndarray, model: Model, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units, one after the other, and how many each has: of their spans, and of the single signs between. index: each span's id and length."""
+    texts = own.to_pylist()
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    begins = np.cumsum(lengths) - lengths
+    at = np.repeat(begins, counts) + (spans >> 20)
+    which = spans & ((1 << 20) - 1)
+    order = np.argsort(at)
+    at, which = at[order], which[order]
+    covered = np.zeros(len(signs) + 1, dtype=np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + index[which, 1], -1)
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    kinds, kind = np.unique(signs[alone], return_inverse=True)
+    single = [ids_of([chr(c)], model) for c in kinds.tolist()]
+    several = np.array([len(x) for x in single], dtype=np.int64)
+    flat = np.array([i for x in single for i in x] or [0], dtype=np.uint32)
+    # items in the order of their places: spans have one id, signs one or one for each byte
+    place = np.concatenate([at, alone])
+    size = np.concatenate([np.ones(len(at), dtype=np.int64), several[kind] if len(alone) else np.zeros(0, dtype=np.int64)])
+    begin = np.concatenate([np.arange(len(at)), len(at) + (np.cumsum(several) - several)[kind] if len(alone) else np.zeros(0, dtype=np.int64)])
+    order = np.argsort(place)
+    ids = _gathered(np.concatenate([index[which, 0].astype(np.uint32), flat]), begin[order], size[order])
+    owner = np.searchsorted(begins, place, side="right") - 1
+    return ids, np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
+
+
+def _keep_units(base: str, model: Model, index: np.ndarray):
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        names = own.column("unit").combine_chunks()
-        ids = [_filled(u, s, model) for u, s in zip(names.to_pylist(), own.column("spans").to_pylist(), strict=True)]
-        keys = hash_strings(names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks))
+        names, spans = own.column("unit").combine_chunks(), own.column("spans").combine_chunks()
+        names, spans = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (names, spans))
+        counts = pc.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, sizes = _filled(names, spans.flatten().to_numpy(zero_copy_only=False), counts, model, index)
+        keys = hash_strings(names)
         order = np.argsort(keys)
-        ids = [ids[i] for i in order]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.uint64)
-        hs.save(f"{base}/units-{k}", {"key": keys[order], "ends": ends, "ids": np.array([x for i in ids for x in i], dtype=np.uint32)})
+        ids = _gathered(ids, (np.cumsum(sizes) - sizes)[order], sizes[order])
+        hs.save(f"{base}/units-{k}", {"key": keys[order], "ends": np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint64), "ids": ids})
         return pa.table({"bucket": pa.array([k], pa.int32())})
 
     return run
 
 
-def fit(documents: DataFrame, model: Model, path_of=merged_spans) -> dict:
-    """Encodes all distinct units of documents (text); returns what encode() needs."""
+def fit(documents: DataFrame, model: Model) -> dict:
+    """Encodes all distinct units of documents (text); returns what the encoder needs."""
     spark = documents.sparkSession
     lean_batches(spark)
     base = scratch(spark, "pieces")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = spark.createDataFrame([(p, s, i) for p, (s, i) in model.score.items() if len(p) > 1 or not model.bpe], "piece string, score double, id int")
-    distinct = documents.select("text").mapInArrow(_distinct_units(model.pattern), "unit string").distinct()
-    spans = path_of(distinct, known, model.longest)
-    out = spans.select(F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int").alias("bucket"), "unit", "spans")
-    kept = settled(out.groupBy("bucket").applyInArrow(tidy(_keep_units(base, model)), "bucket int"), "units")
-    return {"base": base, "buckets": buckets, "files": sorted(r.bucket for r in kept.collect())}
-
-
-def _unit_ids(own: list[str], model: Model, store: dict) -> list[np.ndarray]:
-    """The ids of distinct units. Those without any piece of several signs, and long ones, aren't in the store."""
-    keys = hash_strings(pa.array(own, pa.string()))
-    out: list = [None] * len(own)
-    for k in store["files"]:
-        f = hs.load(f"{store['base']}/units-{k}")
-        spot = np.minimum(np.searchsorted(f["key"], keys), len(f["key"]) - 1)
-        for i in np.flatnonzero(f["key"][spot] == keys).tolist():
-            s = spot[i]
-            out[i] = f["ids"][int(f["ends"][s]) : int(f["ends"][s + 1])]
-    for i, u in enumerate(own):
-        if out[i] is None:
-            out[i] = np.array(ids_of(merge(u, model) if len(u) > LONGEST and model.bpe else list(u), model), dtype=np.uint32)
-    return out
+    plan = schedule(model)
+    index = np.zeros((max([i for *_, i in plan], default=0) + 1, 2), dtype=np.int64)
+    for p, _, _, _, i in plan:
+        index[i] = model.score[p][1], len(p)
+    if len(index) > 1 << 18:
+        raise ValueError("more than 2**18 pieces of several signs")
+    short = LONGEST if max([d for *_, d, _ in plan], default=0) < 16 else 0
+    known = spark.createDataFrame(plan, "piece string, time int, offset int, depth int, index int")
+    distinct = settled(documents.select("text").mapInArrow(_distinct_units(model.pattern), "unit string, key long").distinct(), "units")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // BUCKET))
+    dealt = distinct.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "unit").repartition(buckets, "bucket")
+    spans = merged_spans(dealt.withColumn("u", F.monotonically_increasing_id()), known, model.longest, short)
+    kept = settled(spans.groupBy("bucket").applyInArrow(tidy(_keep_units(base, model, index)), "bucket int"), "pieces-of-units")
+    return {"base": base, "buckets": buckets, "files": {r.bucket for r in kept.collect()}, "index": index}
+
+
+def _ids_of_units(own: pa.Array, model: Model, store: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of distinct units: one array, and where each unit's ids begin and how many there are. Units without any piece of several signs aren't in the store."""
+    keys = hash_strings(own)
+    sizes, begins = np.zeros(len(own), dtype=np.int64), np.full(len(own), -1, dtype=np.int64)
+    found, done = [], 0
+    bucket = keys.view(np.int64) % store["buckets"]
+    order = np.lexsort([keys, bucket])
+    edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if (k := int(bucket[order[i]])) not in store["files"]:
+            continue
+        f, who = hs.load(f"{store['base']}/units-{k}"), order[i:j]
+        spot = np.minimum(np.searchsorted(f["key"], keys[who]), len(f["key"]) - 1)
+        hit = f["key"][spot] == keys[who]
+        who, spot = who[hit], spot[hit]
+        first = f["ends"][spot].astype(np.int64)
+        n = f["ends"][spot + 1].astype(np.int64) - first
+        found.append(_gathered(f["ids"], first, n))
+        sizes[who], begins[who] = n, done + np.cumsum(n) - n
+        done += len(found[-1])
+    rest = np.flatnonzero(begins < 0)
+    ids, n = _filled(own.take(pa.array(rest)), np.zeros(0, dtype=np.int64), np.zeros(len(rest), dtype=np.int64), model, store["index"])
+    sizes[rest], begins[rest] = n, done + np.cumsum(n) - n
+    return np.concatenate([*found, ids]), begins, sizes
 
 
 def decode(ids, model: Model) -> str:
@@ -274,48 +397,48 @@ def decode(ids, model: Model) -> str:
 
 def _encoder(model: Model, store: dict, digest: bool):
     def run(batches):
-        find = re.compile(model.pattern)
+        find, said = re.compile(model.pattern), pa.array(model.text, pa.large_binary())
         for b in slices(batches, TOGETHER):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            place: dict = {}  # of distinct words, or (in a tuple) of whole texts that have no plain words
-            flat: list[int] = []
-            counts = []
-            for t in texts:
-                own = words_of(t, find)
-                if own is None:
-                    own = [(t,)]
-                counts.append(len(own))
-                flat += [place.setdefault(w, len(place)) for w in own]
-            inside = [units(w[0] if isinstance(w, tuple) else w, find) for w in place]
-            known = {u: k for k, u in enumerate(dict.fromkeys(u for own in inside for u in own))}
-            found = _unit_ids(list(known), model, store)
-            parts = [[found[known[u]] for u in own] for own in inside]
-            sizes = np.array([sum(map(len, x)) for x in parts], dtype=np.int64)
-            every = np.concatenate([x for own in parts for x in own]) if sizes.sum() else np.zeros(0, dtype=np.uint32)
-            begins = np.cumsum(sizes) - sizes
-            at = np.array(flat, dtype=np.int64)
-            n = sizes[at]
-            ids = every[np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(at) else every[:0]
-            cut = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-            rows = [ids[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            texts = b.column("text")
+            flat, inside, segments, counts = _units_of(texts, find)
+            coded = flat.dictionary_encode()
+            every, begins, sizes = _ids_of_units(coded.dictionary, model, store)
+            # of each distinct segment, then of each text
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            every = _gathered(every, begins[at], sizes[at])
+            first = np.concatenate([[0], np.cumsum(inside)])
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])[first]
+            n = np.diff(ends)[segments]
+            ids = _gathered(every, ends[:-1][segments], n)
+            cut = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+            rows = [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            back = said.take(pa.array(ids))
+            where = np.frombuffer(back.buffers()[1], dtype=np.int64)[cut].tolist() if len(back) else [0] * len(cut)
+            raw = back.buffers()[2].to_pybytes() if len(back) and back.buffers()[2] else b""
+            texts = [t or "" for t in texts.to_pylist()]
+            same = [raw[i:j] == (b" " + t.encode() if t else b"") for t, i, j in zip(texts, where[:-1], where[1:], strict=True)]
+            for k, t in enumerate(texts):
+                if not same[k] and SPACE not in t:  # two units with one hash
+                    rows[k] = np.array([i for u in units(t, find) for i in ids_of(merge(u, model), model)], dtype=np.uint32)
+                    same[k] = decode(rows[k].tolist(), model) == t
             keep = [b.column(i) for i, x in enumerate(b.schema.names) if x != "text"]
             names = [x for x in b.schema.names if x != "text"]
             if digest:
-                same = [decode(r.tolist(), model) == t for r, t in zip(rows, texts, strict=True)]
-                extra = [pa.array([len(r) for r in rows], pa.int64()), pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows]), pa.array(same)]
+                extra = [pa.array([len(r) for r in rows], pa.int64()), pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows], pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*keep, *extra], [*names, "n_ids", "ids_sha256", "round_trip"])
             else:
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, ids[:0]]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*keep, lists], [*names, "ids"])
 
     return run
 
 
-def encode(documents: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and ids of every document (doc_id, text)."""
+def encode(documents: DataFrame, path: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns that carry names, and ids of every document (doc_id, text)."""
     model = load(path)
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(_encoder(model, fit(own, model), False), "doc_id long, ids array<int>")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    kinds = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in carry)
+    return own.mapInArrow(_encoder(model, fit(own, model), False), f"doc_id long, {kinds}ids array<int>")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
