@@ -63,7 +63,9 @@ def resolve(base: str, href: str | None) -> str | None:
         parts = urlsplit(urljoin(base, href))
     except ValueError:
         return None
-    return f"{parts.scheme}://{parts.netloc}{parts.path or '/'}" if parts.scheme in ("http", "https") and parts.netloc else None
+    if parts.scheme not in ("http", "https") or not parts.netloc:
+        return None
+    return urljoin(f"{parts.scheme}://{parts.netloc}/", parts.path or "/")  # dots go from absolute paths too
 
 
 _READ = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
@@ -109,8 +111,30 @@ def links_expr(html) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)<a [^>]*?href="([^"]*)"'), F.lit(1))
 
 
+def _without_dots(path) -> Column:
+    """An absolute path without its dot segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda own, s: F.when(s == ".", own).when(s == "..", F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(F.concat(own, F.array(s))))
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def canonical_expr(base, href) -> Column:
-    """resolve() for absolute and absolute-path links."""
-    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
-    full = F.when(F.regexp_like(href, F.lit(r"(?i)^https?://")), href).when(F.startswith(href, F.lit("/")) & ~F.startswith(href, F.lit("//")), F.concat(root, href))
-    return F.regexp_extract(full, r"(?i)^(https?://[^?#]*)", 1)
+    """resolve() as a column: the absolute http(s) address of a link without query and fragment; '' or null where there is none."""
+    href = F.trim(href)
+    root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]*)", 1)
+    address = F.regexp_like(href, F.lit(r"(?i)^https?://"))
+    rooted = F.startswith(href, F.lit("/")) & ~F.startswith(href, F.lit("//"))
+    full = F.when(address, href).when(rooted, F.concat(root, href))
+    simple = F.regexp_extract(full, r"(?i)^(https?://[^?#]*)", 1)
+    # links relative to the page, to its scheme or with dots in them
+    own = F.regexp_extract(base, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(own, r"[^/]*$", "")
+    beside = F.when(path == "", own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    whole = F.when(address, href).when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), href)).otherwise(F.concat(root, F.when(rooted, path).otherwise(beside)))
+    place = F.regexp_extract(whole, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+    general = F.concat(F.regexp_extract(whole, r"(?i)^(https?://[^/?#]+)", 1), _without_dots(F.when(place == "", "/").otherwise(place)))
+    no_link = (href == "") | F.startswith(href, F.lit("#")) | F.regexp_like(href, F.lit(r"(?i)^(?!https?://)[a-z][a-z0-9+.-]*:")) | (root == "") & ~address
+    plain = (address | rooted) & ~F.contains(path, F.lit("/."))
+    return F.when(no_link, "").when(plain, simple).otherwise(general)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import char_ngrams, letter_words
-
 UNDETERMINED, PROFILE, ABSENT, MARGIN, LEAST_GRAMS = "und", 320, 320, 0.08, 4
 
 #: The training texts, in the order that breaks ties.
@@ -35,13 +35,27 @@ SAMPLES = {
 }
 
 
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def ranked(text: str, most: int = PROFILE) -> list[tuple[str, int]]:
+    """A text's most frequent grams of one to three characters with their counts: by count, then by code point.
+
+    All words stand in one line, each between underscores; grams with a space in them reach over a word's end and go.
+    """
+    words = _LETTERS.findall((text or "").lower())
+    if not words:
+        return []
+    line = "_" + "_ _".join(words) + "_"
+    counts = Counter(line)
+    counts.update(map("".join, zip(line, line[1:], strict=False)))
+    counts.update(map("".join, zip(line, line[1:], line[2:], strict=False)))
+    return sorted(((g, n) for g, n in counts.items() if " " not in g), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def profile(text: str, most: int = PROFILE) -> dict[str, int]:
     """Grams with their ranks: by count, then by code point."""
-    counts: Counter = Counter()
-    for word in re.findall(r"[^\W\d_]+", text.lower()):
-        w = f"_{word}_"
-        counts.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    return {g: k for k, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])}
+    return {g: k for k, (g, _) in enumerate(ranked(text, most))}
 
 
 def detect(text: str, samples=SAMPLES) -> tuple[str, bool]:
@@ -49,30 +63,31 @@ def detect(text: str, samples=SAMPLES) -> tuple[str, bool]:
     own = profile(text or "")
     if len(own) < LEAST_GRAMS or not samples:
         return UNDETERMINED, False
-    ranked = sorted(((sum(abs(r - p[g]) if g in p else ABSENT for g, r in own.items()), k, lang) for k, (lang, p) in enumerate((x, profile(t)) for x, t in samples.items())))
-    if len(ranked) == 1:
-        return ranked[0][2], True
-    return ranked[0][2], ranked[1][0] > 0 and ranked[1][0] - ranked[0][0] >= MARGIN * ranked[1][0]
+    order = sorted((sum(abs(r - p[g]) if g in p else ABSENT for g, r in own.items()), k, lang) for k, (lang, p) in enumerate((x, _profile_of(t)) for x, t in samples.items()))
+    if len(order) == 1:
+        return order[0][2], True
+    return order[0][2], order[1][0] > 0 and order[1][0] - order[0][0] >= MARGIN * order[1][0]
+
+
+_profile_of = lru_cache(maxsize=64)(profile)
 
 
 def gram_ranks(texts: DataFrame, most: int = PROFILE) -> DataFrame:
-    """doc_id, gram, n, rnk: each text's profile. Words are counted before they are cut into grams."""
-    words = texts.select("doc_id", F.explode(letter_words("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    grams = words.select("doc_id", "k", F.explode(char_ngrams(F.col("word"))).alias("gram")).groupBy("doc_id", "gram").agg(F.sum("k").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "gram")
-    return grams.withColumn("rnk", F.row_number().over(order) - 1).where(F.col("rnk") < most)
+    """doc_id, gram, n, rnk: each text's profile. A text's grams are counted where it stands, so that nothing is shuffled."""
+
+    @F.pandas_udf("array<struct<gram:string,n:bigint>>")
+    def grams(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"gram": g, "n": n} for g, n in ranked(t, most)])
+
+    own = texts.select("doc_id", F.posexplode(grams("text")).alias("rnk", "g"))
+    return own.select("doc_id", "g.gram", "g.n", "rnk")
 
 
 def detect_languages(texts: DataFrame, samples=SAMPLES) -> DataFrame:
-    """doc_id, language, confident for every row of texts (doc_id, text). The profiles of the samples are a map in the plan."""
-    maps = [F.create_map(*[F.lit(x) for pair in profile(t).items() for x in pair]) for t in samples.values()]
-    ranks = gram_ranks(texts)
-    away = [F.sum(F.coalesce(F.abs(F.col("rnk") - F.try_element_at(m, F.col("gram"))), F.lit(ABSENT))).alias(f"d{k}") for k, m in enumerate(maps)]
-    sums = ranks.groupBy("doc_id").agg(F.count("*").alias("grams"), *away)
-    pairs = F.array_sort(F.array(*[F.struct(F.col(f"d{k}").alias("d"), F.lit(k).alias("k"), F.lit(lang).alias("lang")) for k, lang in enumerate(samples)]))
-    ranked = sums.withColumn("r", pairs)
-    second = F.try_element_at("r", F.lit(2))["d"]
-    sure = F.when(second.isNull(), True).otherwise((second > 0) & (second - F.col("r")[0]["d"] >= MARGIN * second))
-    enough = F.col("grams") >= LEAST_GRAMS
-    found = ranked.select(F.col("doc_id").alias("known_id"), F.when(enough, F.col("r")[0]["lang"]).otherwise(UNDETERMINED).alias("language"), (enough & sure).alias("confident"))
-    return texts.select("doc_id").join(found, F.col("doc_id") == F.col("known_id"), "left").select("doc_id", F.coalesce("language", F.lit(UNDETERMINED)).alias("language"), F.coalesce("confident", F.lit(False)).alias("confident"))
+    """doc_id, language, confident for every row of texts (doc_id, text), without a shuffle."""
+
+    @F.pandas_udf("language string, confident boolean")
+    def guess(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([detect(t, samples) for t in text], columns=["language", "confident"])
+
+    return texts.select("doc_id", guess("text").alias("g")).select("doc_id", "g.language", "g.confident")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
+
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from textloom.functions import distance, exact, html, language
 
@@ -21,12 +24,33 @@ class CharNgrams:
         yield from language.profile(text or "").items()
 
 
+def _batched(f, kind: str):
+    """f(value, ...) as an Arrow function; null in, null out."""
+    if len(inspect.signature(f).parameters) == 1:
+        return pandas_udf(_one(f), kind)
+    return pandas_udf(_two(f), kind)
+
+
+def _one(f):
+    def run(a: pd.Series) -> pd.Series:
+        return a.map(f, na_action="ignore")
+
+    return run
+
+
+def _two(f):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run
+
+
 def register(spark: SparkSession) -> None:
-    spark.udf.register("tokenize", lambda s: [t for t, _, _ in exact.tokenize(s or "")], "array<string>")
-    spark.udf.register("fold", lambda s: None if s is None else exact.fold(s), "string")
-    spark.udf.register("damerau", lambda a, b: None if a is None or b is None else distance.damerau_distance(a, b), "int")
-    spark.udf.register("osa", lambda a, b: None if a is None or b is None else distance.osa_distance(a, b), "int")
+    spark.udf.register("tokenize", _batched(lambda s: [t for t, _, _ in exact.tokenize(s)], "array<string>"))
+    spark.udf.register("fold", _batched(exact.fold, "string"))
+    spark.udf.register("damerau", _batched(distance.damerau_distance, "int"))
+    spark.udf.register("osa", _batched(distance.osa_distance, "int"))
     spark.udf.register("html_text", html.html_text)
-    spark.udf.register("detect_language", lambda s: language.detect(s or "")[0], "string")
+    spark.udf.register("detect_language", _batched(lambda s: language.detect(s)[0], "string"))
     spark.udtf.register("word_ngrams", WordNgrams)
     spark.udtf.register("char_ngrams", CharNgrams)

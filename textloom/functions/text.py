@@ -63,8 +63,10 @@ def clean_part(part) -> Column:
 
 def word_ngrams(tokens, size: int) -> Column:
     """Runs of size tokens joined by underscores."""
-    last = F.size(tokens) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, size), "_"))).otherwise(F.array().cast("array<string>"))
+    runs = tokens
+    for k in range(1, size):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), b))
+    return F.slice(runs, F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(0)))
 
 
 def letter_words(c) -> Column:
@@ -109,11 +111,27 @@ def url_escape(c) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
 
+_LISTS = 1 << 12  # more lists than a query has terms
+
+
 def best_window(lists) -> Column:
-    """The smallest (span, start) that covers an element of each sorted list; the earliest of several. Null without lists."""
-    ends_after = lambda p: F.forall(lists, lambda x: F.array_max(x) >= p)
-    at = lambda p: F.struct((F.array_max(F.transform(lists, lambda x: F.array_min(F.filter(x, lambda y: y >= p)))) - p).alias("span"), p.alias("start"))
-    return F.array_min(F.transform(F.filter(F.flatten(lists), ends_after), at))
+    """The smallest (span, start) that covers an element of each sorted list; the earliest of several. Null without lists.
+
+    One sweep over all elements in order, with the last element of each list so far as the state.
+    """
+    merged = F.array_sort(F.flatten(F.transform(lists, lambda x, k: F.transform(x, lambda p: p.cast("long") * _LISTS + k))))
+    none, far = F.lit(-1).cast("long"), F.lit((1 << 31) - 1).cast("long")
+    start = F.struct(F.array_repeat(none, F.size(lists)).alias("last"), far.alias("span"), none.alias("start"))
+
+    def step(s, x):
+        p = F.shiftright(x, 12)
+        last = F.transform(s["last"], lambda v, k: F.when(x.bitwiseAND(_LISTS - 1) == k, p).otherwise(v))
+        low = F.array_min(last)
+        better = (low >= 0) & (p - low < s["span"])
+        return F.struct(last.alias("last"), F.when(better, p - low).otherwise(s["span"]).alias("span"), F.when(better, low).otherwise(s["start"]).alias("start"))
+
+    best = F.aggregate(merged, start, step, lambda s: F.struct(s["span"].cast("int").alias("span"), s["start"].cast("int").alias("start")))
+    return F.when(best["start"] >= 0, best)
 
 
 def preview(content, window_start, window_end, before: int = 60, after: int = 140, most: int = 300, plain: int = 200) -> Column:

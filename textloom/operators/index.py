@@ -94,6 +94,7 @@ class Index:
     vocab: DataFrame
     prefixes: DataFrame
     titles: DataFrame
+    stored: bool = False
 
     def refresh(self) -> Index:
         """A new object with vocabulary, prefixes and titles of the tables as they are; readers keep the old one until they take it."""
@@ -121,12 +122,15 @@ KEYS = {"postings": "term", "phrases": "phrase", "vocab": "term", "prefixes": "p
 
 
 def save(index: Index, base: str) -> None:
-    """All tables below base. Each is made once: later ones read the postings that were written."""
+    """All tables below base. Texts are tokenized once: the other tables are made of the tokens, and of each other, as written."""
     spark = index.pages.sparkSession
-    for name in ("tokens", "postings", "phrases", "meta", "pages", "stats", "titles"):
-        _write(getattr(index, name), base, name)
-    _write(vocabulary(spark.read.parquet(f"{base}/postings")), base, "vocab")
-    _write(prefix_top(spark.read.parquet(f"{base}/vocab")), base, "prefixes")
+    _write(index.tokens, base, "tokens")
+    written = lambda name: spark.read.parquet(f"{base}/{name}")
+    own = written("tokens")
+    for name, table in (("postings", postings(own)), ("phrases", phrase_postings(own)), ("meta", index.meta), ("pages", index.pages), ("titles", index.titles)):
+        _write(table, base, name)
+    for name, of, make in (("stats", "meta", stats), ("vocab", "postings", vocabulary), ("prefixes", "vocab", prefix_top)):
+        _write(make(written(of)), base, name)
     spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{base}/version")
 
 
@@ -137,7 +141,7 @@ def _write(df: DataFrame, base: str, name: str) -> None:
 
 
 def load(spark: SparkSession, base: str) -> Index:
-    return Index(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES})
+    return Index(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES}, stored=True)
 
 
 def ensure(spark: SparkSession, pages: DataFrame, base: str) -> tuple[Index, str]:

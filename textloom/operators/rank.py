@@ -31,9 +31,9 @@ def bm25(tf, df, total, length, average, o: Bm25Options = Bm25Options()) -> Colu
     return F.when((tf == 0) | (length == 0) | (average == 0) | (total == 0), 0.0).otherwise(score)
 
 
-def contributions(found: DataFrame, key: str, meta: DataFrame, stats: DataFrame, boost: float, language: str | None, o: Bm25Options) -> DataFrame:
-    """doc_id, part: what each matching term or phrase adds. df counts pages with it in either field."""
-    df = found.groupBy(key).agg(F.count("*").alias("df"))
+def contributions(found: DataFrame, key: str, meta: DataFrame, stats: DataFrame, boost: float, language: str | None, o: Bm25Options, df: DataFrame | None = None) -> DataFrame:
+    """doc_id, part: what each matching term or phrase adds. df (key, df), if it isn't known, counts pages with it in either field."""
+    df = found.groupBy(key).agg(F.count("*").alias("df")) if df is None else df
     rows = found.join(F.broadcast(df), key).join(meta, "doc_id").crossJoin(F.broadcast(stats))  # df: one row a query term; stats: one row
     part = o.w_title * bm25(F.col("tf_title"), F.col("df"), F.col("total_docs"), F.col("length_title"), F.col("avg_length_title"), o)
     part = (part + o.w_content * bm25(F.col("tf_content"), F.col("df"), F.col("total_docs"), F.col("length_content"), F.col("avg_length_content"), o)) * boost
@@ -49,14 +49,18 @@ def windows(found: DataFrame) -> DataFrame:
     return lists.select("doc_id", F.size("l").alias("lists"), w.alias("w")).select("doc_id", "lists", F.col("w.span").alias("span"), F.col("w.start").alias("window_start"))
 
 
-def scores(index: Index, terms: list[str], language: str | None = None, o: Bm25Options = Bm25Options(), proximity: bool = True, phrases: bool = True) -> DataFrame:
-    """doc_id, score, lists, span, window_start of every page with any of the terms."""
+def scores(index: Index, terms: list[str], language: str | None = None, o: Bm25Options = Bm25Options(), proximity: bool = True, phrases: bool = True, windowed: bool = True) -> DataFrame:
+    """doc_id, score, and if windowed lists, span, window_start of every page with any of the terms."""
     found = lookup(index.postings, "term", terms)
-    parts = contributions(found, "term", index.meta, index.stats, 1.0, language, o)
+    stored = lookup(index.vocab, "term", terms) if index.stored else None  # a vocabulary that would have to be made first is no help
+    parts = contributions(found, "term", index.meta, index.stats, 1.0, language, o, stored)
     runs = [p for n in (2, 3) for p in exact.word_ngrams(terms, n)]
     if phrases and runs and o.phrase_boost > 0:
         parts = parts.unionByName(contributions(lookup(index.phrases, "phrase", runs), "phrase", index.meta, index.stats, o.phrase_boost, language, o))
-    total = parts.groupBy("doc_id").agg(F.sum("part").alias("score")).join(windows(found), "doc_id", "left")
+    total = parts.groupBy("doc_id").agg(F.sum("part").alias("score"))
+    if not windowed:
+        return total
+    total = total.join(windows(found), "doc_id", "left")
     if proximity and o.proximity_boost > 0:
         near = 1 + o.proximity_boost * o.proximity_scale / (o.proximity_scale + F.col("span"))
         total = total.withColumn("score", F.col("score") * F.when(F.col("lists") >= 2, near).otherwise(1.0))
@@ -68,8 +72,10 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def hits(index: Index, best: DataFrame) -> DataFrame:
-    """doc_id, url, title, preview, score of ranked pages. Page bodies are read for these alone."""
-    rows = index.pages.select("doc_id", "url", "title", "content").join(F.broadcast(best), "doc_id")  # at most top-k rows
+    """doc_id, url, title, preview, score of ranked pages. Page bodies are read for these alone: their ids reach the scan."""
+    found = best.select("doc_id", "score", "span", "window_start").collect()  # at most top-k rows
+    best = best.sparkSession.createDataFrame(found, "doc_id long, score double, span int, window_start int")
+    rows = index.pages.select("doc_id", "url", "title", "content").where(F.col("doc_id").isin([r.doc_id for r in found])).join(F.broadcast(best), "doc_id")
     return rows.select("doc_id", "url", "title", preview(F.col("content"), F.col("window_start"), F.col("window_start") + F.col("span")).alias("preview"), "score").orderBy(F.desc("score"), "doc_id")
 
 

@@ -39,8 +39,12 @@ def within(vocab: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFr
     Both sides meet on what is left of them after up to most deletions, so that no pair is formed that can't match;
     the distance itself is computed on what a built-in guard lets through.
     """
-    left = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
-    right = vocab.select("term").select("term", F.explode(deletions(F.col("term"), most)).alias("key"))
+    own = words.select("word").where("word IS NOT NULL").distinct()
+    left = own.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
+    # only terms as long as some word is, give or take: what is left of a long string is the square of its length
+    span = own.agg(F.min(F.length("word")).alias("least"), F.max(F.length("word")).alias("longest"))
+    near = vocab.select("term").join(F.broadcast(span), F.length("term").between(F.col("least") - most, F.col("longest") + most))  # one row
+    right = near.select("term", F.explode(deletions(F.col("term"), most)).alias("key"))
     pairs = left.join(right, "key").select("word", "term").distinct().where(may_be_within(F.col("word"), F.col("term"), most))
     return pairs.withColumn("distance", damerau(F.col("word"), F.col("term"))).where(F.col("distance") <= most)
 

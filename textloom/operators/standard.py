@@ -34,9 +34,13 @@ class StandardOptions:
     constant: float = 1.0
 
 
+#: Unicode word breaks: letters, digits and underscores, with one mark between two letters or two digits.
+WORD = r"(?:\p{L}(?:[.:'’·]\p{L})*|\p{N}(?:[.,;'’]\p{N})*|_)+"
+
+
 def standard_words(c):
-    """Folded words by Unicode word breaks; hyphens part them; no stop words, any length."""
-    return F.flatten(F.sentences(F.translate(fold(c), "-", " ")))
+    """Folded words by Unicode word breaks; no stop words, any length."""
+    return F.coalesce(F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -46,9 +50,9 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def query_words(query: str) -> list[str]:
-    import re
+    import regex
 
-    return [w for w in re.findall(r"[^\W_]+(?:[.'][^\W_]+)*", exact.fold(query).replace("-", " "))]
+    return regex.findall(WORD, exact.fold(query))
 
 
 def field_stats(words: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ The corpus is the table documents: title = first line, content = the whole text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import distance as D
+from textloom.functions import exact
 from textloom.functions import html as H
 from textloom.functions import text as X
 from textloom.functions.language import SAMPLES, detect_languages, gram_ranks, profile
@@ -18,6 +21,8 @@ from textloom.operators import rank as rk
 from textloom.operators import search as se
 from textloom.operators import standard as st
 from textloom.sources import pages as pg
+from textloom.sources.shared import fresh
+from textloom.streaming.maintain import snapshot, upsert
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +31,9 @@ TERMS = ["the", "of", "and"]
 TITLE_TERMS = ["thonre", "erand", "ofthst"]
 TYPOS = ["tionn", "hte", "adn", "teh", "qeu", "fro"]
 PREFIX = "tho"
+LONG = 3000
+SEARCHES = ["thonre erandd", "ofthst zzadnq", "zzadnq qqqq", "ofthst thonre erand"]
+OVERLAPS = ["the thonre", "erand"]
 
 
 def query(f):
@@ -128,9 +136,10 @@ SQL["postings_tf"] = f"{_SPOTS} WHERE post.term IN ({', '.join(map(_lit, TERMS +
 @query
 def phrase_df_top(spark, d):
     t = ix.token_arrays(_pages(spark, d))
-    runs = lambda n: F.concat(X.word_ngrams(F.col("title_tokens"), n), X.word_ngrams(F.col("content_tokens"), n))
-    sized = F.explode(F.concat(*[F.arrays_zip(F.array_distinct(runs(n)).alias("phrase"), F.array_repeat(F.lit(n), F.size(F.array_distinct(runs(n)))).alias("size")) for n in (2, 3)])).alias("p")
-    return t.select(sized).groupBy("p.phrase", "p.size").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "size", "phrase").limit(100)
+    runs = F.concat(*[X.word_ngrams(F.col(c), n) for n in (2, 3) for c in ("title_tokens", "content_tokens")])
+    df = t.select(F.explode(F.array_distinct(runs)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
+    # tokens have no underscores
+    return df.select("phrase", (F.size(F.split("phrase", "_"))).alias("size"), "df").orderBy(F.desc("df"), "size", "phrase").limit(100)
 
 
 SQL["phrase_df_top"] = f"""WITH {_TOK}, l AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc_id, field ORDER BY pos)),
@@ -151,7 +160,7 @@ def _ranked(scored: DataFrame) -> DataFrame:
 
 @query
 def bm25_search(spark, d):
-    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False, phrases=False))
+    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False, phrases=False, windowed=False))
 
 
 _BM = """3.0 * CASE WHEN tf_title = 0 OR len(tt) = 0 OR avt = 0 THEN 0 ELSE ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf_title * 2.2 / (tf_title + 1.2 * (0.25 + 0.75 * len(tt) / avt)) END
@@ -164,7 +173,7 @@ SQL["bm25_search"] = f"WITH {_POST}, {_STATS}, {_PARTS} SELECT doc_id, round(sum
 
 @query
 def bm25_phrase_search(spark, d):
-    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False))
+    return _ranked(rk.scores(_index(spark, d), TERMS, proximity=False, windowed=False))
 
 
 _PHRASES = f"""pl AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc_id, field ORDER BY pos)),
@@ -206,7 +215,7 @@ def search_language_boost(spark, d):
     i = _index(spark, d)
     lang = pg.Catalog(spark, d)["documents"].select("doc_id", F.col("lang").alias("language"))
     i.meta = i.meta.drop("language").join(lang, "doc_id")
-    return _ranked(rk.scores(i, TERMS, "en", proximity=False, phrases=False))
+    return _ranked(rk.scores(i, TERMS, "en", proximity=False, phrases=False, windowed=False))
 
 
 SQL["search_language_boost"] = f"WITH {_POST}, {_STATS}, {_PARTS} SELECT doc_id, round(sum(part * CASE WHEN lang = 'en' THEN 2.0 ELSE 1.0 END), 6) AS score FROM parts JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"
@@ -303,6 +312,13 @@ def fuzzy_autocomplete(spark, d):
     return se.fuzzy_words(ix.prefix_top(_vocab(spark, d)), PREFIX, 1)
 
 
+#: One edit is the same for restricted and unrestricted transpositions; one byte stands for each sign beyond ASCII, as the prefix has none.
+_PREFIXES = SQL["prefix_top10"].replace("SELECT prefix, term, df, rnk::INT AS rnk FROM p WHERE rnk <= 10", "").rstrip()
+_AWAY = f"damerau_levenshtein(regexp_replace(%s, '[^\\x00-\\x7F]', chr(1), 'g'), '{PREFIX}')"
+_FUZZY = f"fz AS (SELECT term, max(df) AS df, min({_AWAY % 'prefix'}) AS distance FROM p WHERE rnk <= 10 AND starts_with(prefix, '{PREFIX[0]}') AND {_AWAY % 'prefix'} <= 1 GROUP BY term)"
+SQL["fuzzy_autocomplete"] = f"{_PREFIXES}, {_FUZZY} SELECT term, df, distance::INT AS distance FROM fz"
+
+
 @query
 def title_match(spark, d):
     return se.match_titles(ix.titles(_pages(spark, d)), PREFIX)
@@ -318,6 +334,15 @@ def autocomplete_hybrid(spark, d):
     return se.autocomplete(ix.Index(None, None, None, None, None, None, vocab, ix.prefix_top(vocab), ix.titles(_pages(spark, d))), PREFIX)
 
 
+_PLACE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY src, k) AS again FROM both_of) WHERE again = 1), placed AS (SELECT *, row_number() OVER (ORDER BY src, k) AS ord FROM one) SELECT ord::INT AS ord, text, is_correction FROM placed WHERE src = 0 OR ord <= 10"
+SQL["autocomplete_hybrid"] = f"""{_PREFIXES}, {_FUZZY}, {_TITLES}, words AS (SELECT *, row_number() OVER (ORDER BY distance, df DESC, length(term), term) AS k FROM fz QUALIFY k <= 5),
+mr AS (SELECT title, folded, CASE WHEN starts_with(folded, '{PREFIX}') THEN 0 ELSE 1 END AS r FROM titles WHERE starts_with(folded, '{PREFIX}') OR regexp_matches(folded, '[^\\p{{L}}\\p{{Nd}}]{PREFIX}')),
+w1 AS (SELECT term FROM words WHERE k = 1),
+other AS (SELECT title, folded, CASE WHEN starts_with(folded, term) THEN 0 ELSE 1 END AS r FROM titles, w1 WHERE NOT EXISTS (FROM mr) AND (starts_with(folded, term) OR regexp_matches(folded, '[^\\p{{L}}\\p{{Nd}}]' || term))),
+mt AS (SELECT title, row_number() OVER (ORDER BY r, length(title), title) AS k FROM (FROM mr UNION ALL FROM other) QUALIFY k <= 15),
+both_of AS (SELECT 0 AS src, k, term AS text, distance > 0 AS is_correction FROM words UNION ALL SELECT 1, k, title, false FROM mt), {_PLACE}"""
+
+
 @query
 def distinct_titles_ci(spark, d):
     return ix.titles(_pages(spark, d))
@@ -362,6 +387,9 @@ def page_text_parsed(spark, d):
     return own.select(F.col("doc_id").alias("page_id"), "title", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
+SQL["page_text_parsed"] = f"SELECT page_id, title, n_chars, digest FROM ({SQL['page_titles']}) JOIN ({SQL['page_text']}) USING (page_id)"
+
+
 @query
 def page_links(spark, d):
     own = pg.links(pg.Catalog(spark, d)["pages"])
@@ -407,11 +435,39 @@ def lucene_text_search(spark, d):
     return own.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+_STD_WORD = st.WORD.replace("'", "''")
+_STD = f"""sd AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower({_UNACCENT % 'split_part(text, chr(10), 1)'}), '{_STD_WORD}') AS tt, regexp_extract_all(lower({_UNACCENT % 'text'}), '{_STD_WORD}') AS ct FROM documents),
+sw AS MATERIALIZED (SELECT doc_id, 'title' AS field, unnest(tt) AS token, unnest(range(len(tt))) AS pos FROM sd UNION ALL SELECT doc_id, 'content', unnest(ct), unnest(range(len(ct))) FROM sd),
+sz AS (SELECT field, doc_id, count(*) AS length FROM sw GROUP BY ALL), fs AS (SELECT field, count(*) AS docs, avg(length) AS average FROM sz GROUP BY field)"""
+
+
+def _slop(a: str, b: str, slop: int = 2) -> str:
+    """SQL for how often two words stand in order within slop extra positions, by field and page."""
+    next_of = f"min(pos) FILTER (token = '{b}') OVER (PARTITION BY field, doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    return f"sp AS (SELECT field, doc_id, count(*) AS n FROM (SELECT *, {next_of} AS next FROM sw WHERE token IN ('{a}', '{b}')) WHERE token = '{a}' AND next - pos - 1 <= {slop} GROUP BY ALL)"
+
+
+def _std_bm25(tf: str) -> str:
+    return f"ln(1 + (docs - df + 0.5) / (df + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * length / average))"
+
+
+SQL["lucene_text_search"] = f"""WITH {_STD}, {_slop('thonre', 'the')}, asked(word) AS (VALUES ('thonre'), ('the')),
+near AS (SELECT DISTINCT token FROM (SELECT DISTINCT token FROM sw), asked WHERE starts_with(token, word[1]) AND damerau_levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', chr(1), 'g'), word) <= 1),
+wt AS (SELECT field, word AS token, base AS weight FROM asked, (VALUES ('title', 3.0), ('content', 1.0)) f(field, base) UNION ALL SELECT field, token, 0.3 * base FROM near, (VALUES ('title', 3.0), ('content', 1.0)) f(field, base)),
+tf AS (SELECT field, doc_id, token, count(*) AS tf FROM sw WHERE token IN (SELECT token FROM wt) GROUP BY ALL), df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY ALL),
+parts AS (SELECT doc_id, weight::DOUBLE * {_std_bm25('tf')} AS part FROM tf JOIN df USING (field, token) JOIN wt USING (field, token) JOIN sz USING (field, doc_id) JOIN fs USING (field)
+  UNION ALL SELECT doc_id, CASE field WHEN 'title' THEN 6.0 ELSE 2.0 END * {_std_bm25('n')} FROM sp JOIN (SELECT field, count(*) AS df FROM sp GROUP BY field) USING (field) JOIN sz USING (field, doc_id) JOIN fs USING (field))
+SELECT doc_id, round(sum(part), 6) AS score FROM parts GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
 @query
 def lucene_phrase_slop(spark, d):
     return st.phrase_matches(st.tokens(_pages(spark, d)), ["the", "of"], 2)
 
 
+SQL["lucene_phrase_slop"] = f"WITH {_STD}, {_slop('the', 'of')} SELECT field, doc_id, n::INT AS n FROM sp"
+
+
 @query
 def lucene_did_you_mean(spark, d):
     r = st.search(_pages(spark, d), "thonr eand", 10)
@@ -423,21 +479,72 @@ def lucene_autocomplete(spark, d):
     return st.autocomplete(ix.titles(_pages(spark, d)).select("title"), PREFIX)
 
 
+SQL["lucene_autocomplete"] = f"""WITH {_TITLES}, tw AS (SELECT title, unnest(regexp_extract_all(folded, '{_STD_WORD}')) AS word FROM titles),
+cm AS (SELECT title, word, {_AWAY % f"substr(word, 1, {len(PREFIX)})"} AS distance FROM tw WHERE starts_with(word, '{PREFIX[0]}') AND {_AWAY % f"substr(word, 1, {len(PREFIX)})"} <= 1),
+own AS (SELECT title, min(distance) AS distance FROM cm GROUP BY title ORDER BY distance, length(title), title LIMIT 20),
+made AS (SELECT word, min(distance) AS distance, count(*) AS n FROM cm WHERE title IN (SELECT title FROM own) GROUP BY word),
+words AS (SELECT *, row_number() OVER (ORDER BY distance, n DESC, length(word), word) AS k FROM made QUALIFY k <= 5),
+both_of AS (SELECT 0 AS src, k, word AS text, distance > 0 AS is_correction FROM words UNION ALL SELECT 1, row_number() OVER (ORDER BY distance, length(title), title), title, false FROM own), {_PLACE}"""
+
+
 @query
 def search_corrected(spark, d):
-    r = se.search(_index(spark, d), "thonre zzadnq", 10)
-    return spark.createDataFrame([(r.query, r.did_you_mean[1] if r.did_you_mean else None, [x.doc_id for x in r.results])], "query string, corrected string, doc_ids array<long>")
+    """The whole search, with correction: all that a user of the engine sees but the previews."""
+    i, rows = _index(spark, d), []
+    for q in SEARCHES:
+        r = se.search(i, q, 10)
+        rows += [(q, r.did_you_mean[1] if r.did_you_mean else None, k + 1, x.doc_id, round(x.score, 6)) for k, x in enumerate(r.results)]
+    return spark.createDataFrame(rows, "query string, corrected string, rank int, doc_id long, score double")
+
+
+def _search_sql(k: int, q: str) -> str:
+    terms = [t for t, _, _ in exact.tokenize(q)]
+    asked = ", ".join(f"({n}, {_lit(t)})" for n, t in enumerate(terms))
+    away = "damerau_levenshtein(m.term, regexp_replace(v.term, '[^\\x00-\\x7F]', chr(1), 'g'))"
+    parts = _PARTS.replace(f"IN ({_ASKED})", f"IN (SELECT term FROM c{k})")
+    phrases = _PHRASES.replace("IN ('the_of', 'of_and', 'the_of_and')", f"IN (SELECT phrase FROM cp{k})")
+    for name in ("parts", "pparts", "pl", "ph", "pq", "pf", "q"):
+        parts, phrases = (re.sub(rf"\b{name}( AS \(|\.| JOIN| WHERE| GROUP|\)| USING|$)", rf"{name}{k}\1", x) for x in (parts, phrases))
+        parts, phrases = (re.sub(rf"FROM {name}\b(?!\d)", f"FROM {name}{k}", x) for x in (parts, phrases))
+    return f"""a{k}(k, term) AS (VALUES {asked}),
+n{k} AS (SELECT m.term AS word, v.term, {away} AS distance FROM (SELECT DISTINCT term FROM a{k} WHERE term NOT IN (SELECT term FROM vocab)) m, vocab v WHERE {away} BETWEEN 1 AND 2),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY 10 * distance - 2 * (SELECT count(*) FROM unnest(range(1, length(word) + 1)) AS t(i) WHERE i <= least(length(word), length(term)) AND substr(word, 1, i) = substr(term, 1, i)), distance, term) AS r FROM n{k}) WHERE r = 1),
+c{k} AS MATERIALIZED (SELECT k, coalesce(b.term, a.term) AS term FROM a{k} a LEFT JOIN b{k} b ON b.word = a.term),
+cr{k} AS (SELECT CASE WHEN EXISTS (FROM b{k}) THEN string_agg(term, ' ' ORDER BY k) END AS corrected FROM c{k}),
+cp{k} AS (SELECT term || '_' || lead(term) OVER (ORDER BY k) AS phrase FROM c{k} UNION ALL SELECT term || '_' || lead(term) OVER (ORDER BY k) || '_' || lead(term, 2) OVER (ORDER BY k) FROM c{k}),
+{parts}, {phrases},
+pos{k} AS MATERIALIZED (SELECT doc_id, lower(regexp_replace(piece, '^\\.+', '.')) AS term, start FROM tokened WHERE lower(regexp_replace(piece, '^\\.+', '.')) IN (SELECT term FROM c{k})),
+nt{k} AS (SELECT doc_id, count(DISTINCT term) AS n_terms FROM pos{k} GROUP BY doc_id),
+nx{k} AS (SELECT x.doc_id, x.start, y.term, min(y.start) AS m FROM (SELECT DISTINCT doc_id, start FROM pos{k}) x JOIN pos{k} y ON x.doc_id = y.doc_id AND y.start >= x.start GROUP BY ALL),
+win{k} AS (SELECT doc_id, min(span) AS span FROM (SELECT doc_id, start, count(*) AS n, max(m) - start AS span FROM nx{k} GROUP BY doc_id, start) JOIN nt{k} USING (doc_id) WHERE n = n_terms GROUP BY doc_id),
+tot{k} AS (SELECT doc_id, sum(part) AS s FROM (SELECT * FROM parts{k} UNION ALL SELECT * FROM pparts{k}) GROUP BY doc_id),
+res{k} AS (SELECT {_lit(q)} AS query, corrected, doc_id, round(s * CASE WHEN n_terms >= 2 THEN 1 + 0.5 * 40.0 / (40.0 + span) ELSE 1.0 END, 6) AS score, row_number() OVER (ORDER BY s * CASE WHEN n_terms >= 2 THEN 1 + 0.5 * 40.0 / (40.0 + span) ELSE 1.0 END DESC, doc_id) AS rank
+  FROM tot{k} LEFT JOIN nt{k} USING (doc_id) LEFT JOIN win{k} USING (doc_id), cr{k})"""
+
+
+SQL["search_corrected"] = f"WITH {_STARTS}, {_STATS}, vocab AS (SELECT token AS term, count(DISTINCT doc_id) AS df FROM tok GROUP BY token), " + ", ".join(_search_sql(k, q) for k, q in enumerate(SEARCHES)) + " " + " UNION ALL ".join(f"SELECT query, corrected, rank::INT AS rank, doc_id, score FROM res{k} WHERE rank <= 10" for k in range(len(SEARCHES)))
 
 
 @query
 def rank_overlap(spark, d):
+    """Overlap of the ten best pages of both engines, without correction, for each of some queries."""
+    pages, rows = _pages(spark, d), []
+    i = _index(spark, d)
+    for q in (*SEARCHES, *OVERLAPS):
+        one, two = ([x.doc_id for x in r.results] for r in (se.search(i, q, 10, correct=False), st.search(pages, q, 10, correct=False)))
+        rows.append((q, len(one), len(two), round(ev.jaccard([str(x) for x in one], [str(x) for x in two]), 6)))
+    return spark.createDataFrame(rows, "query string, n_first int, n_second int, overlap double")
+
+
+@query
+def set_overlap(spark, d):
     """Ten best documents for each language: longest text against most distinct words."""
     t = ix.token_arrays(_pages(spark, d)).join(pg.Catalog(spark, d)["documents"].select("doc_id", "lang", "n_chars"), "doc_id")
     a = t.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("k"), "doc_id"))), 1, 10).alias("a"), F.slice(F.array_sort(F.collect_list(F.struct((-F.size(F.array_distinct("content_tokens"))).alias("k"), "doc_id"))), 1, 10).alias("b"))
     return a.select("lang", F.round(ev.jaccard_expr(F.col("a.doc_id"), F.col("b.doc_id")), 6).alias("overlap"))
 
 
-SQL["rank_overlap"] = f"""WITH {_D}, r AS (SELECT d.doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY len(list_distinct(ct)) DESC, d.doc_id) AS b FROM d JOIN documents USING (doc_id))
+SQL["set_overlap"] = f"""WITH {_D}, r AS (SELECT d.doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY len(list_distinct(ct)) DESC, d.doc_id) AS b FROM d JOIN documents USING (doc_id))
 SELECT lang, round(count(*) FILTER (a <= 10 AND b <= 10) / count(*) FILTER (a <= 10 OR b <= 10), 6) AS overlap FROM r GROUP BY lang"""
 
 
@@ -462,6 +569,20 @@ def upsert_replace(spark, d):
 SQL["upsert_replace"] = _SPOTS.replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
 
 
+@query
+def stream_upsert(spark, d):
+    """All postings after three batches: all pages; those with several lines with their title alone; those that are long, emptied."""
+    pages = _pages(spark, d)
+    base = fresh(spark, "stream")
+    upsert(pages, base)
+    upsert(pages.where(F.col("content").contains("\n")).withColumn("content", F.col("title")), base)
+    upsert(pages.where(F.length("content") > LONG).withColumn("title", F.lit("")).withColumn("content", F.lit("")), base)
+    return _spots(snapshot(spark, base).postings)
+
+
+SQL["stream_upsert"] = _SPOTS.replace("FROM documents", f"FROM (SELECT * REPLACE (CASE WHEN length(text) > {LONG} THEN '' WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
+
+
 @query
 def text_functions(spark, d):
     """Scalar functions on every title and text."""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import html as H
+from textloom.sources.shared import shared_folder
+
+AGENT = "textloom-crawler/1.0"
 
 PAGES = T.StructType(
     [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("url", T.StringType()), ("title", T.StringType()), ("content", T.StringType()), ("crawled_at", T.TimestampType()), ("length_title", T.IntegerType()), ("length_content", T.IntegerType()), ("language", T.StringType()))]
@@ -79,8 +82,20 @@ def table_fetcher(raw: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
-def http_fetcher(get_url: Callable[[str], tuple[int, str, str]], options: CrawlOptions = CrawlOptions()) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher over get_url(url) -> (status, media type, html), with retries and growing, jittered waits on errors."""
+def get_over_http(url: str, timeout_s: float) -> tuple[int, str, str]:
+    """(status, media type, body) of a GET request. Errors of the network and timeouts are OSError."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": AGENT}), timeout=timeout_s) as r:
+            return r.status, r.headers.get_content_type(), r.read().decode(r.headers.get_content_charset() or "utf-8", errors="replace")
+    except HTTPError as e:
+        return e.code, e.headers.get_content_type(), ""
+
+
+def http_fetcher(get_url: Callable[[str, float], tuple[int, str, str]] = get_over_http, options: CrawlOptions = CrawlOptions()) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher over get_url(url, timeout in seconds) -> (status, media type, html), with retries and growing, jittered waits on errors."""
 
     def fetch_all(frames):
         import random
@@ -93,7 +108,7 @@ def http_fetcher(get_url: Callable[[str], tuple[int, str, str]], options: CrawlO
             for url in urls["url"]:
                 for k in range(options.retries + 1):
                     try:
-                        status, media, body = get_url(url)
+                        status, media, body = get_url(url, options.timeout_s)
                     except OSError:
                         status, media, body = 599, "", ""
                     if status < 500 and status not in (408, 429) or k == options.retries:
@@ -106,16 +121,12 @@ def http_fetcher(get_url: Callable[[str], tuple[int, str, str]], options: CrawlO
 
 
 def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int | None = None, options: CrawlOptions = CrawlOptions()) -> tuple[DataFrame, DataFrame]:
-    """(visited: url, url_key, depth; responses) of a breadth-first walk from seeds (url).
+    """(visited: url, url_key, depth; responses with crawled_at) of a breadth-first walk from seeds (url).
 
     Addresses are visited once, whatever their case. The budget counts attempts. Each level is cut from its lineage by
     checkpoint(), which lies in the shared folder, so that a lost executor costs one level at most.
     """
-    spark = seeds.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawl-"))
+    shared_folder(seeds.sparkSession)
     frontier = seeds.select("url", F.lower("url").alias("url_key")).groupBy("url_key").agg(F.min("url").alias("url"), F.lit(0).alias("depth")).checkpoint()
     visited, responses, level = frontier.limit(0), None, 0
     attempted = 0
@@ -127,11 +138,17 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int
             break
         attempted += n
         visited = visited.unionByName(now)
-        got = html_only(fetch(now.select("url"))).checkpoint()
+        got = html_only(fetch(now.select("url"))).withColumn("crawled_at", F.current_timestamp()).checkpoint()
         responses = got if responses is None else responses.unionByName(got)
         level += 1
         if depth is not None and level > depth:
             break
         new = links(got).groupBy(F.lower("dst_url").alias("url_key")).agg(F.min("dst_url").alias("url"), F.lit(level).alias("depth"))
         frontier = new.join(visited, "url_key", "left_anti").checkpoint()
-    return visited.select("url", "url_key", "depth"), responses if responses is not None else html_only(fetch(frontier.select("url")))
+    return visited.select("url", "url_key", "depth"), responses if responses is not None else html_only(fetch(frontier.select("url"))).withColumn("crawled_at", F.current_timestamp())
+
+
+def crawled_pages(responses: DataFrame) -> DataFrame:
+    """doc_id (a hash of the address, whatever its case), url, title, content and crawled_at of a crawl's responses, ready to be indexed."""
+    read = responses.select(F.xxhash64(F.lower("url")).alias("doc_id"), "url", H.read_html("html").alias("r"), "crawled_at")
+    return read.select("doc_id", "url", F.col("r.title").alias("title"), F.col("r.text").alias("content"), "crawled_at")

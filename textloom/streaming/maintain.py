@@ -1,46 +1,105 @@
 """Incremental maintenance: pages arrive as a stream, and the tables of the index follow.
 
-Tables are split by a hash of the page, so that a batch rewrites the parts of its own pages and no others. Replacing by
-page makes a batch that runs twice harmless.
+Tables are split by a hash of the page, so that a batch rewrites the parts of its own pages and no others. A batch writes
+them as files of a new version, and a manifest, which names for each table the version of each part, is put in place last:
+readers see all of a batch or nothing, a failure before that changes nothing, and a part that the batch has emptied isn't
+in the manifest any more. Replacing by page makes a batch that runs twice harmless.
 """
 
 from __future__ import annotations
 
+import json
+import logging
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.language import detect_languages
 from textloom.operators import index as ix
-from textloom.sources.pages import PAGES
+from textloom.sources.pages import PAGES, CrawlOptions, crawl, crawled_pages
+from textloom.sources.shared import Store
 
 PARTS = 64
+TABLES = ("pages", "meta", "postings", "phrases")
 
 
 def _part(df: DataFrame, parts: int) -> DataFrame:
     return df.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
 
-def upsert(batch: DataFrame, base: str, parts: int = PARTS) -> None:
-    """Replace what the tables below base hold of the batch's pages. Of several rows for a page, one that sorts last counts."""
+def manifest(spark: SparkSession, base: str, version: int | None = None) -> dict:
+    """{version, parts, tables: {name: {part: version}}, schemas: {name: json}}: the last one, or that of a version."""
+    store = Store(spark, f"{base}/manifest")
+    known = [int(n.removesuffix(".json")) for n in store.names("") if n.endswith(".json") and n[:-5].isdigit()]
+    if not known:
+        return {"version": 0, "tables": {n: {} for n in TABLES}, "schemas": {}}
+    return json.loads(store.read(f"{version or max(known)}.json"))
+
+
+def _folder(base: str, name: str, version: int) -> str:
+    return f"{base}/{name}/v{version}"
+
+
+def read(spark: SparkSession, base: str, name: str, now: dict | None = None, parts: list[int] | None = None) -> DataFrame:
+    """A table as a manifest has it, or some parts of it."""
+    from pyspark.sql.types import StructType
+
+    now = now or manifest(spark, base)
+    schema = StructType.fromJson(json.loads(now["schemas"][name]))
+    paths = [f"{_folder(base, name, v)}/part={p}" for p, v in now["tables"][name].items() if parts is None or int(p) in parts]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert(batch: DataFrame, base: str, parts: int = PARTS) -> int:
+    """Replace what the tables below base hold of the batch's pages (doc_id, url, title, content, crawled_at); the new version.
+
+    Of several rows for a page the one that was crawled last counts; of those, one that sorts last.
+    """
     spark = batch.sparkSession
-    pages = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("url", "title", "content")).alias("p")).select("doc_id", "p.url", "p.title", "p.content").persist()
-    own = ix.tokens(pages)
-    new = {"pages": pages, "meta": ix.lengths(pages), "postings": ix.postings(own), "phrases": ix.phrase_postings(own)}
-    touched = [r.part for r in _part(pages.select("doc_id"), parts).select("part").distinct().collect()]  # at most parts numbers
-    for name, rows in new.items():
-        path = f"{base}/{name}"
-        rows = _part(rows, parts)
-        if _there(spark, path):
-            old = spark.read.parquet(path).where(F.col("part").isin(touched))
-            rows = rows.select(old.columns).unionByName(old.join(pages.select("doc_id"), "doc_id", "left_anti").select(old.columns))
-        # the parts that are read are written again: through another folder first
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}.next")
-        spark.read.schema(rows.schema).parquet(f"{path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    pages.unpersist()
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    at = F.col("crawled_at") if "crawled_at" in batch.columns else F.lit(None).cast("timestamp")
+    latest = F.max(F.struct(at.alias("crawled_at"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))).alias("p")
+    pages = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(latest).select("doc_id", "p.url", "p.title", "p.content", "p.crawled_at").persist()
+    try:
+        own = ix.tokens(pages)
+        guess = detect_languages(pages.select("doc_id", F.concat_ws(" ", "title", "content").alias("text"))).select("doc_id", "language")
+        new = {"pages": pages, "meta": ix.lengths(pages).join(guess, "doc_id"), "postings": ix.postings(own), "phrases": ix.phrase_postings(own)}
+        touched = [r.part for r in _part(pages.select("doc_id"), parts).select("part").distinct().collect()]  # at most parts numbers
+        old = manifest(spark, base)
+        if old.get("parts", parts) != parts:
+            raise ValueError(f"the tables have {old['parts']} parts")
+        now = {"version": old["version"] + 1, "parts": parts, "tables": {}, "schemas": {n: json.dumps(df.schema.jsonValue()) for n, df in new.items()}}
+        for name in TABLES:
+            rows = new[name]
+            if old["schemas"]:
+                kept = read(spark, base, name, old, touched)
+                rows = rows.unionByName(kept.join(pages.select("doc_id"), "doc_id", "left_anti").select(rows.columns))
+            folder = _folder(base, name, now["version"])
+            _part(rows, parts).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+            written = {int(n.removeprefix("part=")) for n in Store(spark, folder).names("") if n.startswith("part=")}
+            now["tables"][name] = {p: v for p, v in old["tables"][name].items() if int(p) not in touched} | {str(p): now["version"] for p in sorted(written)}
+        Store(spark, f"{base}/manifest").put(f"{now['version']}.json", json.dumps(now))
+        return now["version"]
+    finally:
+        pages.unpersist()
+
+
+def vacuum(spark: SparkSession, base: str, keep: int = 2) -> None:
+    """Delete what none of the last `keep` manifests names; readers of older ones fail from then on."""
+    store = Store(spark, f"{base}/manifest")
+    numbers = sorted(int(n.removesuffix(".json")) for n in store.names("") if n.endswith(".json"))
+    live = [manifest(spark, base, n) for n in numbers[-keep:]]
+    for n in numbers[:-keep]:
+        store.delete(f"{n}.json")
+    for name in TABLES:
+        own = Store(spark, f"{base}/{name}")
+        used = {(v, int(p)) for m in live for p, v in m["tables"][name].items()}
+        for folder in own.names(""):
+            if not folder.removeprefix("v").isdigit() or int(folder[1:]) > numbers[-1]:
+                continue
+            for part in own.names(folder):
+                if part.startswith("part=") and (int(folder[1:]), int(part[5:])) not in used:
+                    own.delete(f"{folder}/{part}")
 
 
 def follow(spark: SparkSession, source: str, base: str, checkpoint: str, once: bool = True, every: str = "60 seconds"):
@@ -50,9 +109,54 @@ def follow(spark: SparkSession, source: str, base: str, checkpoint: str, once: b
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
-def snapshot(spark: SparkSession, base: str) -> ix.Index:
-    """An index object over the tables as they are now."""
-    read = lambda name: spark.read.parquet(f"{base}/{name}").drop("part")
-    pages, posts, meta = read("pages"), read("postings"), read("meta").withColumn("language", F.lit(None).cast("string"))
+def snapshot(spark: SparkSession, base: str, version: int | None = None) -> ix.Index:
+    """An index object over the tables of one version, whatever batches come after."""
+    now = manifest(spark, base, version)
+    pages, posts, phrases, meta = (read(spark, base, n, now) for n in ("pages", "postings", "phrases", "meta"))
     vocab = ix.vocabulary(posts)
-    return ix.Index(pages, ix.tokens(pages), posts, read("phrases"), meta, ix.stats(meta), vocab, ix.prefix_top(vocab), ix.titles(pages))
+    return ix.Index(pages, ix.tokens(pages), posts, phrases, meta, ix.stats(meta), vocab, ix.prefix_top(vocab), ix.titles(pages))
+
+
+def crawl_into(seeds: DataFrame, fetch, base: str, depth: int | None = None, options: CrawlOptions = CrawlOptions()) -> DataFrame:
+    """Walk from seeds (url) and put the pages that answer into the tables below base; what was visited."""
+    visited, responses = crawl(seeds, fetch, depth, options)
+    upsert(crawled_pages(responses), base)
+    return visited
+
+
+class Refresher:
+    """Keeps a snapshot of the tables below base, and takes a new one when there is a new version.
+
+    current is None until there is a first version. A refresh that fails leaves the snapshot as it is and is tried again.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, every: float = 60.0):
+        self.spark, self.base, self.every = spark, base, every
+        self.current: ix.Index | None = None
+        self.version, self.failures = 0, 0
+        self._stop = threading.Event()
+
+    def refresh(self) -> bool:
+        """Whether the snapshot is that of the last version now."""
+        try:
+            last = manifest(self.spark, self.base)["version"]
+            if last > self.version:
+                self.current = snapshot(self.spark, self.base, last)  # one assignment: readers have the old one or the new one
+                self.version = last
+            return True
+        except Exception:
+            self.failures += 1
+            logging.getLogger(__name__).warning("refresh of %s failed", self.base, exc_info=True)
+            return False
+
+    def start(self) -> Refresher:
+        def run():
+            while not self._stop.is_set():
+                self.refresh()
+                self._stop.wait(self.every)
+
+        threading.Thread(target=run, daemon=True).start()
+        return self
+
+    def stop(self) -> None:
+        self._stop.set()
