@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Words are runs of anything but these bytes, in every operator here.
-BLANKS = " \t\n\x0b\x0c\r"
+from textloom.sources.shared import fresh
+
+#: Words are runs of anything but blanks, in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,16 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh URI below spark.checkpoint.dir, which all executors share. Where unset (tests), a temporary folder becomes that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-_own: dict[str, str] = {}
+    """A fresh URI below spark.checkpoint.dir, which all executors share."""
+    return fresh(spark, name)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -84,10 +75,6 @@ def tidy(f):
     return run
 
 
-def lower_ascii(c):
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 # -- byte files in the shared folder, for workers ---------------------------------------------------------------------
 
 
