@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import exact
 from textloom.functions.language import detect_languages
 from textloom.functions.text import clean_part, fold, token_parts, token_values, STOPWORDS
 
@@ -17,17 +18,43 @@ VERSION = 1
 def tokens(pages: DataFrame) -> DataFrame:
     """doc_id, field, pos, token, start, end. Offsets count characters; a token begins at its first dot."""
     fields = pages.select("doc_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("content").alias("field"), F.col("content").alias("text")))).alias("f"))
+    fields = fields.select("doc_id", "f.field", "f.text")
+    odd = _beyond_columns(F.col("text"))
     # one exchange by document and field serves the running offset; the table's later steps keep it
-    parts = fields.select("doc_id", "f.field", "f.text").repartition("doc_id", "field").select("doc_id", "field", F.posexplode(token_parts(F.col("text"))).alias("pos", "part"))
+    parts = fields.where(~odd).repartition("doc_id", "field").select("doc_id", "field", F.posexplode(token_parts(F.col("text"))).alias("pos", "part"))
     before = Window.partitionBy("doc_id", "field").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("start", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int")).where("pos % 2 = 1")
     own = placed.withColumn("token", clean_part(F.col("part"))).where((F.length("token") >= 2) & ~F.col("token").isin(*STOPWORDS))
-    return own.select("doc_id", "field", "pos", "token", "start", (F.col("start") + F.length(F.regexp_replace("part", r"\.$", ""))).cast("int").alias("end"))
+    own = own.select("doc_id", "field", "pos", "token", "start", (F.col("start") + F.length(F.regexp_replace("part", r"\.$", ""))).cast("int").alias("end"))
+    return own.unionByName(fields.where(odd).mapInPandas(_exact_tokens, own.schema))
+
+
+def _beyond_columns(c):
+    """Text that the column forms don't cut as the plain tokenizer does: Hangul, and signs beyond the basic plane."""
+    return F.coalesce(F.regexp_like(c, F.lit("[\\x{AC00}-\\x{D7A3}\\x{10000}-\\x{10FFFF}]")), F.lit(False))
+
+
+def _exact_tokens(frames):
+    import pandas as pd
+
+    for f in frames:
+        rows = [(i, field, 2 * k + 1, t, s, e) for i, field, text in zip(f["doc_id"], f["field"], f["text"], strict=True) for k, (t, s, e) in enumerate(exact.tokenize(text))]
+        yield pd.DataFrame(rows, columns=["doc_id", "field", "pos", "token", "start", "end"])
+
+
+def _exact_arrays(frames):
+    import pandas as pd
+
+    words = lambda text: [t for t, _, _ in exact.tokenize(text or "")]
+    for f in frames:
+        yield pd.DataFrame({"doc_id": f["doc_id"], "title_tokens": f["title"].map(words), "content_tokens": f["content"].map(words)})
 
 
 def token_arrays(pages: DataFrame) -> DataFrame:
     """doc_id, title_tokens, content_tokens: enough for counts and phrases, without a shuffle."""
-    return pages.select("doc_id", token_values(F.col("title")).alias("title_tokens"), token_values(F.col("content")).alias("content_tokens"))
+    odd = _beyond_columns(F.col("title")) | _beyond_columns(F.col("content"))
+    own = pages.where(~odd).select("doc_id", token_values(F.col("title")).alias("title_tokens"), token_values(F.col("content")).alias("content_tokens"))
+    return own.unionByName(pages.where(odd).select("doc_id", "title", "content").mapInPandas(_exact_arrays, own.schema))
 
 
 def lengths(pages: DataFrame) -> DataFrame:
@@ -145,12 +172,14 @@ def load(spark: SparkSession, base: str) -> Index:
 
 
 def ensure(spark: SparkSession, pages: DataFrame, base: str) -> tuple[Index, str]:
-    """Build what isn't there, rebuild what another version wrote, else leave it; and which of these it was."""
+    """Build what isn't there, rebuild what another version or other columns made, else leave it; and which of these it was."""
     from pyspark.errors import AnalysisException
 
     try:
         found = spark.read.schema("version int").json(f"{base}/version").first()
-        state = "kept" if found and found.version == VERSION else "updated"
+        made, there = build(pages), load(spark, base)
+        same = all({(f.name, f.dataType.simpleString()) for f in getattr(made, n).schema} == {(f.name, f.dataType.simpleString()) for f in getattr(there, n).schema} for n in TABLES)
+        state = "kept" if found and found.version == VERSION and same else "updated"
     except AnalysisException:
         state = "created"
     if state != "kept":

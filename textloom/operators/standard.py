@@ -110,9 +110,10 @@ def phrase_clauses(words: DataFrame, asked: list[str], o: StandardOptions) -> Da
     return rows.select("doc_id", (weight * _bm25(F.col("n"), F.col("df"), F.col("docs"), F.col("length"), F.col("average"), o)).alias("part"))
 
 
-def scores(pages: DataFrame, query: str, fuzzy: bool = True, o: StandardOptions = StandardOptions()) -> DataFrame:
-    """doc_id, score: the sum of all clauses that match; pages (doc_id, title, content, language if any)."""
-    spark, words, asked = pages.sparkSession, tokens(pages), query_words(query)
+def scores(pages: DataFrame, query: str, fuzzy: bool = True, o: StandardOptions = StandardOptions(), words: DataFrame | None = None) -> DataFrame:
+    """doc_id, score: the sum of all clauses that match; pages (doc_id, title, content, language if any), words: their tokens if stored."""
+    spark, asked = pages.sparkSession, query_words(query)
+    words = tokens(pages) if words is None else words
     fields = (("title", o.w_title), ("content", 1.0))
     exact_weights = spark.createDataFrame([(f, w, wt) for f, wt in fields for w in dict.fromkeys(asked)], "field string, token string, weight double")
     parts = text_clauses(words, exact_weights, o)
@@ -136,15 +137,18 @@ def highlights(content, asked) -> F.Column:
     return F.slice(F.array_sort(F.filter(rated, lambda r: r["less"] < 0)), 1, 2)
 
 
-def search(pages: DataFrame, query: str, top: int = 20, correct: bool = True, o: StandardOptions = StandardOptions()) -> Response:
+def search(pages: DataFrame, query: str, top: int = 20, correct: bool = True, o: StandardOptions = StandardOptions(), words: DataFrame | None = None) -> Response:
+    """Ranked pages with highlights; words: the tokens of the pages if they are stored (tokens(pages) as a table is this engine's index)."""
     if not query or not query.strip():
         raise ValueError("empty query")
     asked = query_words(query)
     if not asked:
         return Response(query)
-    near = [r.token for r in expand(tokens(pages), asked, o).select("token").distinct().collect()] if correct else []
-    best = scores(pages, query, correct, o).orderBy(F.desc("score"), "doc_id").limit(max(top, 0))
-    marked = pages.join(F.broadcast(best), "doc_id").withColumn("h", highlights(F.col("content"), list(dict.fromkeys(asked + near))))  # at most top rows
+    words = tokens(pages) if words is None else words
+    near = [r.token for r in expand(words, asked, o).select("token").distinct().collect()] if correct else []
+    found = scores(pages, query, correct, o, words).orderBy(F.desc("score"), "doc_id").limit(max(top, 0)).collect()
+    best = pages.sparkSession.createDataFrame(found, "doc_id long, score double")
+    marked = pages.where(F.col("doc_id").isin([r.doc_id for r in found])).join(F.broadcast(best), "doc_id").withColumn("h", highlights(F.col("content"), list(dict.fromkeys(asked + near))))  # at most top rows
     text = F.when(F.size("h") == 0, truncate(collapse(F.col("content")), 200)).otherwise(truncate(F.array_join(F.transform("h", lambda r: collapse(r["text"])), " … "), 300))
     rows = marked.select("doc_id", "url", "title", text.alias("preview"), "score", F.transform("h", lambda r: r["text"]).alias("passages")).orderBy(F.desc("score"), "doc_id").collect()
     other = did_you_mean(query, [p for r in rows for p in r.passages], set(asked + near)) if correct else None

@@ -529,9 +529,12 @@ SQL["search_corrected"] = f"WITH {_STARTS}, {_STATS}, vocab AS (SELECT token AS
 def rank_overlap(spark, d):
     """Overlap of the ten best pages of both engines, without correction, for each of some queries."""
     pages, rows = _pages(spark, d), []
-    i = _index(spark, d)
+    base = fresh(spark, "overlap")
+    ix.save(_index(spark, d), base)
+    st.tokens(pages).write.parquet(f"{base}/words")
+    i, words = ix.load(spark, base), spark.read.parquet(f"{base}/words")
     for q in (*SEARCHES, *OVERLAPS):
-        one, two = ([x.doc_id for x in r.results] for r in (se.search(i, q, 10, correct=False), st.search(pages, q, 10, correct=False)))
+        one, two = ([x.doc_id for x in r.results] for r in (se.search(i, q, 10, correct=False), st.search(pages, q, 10, correct=False, words=words)))
         rows.append((q, len(one), len(two), round(ev.jaccard([str(x) for x in one], [str(x) for x in two]), 6)))
     return spark.createDataFrame(rows, "query string, n_first int, n_second int, overlap double")
 

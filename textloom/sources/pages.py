@@ -72,6 +72,20 @@ def get_many(pages: DataFrame, ids: DataFrame) -> DataFrame:
     return pages.join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def append(pages: DataFrame, path: str) -> None:
+    """Add pages to the table at path; a page that is there already isn't replaced."""
+    pages.write.mode("append").parquet(path)
+
+
+def with_derived(pages: DataFrame, derived: DataFrame) -> DataFrame:
+    """Pages with the columns of derived (doc_id, ...) in place of their own, where derived has the page."""
+    names = [c for c in derived.columns if c != "doc_id"]
+    new = derived.select(F.col("doc_id").alias("__id"), F.struct(*names).alias("__new"))
+    both = pages.join(new, F.col("doc_id") == F.col("__id"), "left")
+    own = lambda c: F.when(F.col("__id").isNotNull(), F.col("__new").getField(c)).otherwise(F.col(c) if c in pages.columns else F.lit(None))
+    return both.select(*[own(c).alias(c) if c in names else F.col(c) for c in pages.columns], *[own(c).alias(c) for c in names if c not in pages.columns])
+
+
 def table_fetcher(raw: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A fetcher that answers from a table of pages (url, html) by canonical address."""
     known = raw.select(H.canonical_expr(F.col("url"), F.col("url")).alias("url"), F.col("html"))
