@@ -114,8 +114,12 @@ def postings_tf(spark, d):
     return _spots(ix.lookup(ix.postings(ix.tokens(_pages(spark, d))), "term", TERMS + TITLE_TERMS))
 
 
-def _spots(postings: DataFrame) -> DataFrame:
-    return postings.select("term", "doc_id", "tf_title", "tf_content", F.size("positions_content").alias("n_positions"), F.element_at("positions_content.start", 1).alias("first_start"), F.element_at("positions_content.end", 1).alias("first_end"))
+def _places():
+    return F.array_join(F.transform("positions_content", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), " ").alias("places")
+
+
+def _spots(postings: DataFrame, *more) -> DataFrame:
+    return postings.select("term", *(more or ["doc_id"]), "tf_title", "tf_content", F.size("positions_content").alias("n_positions"), F.element_at("positions_content.start", 1).alias("first_start"), F.element_at("positions_content.end", 1).alias("first_end"))
 
 
 #: Offsets need no lookahead here: a token's start is where its dots or word begin, found by counting what precedes.
@@ -127,9 +131,10 @@ placed AS (SELECT doc_id, raw, k, sum(length(raw)) OVER (PARTITION BY doc_id ORD
         sum(length(own)) OVER (PARTITION BY doc_id ORDER BY k) AS gap, next FROM cut),
 named AS (SELECT doc_id, k, (coalesce(before, 0) + gap)::INT AS start, raw, regexp_matches(raw, '[#+]$') AND next = '' AND lead(regexp_matches(raw, '^[{X.W}]')) OVER (PARTITION BY doc_id ORDER BY k) AS "drop" FROM placed),
 tokened AS (SELECT doc_id, start, regexp_replace(CASE WHEN "drop" THEN regexp_replace(raw, '[#+]+$', '') ELSE raw END, '\\.$', '') AS piece FROM named),
-firsts AS (SELECT term, doc_id, min(struct_pack(s := start, e := start + length(piece))) AS f FROM (SELECT doc_id, start, piece, lower(regexp_replace(piece, '^\\.+', '.')) AS term FROM tokened) GROUP BY term, doc_id)
+firsts AS (SELECT term, doc_id, min(struct_pack(s := start, e := start + length(piece))) AS f, string_agg(start || '-' || (start + length(piece)), ' ' ORDER BY start) AS places FROM (SELECT doc_id, start, piece, lower(regexp_replace(piece, '^\\.+', '.')) AS term FROM tokened) GROUP BY term, doc_id)
 SELECT post.term, post.doc_id, tf_title::INT AS tf_title, tf_content::INT AS tf_content, tf_content::INT AS n_positions, f.s::INT AS first_start, f.e::INT AS first_end
 FROM post LEFT JOIN firsts ON post.term = firsts.term AND post.doc_id = firsts.doc_id"""
+_PLACES = _SPOTS.replace("SELECT post.term, post.doc_id,", "SELECT post.term, post.doc_id, coalesce(places, '') AS places,")
 SQL["postings_tf"] = f"{_SPOTS} WHERE post.term IN ({', '.join(map(_lit, TERMS + TITLE_TERMS))})"
 
 
@@ -566,10 +571,17 @@ def upsert_replace(spark, d):
     pages = _pages(spark, d)
     batch = pages.where(F.col("content").contains("\n")).withColumn("content", F.col("title"))
     posts = lambda p: ix.postings(ix.tokens(p))
-    return _spots(ix.replace(posts(pages), posts(batch), batch))
+    return ix.replace(posts(pages), posts(batch), batch)
+
+
+@query
+def replaced_postings(spark, d):
+    """upsert_replace with the positions in the content as text."""
+    own = upsert_replace(spark, d)
+    return _spots(own, "doc_id", _places())
 
 
-SQL["upsert_replace"] = _SPOTS.replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
+SQL["replaced_postings"] = _PLACES.replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
 
 
 @query
@@ -580,10 +592,10 @@ def stream_upsert(spark, d):
     upsert(pages, base)
     upsert(pages.where(F.col("content").contains("\n")).withColumn("content", F.col("title")), base)
     upsert(pages.where(F.length("content") > LONG).withColumn("title", F.lit("")).withColumn("content", F.lit("")), base)
-    return _spots(snapshot(spark, base).postings)
+    return _spots(snapshot(spark, base).postings, "doc_id", _places())
 
 
-SQL["stream_upsert"] = _SPOTS.replace("FROM documents", f"FROM (SELECT * REPLACE (CASE WHEN length(text) > {LONG} THEN '' WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
+SQL["stream_upsert"] = _PLACES.replace("FROM documents", f"FROM (SELECT * REPLACE (CASE WHEN length(text) > {LONG} THEN '' WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS text) FROM documents)")
 
 
 @query
