@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashstore as hs
-from textloom.llm.common import lean_batches, scratch, settled, table, tidy
+from textloom.llm.common import lean_batches, scratch, settled, table, tidy, trim
 from textloom.llm.words import hash_strings, pieces as slices
 
 SPACE, LONGEST, WINDOW, TOGETHER, FLUSH, BUCKET = "▁", 60, 48, 1 << 20, 400_000, 200_000
@@ -288,6 +288,8 @@ def _distinct_units(pattern: str):
                 held, size = [], 0
         if held:
             yield flush()
+        held = []
+        trim()
 
     return run
 
@@ -429,6 +431,8 @@ def _encoder(model: Model, store: dict, digest: bool):
             else:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, ids[:0]]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*keep, lists], [*names, "ids"])
+            del flat, coded, every, ids, rows, back, raw, texts, b
+        trim()
 
     return run
 

@@ -6,8 +6,10 @@ and a document's score is their mean, weighted by the lines' bytes. The field is
 whose label all their lines take: a bounded sample, at most PER_CLASS documents of each label and LINES lines in all.
 
 Nulls: a null text is an empty one, and that is one empty line with a score like any other. Labels that are null or not
-0 or 1 teach nothing; a null doc_id is never held out. Repeated rows are scored one by one and equal texts alike. Other
-columns are ignored or carried along. Without any usable label all scores are 0.5; an empty table gives an empty result.
+0 or 1 teach nothing; a null doc_id is never held out. Repeated rows are scored one by one and equal texts alike. Of a
+very long text the features of PART lines stand in memory at once, and two numbers for each line. Other columns, whatever
+their names, are carried along in the struct doc. Without any usable label all scores are 0.5; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import lean_batches, settled, table
+from textloom.llm.words import pieces, powers
 
-PER_CLASS, LINES, ROUNDS = 1500, 60_000, 250
+PER_CLASS, LINES, ROUNDS, PART = 1500, 60_000, 250, 50_000
 #: Bytes of text that are treated together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 THRESHOLD = 0.7
 
 _LETTER, _DIGIT, _UPPER, _SYMBOL, _POINT, _BLANK, _HIGH = range(7)
@@ -36,18 +39,11 @@ for _c in range(256):
     _CLASS[_BLANK, _c] = _s in " \t\n\x0b\x0c\r"
     _CLASS[_HIGH, _c] = _c > 127
     _CLASS[_SYMBOL, _c] = _c < 128 and not (_CLASS[_LETTER, _c] or _CLASS[_DIGIT, _c] or _CLASS[_POINT, _c] or _CLASS[_BLANK, _c])
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = 0x9E3779B97F4A7C15
 OWN = 17
 FEATURES = 1 + 3 * OWN
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def line_features(data: np.ndarray, lines_of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """[line, FEATURES] of lines data[starts:ends]; lines_of: each line's document. data ends with a newline."""
     n = len(starts)
@@ -60,8 +56,8 @@ def line_features(data: np.ndarray, lines_of: np.ndarray, starts: np.ndarray, en
     edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     line = np.searchsorted(starts, begin, side="right") - 1
-    code = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(data)))])
-    word = (code[end] - code[begin]) * _powers(_INVERSE, len(data) + 1)[begin]
+    code = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(data)))])
+    word = (code[end] - code[begin]) * powers(pow(_ODD, -1, 1 << 64), len(data) + 1)[begin]
     words = np.bincount(line, minlength=n).astype(np.float64)
     some = np.maximum(words, 1)
     key = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + line.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
@@ -85,17 +81,26 @@ def line_features(data: np.ndarray, lines_of: np.ndarray, starts: np.ndarray, en
     return np.concatenate([np.ones((n, 1)), own, before, after], axis=1)
 
 
-def lines_and_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts: each line's document, its weight (bytes and the line's end) and its features."""
+def lines_of_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts: their bytes, each line's document, and where each line begins and ends."""
     raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
     data = np.frombuffer(b"\n".join(raw.to_pylist()) + b"\n", dtype=np.uint8)
     sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
     text_ends = np.cumsum(sizes + 1)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    lines_of = np.searchsorted(text_ends, ends, side="right")
-    lines_of = np.searchsorted(text_ends - 1, ends, side="left")
-    return lines_of, (ends - starts + 1).astype(np.float64), line_features(data, lines_of, starts, ends)
+    return data, np.searchsorted(text_ends - 1, ends, side="left"), starts, ends
+
+
+def features_by_part(data, lines_of, starts, ends, part: int = PART):
+    """(begin, end, features) of the lines, so many at a time: a very long text isn't one matrix."""
+    n = len(starts)
+    for a in range(0, n, part):
+        b = min(a + part, n)
+        low, high = max(a - 1, 0), min(b + 1, n)  # with the neighbours
+        at = starts[low]
+        x = line_features(data[at : ends[high - 1] + 1], lines_of[low:high], starts[low:high] - at, ends[low:high] - at)
+        yield a, b, x[a - low : b - low]
 
 
 def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray):
@@ -159,29 +164,22 @@ def train(x: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = ROU
     return w, trans
 
 
-def _pieces(batches):
-    """(batch, begin, end) of about TOGETHER bytes of text."""
-    for b in batches:
-        begin = size = 0
-        for i, n in enumerate(pc.binary_length(b.column("text")).to_pylist()):
-            size += (n or 0) + 1
-            if size > TOGETHER or i + 1 == b.num_rows:
-                yield b.slice(begin, i + 1 - begin)
-                begin, size = i + 1, 0
-
-
 def _gather(batches):
-    for b in _pieces(batches):
-        lines_of, _, x = lines_and_features(b.column("text"))
+    for b in pieces(batches, TOGETHER):
+        data, lines_of, starts, ends = lines_of_texts(b.column("text"))
+        x = np.concatenate([f.astype(np.float32) for _, _, f in features_by_part(data, lines_of, starts, ends)])
         cut = np.searchsorted(lines_of, np.arange(b.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([x[cut[i] : cut[i + 1]].astype(np.float32).tobytes() for i in range(b.num_rows)], pa.binary())], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["quality", "x"])
 
 
 def _scorer(w: np.ndarray, trans: np.ndarray):
     def run(batches):
-        for b in _pieces(batches):
-            lines_of, weight, x = lines_and_features(b.column("text"))
-            p, _, _ = marginals(x @ w, np.bincount(lines_of, minlength=b.num_rows), trans)
+        for b in pieces(batches, TOGETHER):
+            data, lines_of, starts, ends = lines_of_texts(b.column("text"))
+            weight, emit = (ends - starts + 1).astype(np.float64), np.empty(len(starts))
+            for i, j, x in features_by_part(data, lines_of, starts, ends):
+                emit[i:j] = x @ w
+            p, _, _ = marginals(emit, np.bincount(lines_of, minlength=b.num_rows), trans)
             score = np.bincount(lines_of, weights=weight * p, minlength=b.num_rows) / np.bincount(lines_of, weights=weight, minlength=b.num_rows)
             keep = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(np.clip(score, 0, 1))], [*b.schema.names[:-1], "score"])
@@ -199,6 +197,7 @@ def held_out(c):
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The field's weights, from a bounded sample of the documents that are labelled and not held out."""
+    lean_batches(documents.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     draw = F.md5(F.col("doc_id").cast("string"))
     known = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -206,18 +205,18 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
     known = known.join(present, "doc_id", "left_semi")
     chosen = known.where("quality = 0").orderBy(draw, "doc_id").limit(PER_CLASS).unionByName(known.where("quality = 1").orderBy(draw, "doc_id").limit(PER_CLASS))
     # broadcast: at most 2 * PER_CLASS rows; of rows that share a doc_id one text, so that the sample stays bounded
-    sample = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text").mapInArrow(_gather, "quality int, x binary")
-    rows = sample.collect()
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    sample = settled(texts.withColumn("lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(1))), "sample")
+    # which documents the driver gets is settled by their numbers of lines, before any features are sent
+    ids, total = [], [0, 0]
+    for r in sample.select("doc_id", "quality", "lines").orderBy(F.md5(F.concat(F.lit("lines"), F.col("doc_id").cast("string"))), "doc_id").collect():
+        if total[r["quality"]] + r["lines"] <= LINES // 2:
+            total[r["quality"]] += r["lines"]
+            ids.append(r["doc_id"])
+    rows = sample.where(F.col("doc_id").isin(ids)).select("quality", "text").mapInArrow(_gather, "quality int, x binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
-    by = [[np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows if r["quality"] == q] for q in (0, 1)]
-    xs, good = [], []
-    for q, own in enumerate(by):
-        order, total = np.random.default_rng(0).permutation(len(own)), 0
-        for i in order:
-            if total + len(own[i]) <= LINES // 2:
-                total += len(own[i])
-                xs.append(own[i])
-                good.append(q == 1)
+    xs = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows]
+    good = [r["quality"] == 1 for r in rows]
     x = np.concatenate(xs).astype(np.float64) if xs else np.zeros((0, FEATURES))
     return train(x, np.array([len(a) for a in xs], dtype=np.int64), np.array(good, dtype=bool))
 

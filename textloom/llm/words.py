@@ -10,27 +10,39 @@ from textloom.llm.common import trim
 from textloom.llm.hashstore import mix
 
 _ODD = 0x9E3779B97F4A7C15
+PART, KEPT = 1 << 18, 1 << 22
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        _powers[base] = np.multiply.accumulate(out)
-    return _powers[base][:n]
+    """base**0 ... base**(n-1) modulo 2**64. What is kept for the next call is small."""
+    if len(_powers.get(base, ())) >= n:
+        return _powers[base][:n]
+    out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if len(out) <= KEPT:
+        _powers[base] = out
+    return out[:n]
 
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string's bytes."""
+    """A 64-bit hash of each string's bytes. Bytes are taken in parts that fit in a cache, but for longer strings."""
     strings = strings.cast(pa.large_string())
-    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    out = np.empty(len(strings), dtype=np.uint64)
     if not len(strings):
-        return np.zeros(0, dtype=np.uint64)
-    first, last = int(offsets[0]), int(offsets[-1])
-    data = np.frombuffer(strings.buffers()[2], dtype=np.uint8)[first:last] if last > first else np.zeros(0, dtype=np.uint8)
-    offsets = offsets - first
+        return out
+    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], dtype=np.uint8) if strings.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    i = 0
+    while i < len(out):
+        j = max(int(np.searchsorted(offsets, offsets[i] + PART, side="right")) - 1, i + 1)
+        out[i:j] = _hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        i = j
+    return out
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(data)))])
         h = (sums[offsets[1:]] - sums[offsets[:-1]]) * powers(pow(_ODD, -1, 1 << 64), len(data) + 1)[offsets[:-1]]
