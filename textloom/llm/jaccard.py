@@ -33,7 +33,7 @@ from textloom.llm.common import discard, lean_batches, settled, table, tidy, tri
 from textloom.llm.components import components
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, BUCKET, BLOCK, SHINGLES = 4 << 20, 2_000_000, 512, 1_000_000
+TOGETHER, CHUNK, BUCKET, BLOCK, SHINGLES = 1 << 20, 3_000_000, 2_000_000, 512, 1_000_000
 WIDTH, PERCENT, RATIO, SLACK, HOT = 5, 80, 1.25, 1.3, 64
 
 
@@ -77,18 +77,33 @@ def _deal(width: int, buckets: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()  # a second attempt reads the same rows under the same number
-        for turn, b in enumerate(pieces(batches, TOGETHER)):
-            code, who = shingles(b.column("text"), width)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            chunk = f"{part}/{turn}"
+        held, size, turn = [], 0, 0
+
+        def flush():
+            n = np.cumsum([0, *(len(i) for i, _, _ in held)])
+            ids, code = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            who = np.concatenate([x[2] + m for x, m in zip(held, n[:-1], strict=True)])
+            chunk, n = f"{part}/{turn}", int(n[-1])
             order = np.argsort(code)
-            code, who = code[order], who[order].astype(np.uint16 if b.num_rows < 1 << 16 else np.uint32)
+            code, who = code[order], who[order].astype(np.uint16 if n < 1 << 16 else np.uint32)
             # the range of a hash is its bucket; 32 bits within the range are enough here, chance hits only keep more sets
             at = ((code >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             low = ((code >> np.uint64(8)) * np.uint64(buckets) >> np.uint64(24)).astype(np.uint32)
-            rows = [((part * 131 + turn) % buckets, chunk, hs.pack(ids, np.bincount(who, minlength=b.num_rows).astype(np.uint32)), None)]
-            rows += [(k, chunk, None, hs.pack(np.diff(low[i:j], prepend=np.uint32(0)), who[i:j]) + b.num_rows.to_bytes(4, "little")) for k, i, j in _cuts(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "ids", "blob"])
+            rows = [((part * 131 + turn) % buckets, chunk, hs.pack(ids, np.bincount(who, minlength=n).astype(np.uint32)), None)]
+            rows += [(k, chunk, None, hs.pack(np.diff(low[i:j], prepend=np.uint32(0)), who[i:j]) + n.to_bytes(4, "little")) for k, i, j in _cuts(at)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "ids", "blob"])
+
+        for b in pieces(batches, TOGETHER):
+            code, who = shingles(b.column("text"), width)
+            held.append((b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), code, who))
+            size += len(code) + b.num_rows
+            if size > CHUNK:
+                yield flush()
+                held, size, turn = [], 0, turn + 1
+        if held:
+            yield flush()
+        held = []
+        trim()
 
     return run
 
@@ -364,7 +379,13 @@ def _first_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def _other_links(spots: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different parts: those that share a subset are in the group of its lead; groups are compared in blocks."""
+    """Links (a, b) that join different parts, found in blocks of groups.
+
+    Those that share a subset are in the group of its lead, which joins the group of the smallest lead that the lead itself
+    meets: near copies have many leads, and would be compared in as many groups.
+    """
+    first = spots.groupBy(F.col("rep").alias("lead")).agg(F.min("lead").alias("root"))
+    spots = spots.join(first, "lead").select(F.col("root").alias("lead"), "rep")
     own = spots.distinct().join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(classes.select("rep", "n"), "rep")
     own = settled(own.select("lead", "rep", "part", "n"), "groups")
     by_part = own.groupBy("lead", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
@@ -445,7 +466,8 @@ def groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     discard(classes)
     named = reps.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    member = named.join(smallest, "component").select("key", "component_id")
+    # written first: a join of two plain shuffles is one whose hot keys Spark can split
+    member = settled(named.join(smallest, "component").select("key", "component_id"), "members")
     linked = rows.join(member.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = known.join(may.hint("merge"), "doc_id", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     loose = documents.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -99,8 +99,9 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
     words = F.split("doc.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("o.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("o.words").cast("int")), "")).otherwise(F.col("doc.text"))
     columns = [text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in documents.columns]
-    kept = read.select(*columns, F.col("o.position").alias("__position"), F.col("o.copy").alias("__copy"))
-    return kept.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id", "__copy").drop("__position", "__copy")
+    kept = read.select(F.struct(*columns).alias("doc"), F.col("o.position").alias("position"), F.col("o.copy").alias("copy"))
+    order = ["position", "doc.doc_id", "copy"]
+    return kept.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
