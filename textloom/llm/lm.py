@@ -24,19 +24,32 @@ from textloom.llm import hashstore as hs
 from textloom.llm.common import lean_batches, scratch, settled, table, tidy
 from textloom.llm.words import hash_strings, pieces, split
 
-TOGETHER, FLUSH, BUCKET, HOT, TEXT = 4 << 20, 2_000_000, 2_000_000, 4, 128 << 20
+TOGETHER, FLUSH, BUCKET, HOT, TEXT = 1 << 20, 2_000_000, 2_000_000, 4, 128 << 20
 STATS = ("id", "total", "one", "two", "more")
 BEGIN, UNKNOWN = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
-BLOBS = "bucket int, kind string, blob binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
+BLOBS = "bucket int, kind string, blob binary, n array<bigint>"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary()), ("n", pa.list_(pa.int64()))])
 
 
 def _rows(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    """Rows of packed columns for a bucket, or of a few numbers to be added up."""
+    columns = list(zip(*((k, kind, x if isinstance(x, bytes) else None, None if isinstance(x, bytes) else x) for k, kind, x in rows), strict=True)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _columns(own: pa.Table, kind: str, *kinds) -> list[np.ndarray]:
+    """The packed columns of all rows of a kind, one after the other; empty ones of these types without any."""
+    parts = [hs.unpack(x.as_buffer()) for x, k in zip(own.column("blob"), own.column("kind").to_pylist(), strict=True) if k == kind]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=t) for t in kinds]
+
+
+def _every_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """With a row for each bucket, so that each has its file, and nobody needs to know which are there."""
+    numbers = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit("").alias("kind"))
+    return rows.unionByName(numbers, allowMissingColumns=True)
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     """Counts in 32 bits where they fit."""
     return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64)
@@ -96,8 +109,8 @@ def _count_words(buckets: int):
 def _keep_words(base: str, buckets: int):
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        parts = [hs.unpack(x.as_buffer()) for x in own.column("blob")]
-        keys, counts = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
+        keys, counts = _columns(own, "w", np.uint64, np.int64)
+        keys, counts = _sums(keys, counts.astype(np.int64))
         rank = np.empty(len(keys), dtype=np.int64)
         rank[np.lexsort([keys, -counts])] = np.arange(len(keys))
         if len(keys) * buckets >= int(UNKNOWN):
@@ -105,7 +118,7 @@ def _keep_words(base: str, buckets: int):
         ids = (rank * buckets + k).astype(np.uint32)  # frequent words get small numbers
         hs.save(f"{base}/words-{k}", {"key": keys, "id": ids, "count": counts.astype(np.uint64)})
         often = int((counts * HOT > BUCKET).sum())
-        return pa.Table.from_batches([_rows([(k, "n", hs.pack(np.array([len(keys), counts.sum(), counts[keys == END_HASH].sum(), often], dtype=np.int64)))])])
+        return pa.Table.from_batches([_rows([(k, "n", [len(keys), int(counts.sum()), int(counts[keys == END_HASH].sum()), often])])])
 
     return run
 
@@ -116,9 +129,9 @@ def _lookup_words(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = keys % np.uint64(model["word_buckets"])
     order = _by_bucket(at, keys)
     for k, i, j in _cuts(at[order]):
-        if k not in model["word_files"]:
-            continue
         own, who = hs.load(f"{model['base']}/words-{k}"), order[i:j]
+        if not len(own["key"]):
+            continue
         spot = np.minimum(np.searchsorted(own["key"], keys[who]), len(own["key"]) - 1)
         hit = own["key"][spot] == keys[who]
         ids[who[hit]], counts[who[hit]] = own["id"][spot[hit]], own["count"][spot[hit]]
@@ -230,8 +243,8 @@ def _stats(first: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(x.astype(np.uint64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
 
 
-def _of_counts(counts: np.ndarray) -> np.ndarray:
-    return np.array([(counts == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64)
+def _of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
 def _neighbours(model: dict, w: np.ndarray):
@@ -245,10 +258,8 @@ def _neighbours(model: dict, w: np.ndarray):
 def _keep_trigrams(model: dict):
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        parts = [hs.unpack(x.as_buffer()) for x in own.column("blob")]
-        v, u, w, n = _distinct(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        n = n.astype(np.int64)
-        del parts
+        v, u, w, n = _columns(own, "t", *[np.uint32] * 4)
+        v, u, w, n = _distinct(v, u, w, n.astype(np.int64))
         arrays = {f"t.{a}": x for a, x in hs.keyed(_key3(u, v, w), n=n).items()}
         first = _runs(v, u)
         total, *several = _stats(first, n)
@@ -256,7 +267,7 @@ def _keep_trigrams(model: dict):
         more = (total > 1) | ((u[first] == BEGIN) & (v[first] == BEGIN))
         order = np.argsort(keys := hs.mix(hs.pair(u[first], v[first]))[more])
         arrays |= {"c.key": keys[order]} | {f"c.{name}": _small(x[more][order]) for name, x in zip(("total", "one", "two", "more"), [total, *several], strict=True)}
-        said = [(k, "3", hs.pack(_of_counts(n)))]
+        said = [(k, "3", _of_counts(n))]
         v2, w2, left = _distinct(v, w, np.ones(len(v), dtype=np.int64))
         hot = _hot(model, v2)
         if hot.any():
@@ -266,7 +277,7 @@ def _keep_trigrams(model: dict):
             said += [(b, "h", hs.pack(hv[i:j], hw[i:j], hn[i:j])) for b, i, j in _cuts(at[order])]
         arrays_2, said_2, contexts = _bigrams(model, k, v2[~hot], w2[~hot], left[~hot])
         arrays_2 |= {f"v.{name}": x for name, x in zip(STATS, contexts, strict=True)}
-        hs.save(f"{model['base']}/grams-{k}", arrays | arrays_2)
+        hs.save(f"{model['base']}/gram-{k}", arrays | arrays_2)
         return pa.Table.from_batches([_rows(said + said_2)])
 
     return run
@@ -277,7 +288,7 @@ def _bigrams(model: dict, k: int, v, w, left):
     arrays = {f"b.{a}": x for a, x in hs.keyed(hs.mix(hs.pair(v, w)), n=left).items()}
     first = _runs(v)
     stats = _stats(first, left)
-    return arrays, [(k, "2", hs.pack(_of_counts(left))), *_neighbours(model, w)], [v[first], *stats]
+    return arrays, [(k, "2", _of_counts(left)), *_neighbours(model, w)], [v[first], *stats]
 
 
 def _keep_frequent(model: dict):
@@ -285,9 +296,10 @@ def _keep_frequent(model: dict):
 
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        v, w, n = _distinct(*(np.concatenate(c) for c in zip(*[hs.unpack(x.as_buffer()) for x in own.column("blob")], strict=True)))
-        arrays, said, contexts = _bigrams(model, k + model["buckets"], v, w, n.astype(np.int64))
-        hs.save(f"{model['base']}/grams-{k + model['buckets']}", arrays)
+        v, w, n = _columns(own, "h", *[np.uint32] * 3)
+        v, w, n = _distinct(v, w, n.astype(np.int64))
+        arrays, said, contexts = _bigrams(model, k + model["buckets"], v, w, n)
+        hs.save(f"{model['base']}/gram-{k + model['buckets']}", arrays)
         at = contexts[0] % np.uint32(model["word_buckets"])
         order = _by_bucket(at)
         said += [(b, "v", hs.pack(*(x[order][i:j] for x in contexts))) for b, i, j in _cuts(at[order])]
@@ -301,20 +313,14 @@ def _keep_unigrams(model: dict):
 
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        parts = {kind: [hs.unpack(x.as_buffer()) for x, a in zip(own.column("blob"), own.column("kind").to_pylist(), strict=True) if a == kind] for kind in "uv"}
-        arrays = {"n": np.zeros(0, dtype=np.uint32)} | {f"v.{name}": np.zeros(0, dtype=np.uint64) for name in STATS}
-        said = []
-        if parts["u"]:
-            ids, n = _sums(*(np.concatenate(c).astype(np.int64) for c in zip(*parts["u"], strict=True)))
-            arrays["n"] = np.zeros(int(ids.max()) // model["word_buckets"] + 1, dtype=np.int64)
-            arrays["n"][ids // model["word_buckets"]] = n
-            arrays["n"] = _small(arrays["n"])
-            said.append((k, "1", hs.pack(np.append(_of_counts(n), [n.sum(), (n > 2).sum()]))))
-        if parts["v"]:
-            ids, *stats = (np.concatenate(c) for c in zip(*parts["v"], strict=True))
-            arrays |= {f"v.{name}": x for name, x in zip(STATS, [np.unique(ids), *(_sums(ids, x)[1] for x in stats)], strict=True)}
-        hs.save(f"{model['base']}/left-{k}", arrays)
-        return pa.Table.from_batches([_rows([*said, (k, "left", b"")])])
+        ids, n = (x.astype(np.int64) for x in _columns(own, "u", np.uint32, np.uint32))
+        ids, n = _sums(ids, n)
+        dense = np.zeros(int(ids.max(initial=-1)) // model["word_buckets"] + 1, dtype=np.int64)
+        dense[ids // model["word_buckets"]] = n
+        contexts, *stats = _columns(own, "v", np.uint32, *[np.uint64] * 4)
+        arrays = {f"v.{name}": x for name, x in zip(STATS, [np.unique(contexts), *(_sums(contexts, x)[1] for x in stats)], strict=True)}
+        hs.save(f"{model['base']}/left-{k}", arrays | {"n": _small(dense)})
+        return pa.Table.from_batches([_rows([(k, "1", [*_of_counts(n), int(n.sum()), int((n > 2).sum())])])])
 
     return run
 
@@ -337,26 +343,25 @@ def train(texts: DataFrame) -> dict:
     texts = texts.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT))
-    said = settled(texts.mapInArrow(_count_words(word_buckets), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_words(base, word_buckets)), BLOBS), "lm-words").collect()
-    counts = {r["bucket"]: hs.unpack(r["blob"])[0] for r in said}
-    words, tokens, ends = (int(sum(c[i] for c in counts.values())) for i in range(3))
-    often = max((int(c[3]) for c in counts.values()), default=0)
+    counted = _every_bucket(texts.mapInArrow(_count_words(word_buckets), BLOBS), word_buckets).groupBy("bucket").applyInArrow(tidy(_keep_words(base, word_buckets)), BLOBS)
+    words, tokens, ends, often = settled(counted, "lm-words").agg(*[F.sum(F.col("n")[k]) for k in range(3)], F.max(F.col("n")[3])).first()
     buckets = -(-tokens // BUCKET) or 1
-    model = {"base": base, "word_buckets": word_buckets, "word_files": set(counts), "buckets": buckets, "words": words, "tokens": tokens}
+    model = {"base": base, "word_buckets": word_buckets, "buckets": buckets, "words": words, "tokens": tokens}
     # numbers below this are the most frequent words of each bucket, all those with more than a part of a bucket among them
     model |= {"hot": often * word_buckets if buckets > 1 else 0, "many_texts": buckets > 1 and ends * HOT > BUCKET}
-    grams = settled(texts.mapInArrow(_count_trigrams(model), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_trigrams(model)), BLOBS), "lm-grams")
-    frequent = settled(grams.where("kind = 'h'").select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(tidy(_keep_frequent(model)), BLOBS), "lm-frequent")
-    lefts = grams.where("kind = 'u'").unionByName(frequent.where("kind IN ('u', 'v')"))
-    single = settled(lefts.groupBy("bucket").applyInArrow(tidy(_keep_unigrams(model)), BLOBS), "lm-left")
-    small = [*grams.where("kind IN ('2', '3')").collect(), *frequent.where("kind = '2'").collect(), *single.collect()]
-    sums = {k: sum((hs.unpack(r["blob"])[0] for r in small if r["kind"] == k), np.zeros(6 if k == "1" else 4, dtype=np.int64)) for k in "123"}
+    grams = settled(_every_bucket(texts.mapInArrow(_count_trigrams(model), BLOBS), buckets).groupBy("bucket").applyInArrow(tidy(_keep_trigrams(model)), BLOBS), "lm-grams")
+    every = grams
+    if model["hot"] or model["many_texts"]:
+        frequent = _every_bucket(grams.where("kind = 'h'"), buckets).groupBy("bucket").applyInArrow(tidy(_keep_frequent(model)), BLOBS)
+        every = grams.unionByName(settled(frequent, "lm-frequent"))
+    lefts = _every_bucket(every.where("kind IN ('u', 'v')"), word_buckets)
+    every = every.unionByName(settled(lefts.groupBy("bucket").applyInArrow(tidy(_keep_unigrams(model)), BLOBS), "lm-left"))
+    added = every.where("kind IN ('1', '2', '3')").groupBy("kind").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(6)]).alias("n")).collect()
+    sums = {r["kind"]: r["n"] for r in added}
     model |= {f"d{k}": _discounts(sums[k]) for k in "123"}
     n1, n2, _, _, total, more = (float(x) for x in sums["1"])
     d = model["d1"]
     model |= {"left_total": total, "left_rest": (d[1] * n1 + d[2] * n2 + d[3] * more) / total if total else 1.0}
-    model["left_files"] = {r["bucket"] for r in small if r["kind"] == "left"}
-    model["gram_files"] = {r["bucket"] for r in small if r["kind"] == "2"}
     return model
 
 
@@ -367,8 +372,7 @@ def _by_file(model: dict, at: np.ndarray, keys: np.ndarray, name: str = "gram"):
     """For each file that is needed: its arrays, and who asks, in order of their keys."""
     order = _by_bucket(at, keys)
     for k, i, j in _cuts(at[order]):
-        if k in model[f"{name}_files"]:
-            yield hs.load(f"{model['base']}/{name}s-{k}" if name == "gram" else f"{model['base']}/{name}-{k}"), order[i:j]
+        yield hs.load(f"{model['base']}/{name}-{k}"), order[i:j]
 
 
 def _contexts(own: dict, keys: np.ndarray, prefix: str, name: str = "id"):
