@@ -157,7 +157,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     at = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     mine = sized.where("home").withColumn("row", at("rows", 1)).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("side", F.lit(0))
     other = sized.withColumn("col", at("cols", 2)).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1))
-    blocks = mine.unionByName(other).select("label", "cell", "row", "col", "side", "rep", "n", "vector")
+    # dealt by block: what is dealt by cell would keep all blocks of a large cell in one task
+    blocks = mine.unionByName(other).select("label", "cell", "row", "col", "side", "rep", "n", "vector").repartition("label", "cell", "row", "col")
     joined = settled(blocks.groupBy("label", "cell", "row", "col").applyInPandas(_join(threshold), "a long, b long, n_links long"), "joined")
     parts = components(joined.select("a", "b"))
     links = joined.groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
