@@ -35,7 +35,7 @@ from textloom.llm.words import pieces, powers
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-TOGETHER, SLICE, FLUSH = 2 << 20, 2 << 20, 60_000
+TOGETHER, SLICE, FLUSH, ROWS = 1 << 20, 1 << 20, 60_000, 4096
 LAST = np.iinfo(np.int64).max
 BLOBS = "bucket int, kind string, blob binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
@@ -140,6 +140,7 @@ def _first_scan(buckets: int):
 def _keep_repeated(base: str):
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
+        own = own.filter(own.column("blob").is_valid())
         kinds = own.column("kind").to_pylist()
         blobs = [hs.unpack(x.as_buffer()) for x in own.column("blob")]
         arrays = {}
@@ -166,23 +167,27 @@ def _keep_repeated(base: str):
     return run
 
 
-def _spots(base: str, files: set, buckets: int, name: str, keys: np.ndarray):
+def _every_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """With a row for each bucket, so that each has its file, and nobody needs to know which are there."""
+    return rows.unionByName(rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit("").alias("kind"), F.lit(None).cast("binary").alias("blob")))
+
+
+def _spots(base: str, buckets: int, name: str, keys: np.ndarray):
     """For each bucket that is needed: its arrays, who asks, and where each key is, or -1."""
     at = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort([keys, at])
     for k, i, j in _cuts(at[order]):
-        if k in files:
-            own, who = hs.load(f"{base}/{name.split('.')[0]}-{k}"), order[i:j]
-            table = own[name.split(".")[1]]
-            if len(table):
-                spot = np.minimum(np.searchsorted(table, keys[who]), len(table) - 1)
-                yield own, who, np.where(table[spot] == keys[who], spot, -1)
+        own, who = hs.load(f"{base}/{name.split('.')[0]}-{k}"), order[i:j]
+        table = own[name.split(".")[1]]
+        if len(table):
+            spot = np.minimum(np.searchsorted(table, keys[who]), len(table) - 1)
+            yield own, who, np.where(table[spot] == keys[who], spot, -1)
 
 
 def _later_copies(model: dict, docs: Documents) -> np.ndarray:
     """Which documents repeat the whole text of an earlier one."""
     out = np.zeros(len(docs.ids), dtype=bool)
-    for own, who, spot in _spots(model["base"], model["files"], model["buckets"], "twice.d1", docs.digests[:, 0]):
+    for own, who, spot in _spots(model["base"], model["buckets"], "twice.d1", docs.digests[:, 0]):
         hit = spot >= 0
         w, s = who[hit], spot[hit]
         out[w] = (own["d2"][s] == docs.digests[w, 1]) & (own["first"][s] < docs.ids[w])
@@ -236,7 +241,7 @@ def _second_scan(model: dict):
             f = first[order]
             for k, i, j in _cuts(at[order]):
                 w = f[i:j]
-                out.append((k, "c", hs.pack(key[w], ids[w], start[w], left[w].astype(np.uint8), right[w].astype(np.uint8)) + b"\0" * 0 + _packed_rows(body[w])))
+                out.append((k, "c", hs.pack(key[w], ids[w], start[w], left[w].astype(np.uint8), right[w].astype(np.uint8)) + _packed_rows(body[w])))
             return _rows(out)
 
         for b in pieces(batches, TOGETHER):
@@ -245,7 +250,7 @@ def _second_scan(model: dict):
             keys = docs.keys()
             for code, doc, pos, data, at, low, high in anchors(docs.raw, todo.tolist(), SLICE):
                 twice = np.zeros(len(code), dtype=bool)
-                for _, who, spot in _spots(model["base"], model["files"], buckets, "twice.anchor", code):
+                for _, who, spot in _spots(model["base"], buckets, "twice.anchor", code):
                     twice[who] = spot >= 0
                 w = np.flatnonzero(twice)
                 if not len(w):
@@ -292,21 +297,25 @@ def _contexts(blob):
 
 def window_classes(body: np.ndarray, left: np.ndarray, right: np.ndarray):
     """(row, offset, class) of all windows inside the rows. Classes are numbered in the order of the windows' digests."""
-    flat = body.ravel().astype(np.uint64) + np.uint64(1)
     several = np.maximum(left + right + GRAM - LENGTH + 1, 0)
+    done = np.cumsum(several)
     row = np.repeat(np.arange(len(body)), several)
-    offset = np.arange(len(row)) - (np.cumsum(several) - several)[row]
-    at = row * WIDE + (SPAN - 1 - left)[row] + offset
-    digests = []
-    with np.errstate(over="ignore"):
-        for base in (_ODD, 0xD1342543DE82EF95):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(flat * powers(base, len(flat)))])
-            digests.append((sums[at + LENGTH] - sums[at]) * powers(pow(base, -1, 1 << 64), len(flat) + 1)[at])
-    order = np.lexsort((digests[1], digests[0])) if len(at) else at
-    new = np.zeros(len(at), dtype=bool)
+    offset = np.arange(len(row)) - (done - several)[row]
+    digests = [np.empty(len(row), dtype=np.uint64) for _ in range(2)]
+    for i in range(0, len(body), ROWS):  # so many rows at a time: what is summed up is eight times as large as they are
+        j = min(i + ROWS, len(body))
+        here = slice(int(done[i] - several[i]), int(done[j - 1]))
+        at = (row[here] - i) * WIDE + (SPAN - 1 - left)[row[here]] + offset[here]
+        flat = body[i:j].ravel().astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            for d, base in zip(digests, (_ODD, 0xD1342543DE82EF95), strict=True):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(flat * powers(base, len(flat)))])
+                d[here] = (sums[at + LENGTH] - sums[at]) * powers(pow(base, -1, 1 << 64), len(flat) + 1)[at]
+    order = np.lexsort((digests[1], digests[0]))
+    new = np.zeros(len(row), dtype=bool)
     for d in digests:
         new[1:] |= d[order][1:] != d[order][:-1]
-    group = np.empty(len(at), dtype=np.int64)
+    group = np.empty(len(row), dtype=np.int64)
     group[order] = np.cumsum(new)
     return row, offset, group
 
@@ -361,7 +370,9 @@ def merged(key: np.ndarray, low: np.ndarray, high: np.ndarray):
 def _keep_cuts(base: str):
     def run(own: pa.Table) -> pa.Table:
         k = own.column("bucket")[0].as_py()
-        key, low, high = merged(*(np.concatenate(c) for c in zip(*[hs.unpack(x.as_buffer()) for x in own.column("blob")], strict=True)))
+        parts = [hs.unpack(x.as_buffer()) for x in own.column("blob") if x.is_valid]
+        none = [np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64)]
+        key, low, high = merged(*([np.concatenate(c) for c in zip(*parts, strict=True)] or none))
         hs.save(f"{base}/cuts-{k}", {"key": key, "low": low, "high": high})
         return pa.Table.from_batches([_rows([(k, "n", b"")])])
 
@@ -376,12 +387,12 @@ def fit(documents: DataFrame) -> dict:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 << 20))
-    files = settled(documents.mapInArrow(_first_scan(buckets), BLOBS).groupBy("bucket").applyInArrow(tidy(_keep_repeated(base)), BLOBS), "twice")
-    model = {"base": base, "buckets": buckets, "files": {r.bucket for r in files.select("bucket").collect()}}
+    settled(_every_bucket(documents.mapInArrow(_first_scan(buckets), BLOBS), buckets).groupBy("bucket").applyInArrow(tidy(_keep_repeated(base)), BLOBS), "twice")
+    model = {"base": base, "buckets": buckets}
     around = settled(documents.mapInArrow(_second_scan(model), BLOBS), "around")
     cuts = around.where("kind = 'r'").unionByName(around.where("kind = 'c'").groupBy("bucket").applyInArrow(tidy(_mark(buckets)), BLOBS))
-    kept = settled(cuts.groupBy("bucket").applyInArrow(tidy(_keep_cuts(base)), BLOBS), "cuts")
-    return model | {"cut_files": {r.bucket for r in kept.select("bucket").collect()}}
+    settled(_every_bucket(cuts, buckets).groupBy("bucket").applyInArrow(tidy(_keep_cuts(base)), BLOBS), "cuts")
+    return model
 
 
 def _ranges(model: dict, docs: Documents):
@@ -389,7 +400,7 @@ def _ranges(model: dict, docs: Documents):
     later, keys = _later_copies(model, docs), docs.keys()
     none = np.zeros(0, dtype=np.int64)
     out = [(np.zeros(1, dtype=np.int64), np.array([n])) if c else (none, none) for c, n in zip(later, docs.sizes.tolist(), strict=True)]
-    for own, who, spot in _spots(model["base"], model["cut_files"], model["buckets"], "cuts.key", keys):
+    for own, who, spot in _spots(model["base"], model["buckets"], "cuts.key", keys):
         ends = np.searchsorted(own["key"], keys[who], side="right")
         for w, i, j in zip(who.tolist(), spot.tolist(), ends.tolist(), strict=True):
             if i >= 0 and not later[w]:
