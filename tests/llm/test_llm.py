@@ -553,6 +553,39 @@ def test_quality(spark, docs, none, sf_dir):
     assert quality.score(docs, blank).where("abs(score - 0.5) > 1e-9").count() == 0 and quality.score(none, model).count() == 0
 
 
+def test_features_by_part():
+    """Parts of a long text give what the whole gives."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = pa.array(["\n".join(" ".join(rng.choice(["ab", "Xy.", "7", "--", "é"]) for _ in range(rng.randint(0, 6))) for _ in range(n)) for n in (1, 40, 3, 100)])
+    own = quality.lines_of_texts(texts)
+    whole = quality.line_features(*own)
+    for part in (1, 7, 1000):
+        got = np.concatenate([x for _, _, x in quality.features_by_part(*own, part)])
+        assert np.allclose(got, whole)
+
+
+def test_quality_score_is_the_weighted_mean():
+    """The score of a text against its lines' marginals by enumeration."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    w, trans = rng.normal(size=quality.FEATURES) * 0.3, rng.normal(size=(2, 2))
+    text = "A first line.\n\n-- -- 77\nlast words here"
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    (got,) = quality._scorer(w, trans)([batch])
+    data, lines_of, starts, ends = quality.lines_of_texts(pa.array([text]))
+    emit = quality.line_features(data, lines_of, starts, ends) @ w
+    mass, good = 0.0, np.zeros(4)
+    for code in range(16):
+        y = np.array([code >> k & 1 for k in range(4)])
+        p = math.exp(float(emit @ y) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+        mass, good = mass + p, good + p * y
+    size = np.array([len(x.encode()) + 1 for x in text.split("\n")])
+    assert math.isclose(got.column("score")[0].as_py(), float((good / mass) @ size / size.sum()), rel_tol=1e-9)
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -738,7 +771,7 @@ def test_pipeline(spark, docs, sf_dir):
     # the last stage again by hand: the same documents, texts and order as the fourth's files hold
     docs = table
     for k, (_, stage) in enumerate(cp.STAGES[:-1]):
-        docs = settled(stage(spark, docs, sf_dir), f"again-{k}")
+        before, docs = docs, settled(stage(spark, docs, sf_dir), f"again-{k}")
         assert docs.columns == table.columns
     import glob
 
@@ -748,7 +781,6 @@ def test_pipeline(spark, docs, sf_dir):
     want = [(i, t) for f in files for i, t in zip(*pq.read_table(f, columns=["doc_id", "text"]).to_pydict().values(), strict=True)]
     assert [(r.doc_id, pieces.decode(r.ids, model)) for r in rows] == want
     # each source's words near its target, in the order of the schedules
-    before = spark.read.parquet(docs.settled_at.replace("again-3", "again-2").rsplit("/", 1)[0] + "/again-2-*")
     plan = mixing.mix(before, whole=True).collect()
     taken = collections.Counter()
     for i, _ in want:

@@ -102,3 +102,60 @@ def test_op9(spark, sf_dir, rows):
 
 def test_names(sf_dir):
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_mixing_of_null_sources_alone(spark):
+    from textloom.llm import mixing
+
+    rows = [(k, "w " * k, None) for k in range(1, 30)] + [(40, None, None), (None, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    total = sum(range(1, 30)) + 2
+    assert len(got) == len(rows) and {r.source_size for r in got} == {total} and {r.target for r in got} == {float(total)}
+    assert sum(r.taken for r in got) == total and all(r.taken == r.size for r in got)
+
+
+def test_clashing_columns(spark):
+    """Columns of the caller that are named like those inside."""
+    from textloom.llm import embeddings, jaccard, mixing, pieces, quality, repeats
+
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0], 5, 6, "c"), (2, 0, [1.0, 0.001], 5, 6, "c")], "vec_id long, label int, embedding array<double>, rep int, n int, cell string")
+    assert sorted(map(tuple, embeddings.near_duplicates(vectors).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+    text = " ".join(f"w{k}" for k in range(40))
+    names = ["key", "row", "rep", "n", "doc", "score", "size", "bucket", "u", "unit", "chunk", "position", "__position", "first", "component"]
+    kinds = ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame([(k, text, "s", *names) for k in (1, 2)], f"doc_id long, text string, source string, {kinds}")
+    assert sorted(r.component_id for r in jaccard.groups(docs).collect()) == [1, 1]
+    assert sorted(r.n_removed for r in repeats.removed(docs).collect()) == [0, len(text)]
+    assert {len(r.ids) for r in pieces.encode(docs).collect()} == {len(pieces.encode(docs).first().ids)}
+    scored = quality.score(docs, (np.zeros(quality.FEATURES), np.zeros((2, 2)))).collect()
+    assert {r.doc.doc for r in scored} == {"doc"} and {r.score for r in scored} == {0.5}
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == docs.columns and {r.position for r in mixed.collect()} == {"position"}
+
+
+def test_lines_take_powers_of_two(spark):
+    from textloom.llm import lines
+
+    with pytest.raises(ValueError):
+        lines.copied_ranges(spark.createDataFrame([(1, "a")], "doc_id long, text string"), min_lines=3)
+
+
+def test_stages_of_the_pipeline_on_odd_tables(spark, sf_dir):
+    """Empty tables, nulls, blank texts and repeated rows go through every stage."""
+    import corpus_pipeline as cp
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5).collect()
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, " \\n ", None, "a", 3), (None, "x y z", "en", None, 5), (3, "one", "en", "b", 3), (3, "one", "de", "c", 3)]
+    for rows in ([], odd, [tuple(r) for r in good] + [tuple(r) for r in good]):
+        docs = spark.createDataFrame(rows, shape)
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert out.count() <= 3 * len(rows), name
+        ids = cp.encoded(spark, docs, sf_dir)
+        assert ids.columns == ["doc_id", "position", "ids"] and ids.count() == len(rows)
+    once = cp.one_of_each_group(spark, spark.createDataFrame(odd, shape), sf_dir).collect()
+    # of rows alike in doc_id and text one stays; those without an id all stay
+    assert sorted((str(r.doc_id), str(r.text)) for r in once) == [("1", ""), ("2", " \\n "), ("3", "one"), ("None", "None"), ("None", "x y z")]
