@@ -41,8 +41,9 @@ def _identity(documents: DataFrame) -> list:
 def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (d, h, pos, a, b) whose class (a, b) has several places, with the earliest of them; and what of them is later."""
     place = F.struct("d", "h", "pos")
-    classes = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    own = settled(rows.join(classes.select("a", "b", "first"), ["a", "b"]), "lines")
+    # written first: a join of two plain shuffles is one whose hot keys Spark can split
+    classes = settled(rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"), "classes")
+    own = settled(rows.join(classes.select("a", "b", "first").hint("merge"), ["a", "b"]), "lines")
     return own.drop("first"), own.where(place > F.col("first"))
 
 
