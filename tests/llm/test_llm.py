@@ -648,6 +648,47 @@ def test_common_counts():
     assert jaccard.common([], sets).shape == (0, 40) and jaccard.common(sets[:1], [sets[0][:0]]).tolist() == [[0]]
 
 
+def test_jaccard_units():
+    """The most shingles by which two similar sets of given sizes can differ are fewer than the larger's band asks units of the other."""
+    for n in range(1, 80):
+        for m in range(n, 100):
+            same = -(-80 * (n + m) // 180)
+            if same <= n:
+                band = jaccard.band_of(m)
+                assert band - jaccard.band_of(n) in (0, 1)
+                assert n + m - 2 * same < jaccard.units(n, band) <= jaccard.difference(band) + 1
+                assert band > jaccard.band_of(n) or n + m - 2 * same < jaccard.units(m, band)
+
+
+def test_jaccard_keeps_sets_apart_that_share_empty_segments_only(spark, monkeypatch):
+    """Near copies in plenty need hot subsets; the groups that are compared must not take in sets that share nothing with them."""
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    seen, real = {}, jaccard.settled
+
+    def keep(df, name):
+        out = real(df, name)
+        seen[name] = out.collect() if name in ("stars", "groups") else None
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", keep)
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(150)]  # the last 110 have nothing in common
+    for k in range(40):
+        sets[k] = np.concatenate([sets[0][:190] if k < 20 else sets[0][rng.permutation(200)[: 200 - k // 2]], sets[k][: 10 + k // 4]])
+    sets = [np.unique(x) for x in sets]
+    classes = spark.createDataFrame([(k, len(x), x.tobytes()) for k, x in enumerate(sets)], "rep long, n long, shingles binary")
+    parts = {r.node: r.component for r in jaccard.components(jaccard.similar_pairs(classes)).collect()}
+    links = [(a, b) for a in range(40) for b in range(a) if 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(x))]
+    least = list(range(len(sets)))
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(links) > 200 and [parts.get(k, k) for k in range(len(sets))] == least
+    assert {r.rep for r in seen["groups"]} <= set(range(40))
+    met = [r.rep for r in seen["stars"]]
+    assert max(met.count(k) for k in set(met)) <= 2
+
+
 def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
     """Many near copies, few of them linked: blocks find what pairs would."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)

@@ -5,13 +5,16 @@ occur in a second document, and compressed arrays of shingles, met by hash range
 class. Then the pigeonhole principle on a partition of the universe: sizes fall into bands by a ratio of 1.25; in a band,
 sets that are similar differ by at most H shingles, and a hash deals all shingles to M = 1.3 (H + 1) segments. Every set
 indexes its segments' subsets. A set probes its own band and the next, with segments that are allocated by their cost (the
-number of sets that share the subset): each takes one unit of H + 1, so that one of them is equal in a similar set. Where
-subsets that more than HOT sets share would be needed, cheaper segments take two units instead: they also match with one
-shingle more or less, through one-deletion neighbourhoods of the probe and of the index.
+number of sets that share the subset): each takes one unit of as many as its own size asks for, H + 1 at most, so that one
+of them is equal in a similar set. Where subsets that more than HOT sets share would be needed, cheaper segments take two
+units instead: they also match with one shingle more or less, through one-deletion neighbourhoods of the probe and of the
+index. Empty segments, which sets share that have nothing else in common, come last; those with fewer than two shingles,
+which are empty with one less, never take two units.
 
-Candidates are verified on the whole sets. Not all pairs that share a subset are looked at: first each set against the
-smallest id of every subset it probes, then only those pairs that are still in different components. Links give the
-components by star steps. All groups are joined or aggregated by keys, none is collected.
+Candidates are verified on the whole sets. Not all pairs that share a subset are looked at: first each set against those
+MEETS leads (smallest ids of subsets) with which it shares most, then, of each subset that lies in several components
+still, those pairs that are in different ones. Links give the components by star steps. All groups are joined or aggregated
+by keys, none is collected.
 
 Nulls: a null text, and one without words, has an empty set and links with nothing. A null doc_id is dropped from the
 join and returned as its own component (null). Fewer than five words are one shingle. Repeated rows are equal sets.
@@ -34,7 +37,7 @@ from textloom.llm.components import components
 from textloom.llm.words import hash_strings, pieces, split
 
 TOGETHER, CHUNK, BUCKET, BLOCK, SHINGLES = 1 << 20, 3_000_000, 2_000_000, 512, 1_000_000
-WIDTH, PERCENT, RATIO, SLACK, HOT = 5, 80, 1.25, 1.3, 64
+WIDTH, PERCENT, RATIO, SLACK, HOT, MEETS = 5, 80, 1.25, 1.3, 64, 2
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +189,12 @@ def difference(band: int, percent: int = PERCENT) -> int:
     return (100 - percent) * 2 * largest // (100 + percent)
 
 
+def units(n: int, band: int, percent: int = PERCENT) -> int:
+    """One more than the shingles by which a set of size n and a similar one of a band can differ."""
+    largest = min(math.ceil(RATIO ** (band + 1) * (1 + 1e-9)), 100 * n // percent)
+    return (100 - percent) * (n + largest) // (100 + percent) + 1
+
+
 def segments(code: np.ndarray, band: int, percent: int = PERCENT):
     """The segment of each shingle in a band, and its share in the subset's hash (a sum, so that one can be taken off)."""
     m = int(math.ceil(SLACK * (difference(band, percent) + 1)))
@@ -193,11 +202,12 @@ def segments(code: np.ndarray, band: int, percent: int = PERCENT):
 
 
 def _index(percent: int):
-    """Subset hashes of each set's segments in its own band and in the next. Segments that are empty have the hash 0."""
+    """Subset hashes of each set's segments in its own band and in the next, the units it needs there, and the segments with fewer than two shingles. Segments that are empty have the hash 0."""
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("rep", "band", "seg", "sig", "own")}
+            out = {k: [] for k in ("rep", "band", "own", "need")}
+            sigs, weak = [], []
             for rep, blob in zip(b.column("rep").to_pylist(), b.column("shingles"), strict=True):
                 code = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
                 own = band_of(len(code))
@@ -208,13 +218,14 @@ def _index(percent: int):
                     cut = np.flatnonzero(np.concatenate([[True], seg[order][1:] != seg[order][:-1]]))
                     with np.errstate(over="ignore"):
                         sums[seg[order][cut]] = np.add.reduceat(value[order], cut)
-                    out["rep"].append(np.full(m, rep))
-                    out["band"].append(np.full(m, band, dtype=np.int32))
-                    out["seg"].append(np.arange(m, dtype=np.int32))
-                    out["sig"].append(sums.view(np.int64))
-                    out["own"].append(np.full(m, band == own))
-            if out["rep"]:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
+                    for k, x in zip(out, (rep, band, band == own, units(len(code), band, percent)), strict=True):
+                        out[k].append(x)
+                    sigs.append(sums.view(np.int64))
+                    weak.append(np.flatnonzero(np.bincount(seg, minlength=m) < 2).astype(np.int32))
+            if sigs:
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), np.concatenate(x)) for x in (weak, sigs)]
+                scalars = [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.bool_(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*scalars, *lists], [*out, "weak", "sigs"])
         trim()
 
     return run
@@ -366,10 +377,12 @@ def _blocks(percent: int, kind: str):
 
 
 def _first_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (rep, lead): each lead meets its own in blocks of bounded size."""
+    """Links (a, b) among pairs (rep, lead, hits): each lead meets its own in blocks of bounded size, each set the leads with most hits."""
     size = classes.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
     fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    own = settled(pairs.where("rep <> lead").join(classes.select("rep", "n"), "rep").join(size, "lead").where(fit).select("lead", "rep", "n"), "stars")
+    near = pairs.where("rep <> lead").join(size, "lead").join(classes.select("rep", "n"), "rep").where(fit)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("hits", F.negative("lead").alias("lead"))), asc=False), 1, MEETS)
+    own = settled(near.groupBy("rep").agg(F.first("n").alias("n"), best.alias("best")).select("rep", "n", F.explode("best.lead").alias("lead")).withColumn("lead", F.negative("lead")), "stars")
     sizes = own.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     member = own.join(sizes, "lead").select("lead", "rep", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     heads = sizes.select("lead", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -381,13 +394,17 @@ def _first_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _other_links(spots: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different parts, found in blocks of groups.
 
-    Those that share a subset are in the group of its lead, which joins the group of the smallest lead that the lead itself
-    meets: near copies have many leads, and would be compared in as many groups.
+    Subsets (spots) within one part need nothing more. Those that share another are in the group of its largest part: near
+    copies share many subsets, and would be compared for each; sets that have nothing else in common with them stay out.
     """
-    first = spots.groupBy(F.col("rep").alias("lead")).agg(F.min("lead").alias("root"))
-    spots = spots.join(first, "lead").select(F.col("root").alias("lead"), "rep")
-    own = spots.distinct().join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(classes.select("rep", "n"), "rep")
-    own = settled(own.select("lead", "rep", "part", "n"), "groups")
+    named = classes.select("rep", "n").join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    # the settled sizes of parts let Spark split the join at a large part
+    member = settled(named.join(settled(named.groupBy("part").agg(F.count("*").alias("size")), "sizes").hint("merge"), "part"), "named")
+    spread = settled(spots.join(member.select("rep", "part", "size").hint("merge"), "rep").select("spot", "rep", "part", "size"), "spread")
+    main = spread.groupBy("spot").agg(F.max(F.struct("size", F.negative("part").alias("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
+    met = spread.join(main.where("low < high").select("spot", F.negative("main.part").alias("lead")).hint("merge"), "spot").select("lead", "rep").distinct()
+    own = settled(met.join(member.drop("size").hint("merge"), "rep").select("lead", "rep", "part", "n"), "groups")
+    discard(spread)
     by_part = own.groupBy("lead", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
     # the largest part's members needn't meet each other: all others meet the whole group
     most = by_part.groupBy("lead").agg(F.max(F.struct("k", "part", "m")).alias("most"), F.sum("k").alias("k"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
@@ -405,27 +422,28 @@ def _other_links(spots: DataFrame, parts: DataFrame, classes: DataFrame, percent
 def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes (rep long, n, shingles; distinct sets, none empty) that connect all classes which similarity connects."""
     kind = "bigint"
-    subsets = settled(classes.mapInArrow(_index(percent), f"rep {kind}, band int, seg int, sig long, own boolean"), "subsets")
+    sets = settled(classes.mapInArrow(_index(percent), f"rep {kind}, band int, own boolean, need int, weak array<int>, sigs array<long>"), "subsets")
+    subsets = sets.select("rep", "band", "own", F.posexplode("sigs").alias("seg", "sig"))
     key = ["band", "seg", "sig"]
     cost = subsets.groupBy(*key).agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where("all > 1 AND n > 0")
     # Segments whose subset nobody else has cost nothing and find nothing: a set's own bands' number of segments tells how many there are
     told = subsets.join(cost.hint("merge"), key).where("n > CAST(own AS INT)")
-    by_set = told.groupBy("rep", "band").agg(F.sort_array(F.collect_list(F.struct("n", "seg", "sig"))).alias("met"))
-    need = F.expr(f"CAST({100 - percent} * 2 * CAST(ceil(pow({RATIO}D, band + 1) * (1 + 1e-9D)) AS BIGINT) DIV {100 + percent} AS INT) + 1")
-    by_set = by_set.withColumn("need", need).withColumn("free", F.ceil(F.lit(SLACK) * F.col("need")).cast("int") - F.size("met"))
-    by_set = by_set.withColumn("cheap", F.filter("met", lambda s: s["n"] <= HOT)).withColumn("lack", F.greatest(F.col("need") - F.col("free"), F.lit(0)))
+    by_set = told.groupBy("rep", "band").agg(F.sort_array(F.collect_list(F.struct((F.col("sig") == 0).alias("empty"), "n", "seg", "sig"))).alias("met"))
+    by_set = by_set.join(sets.select("rep", "band", "need", "weak", F.size("sigs").alias("m")).hint("merge"), ["rep", "band"])
+    is_cheap = lambda s: (s["n"] <= HOT) & ~s["empty"]
+    segs = lambda c: F.transform(c, lambda s: s["seg"])
+    by_set = by_set.withColumn("cheap", F.filter("met", is_cheap)).withColumn("lack", F.greatest(F.col("need") - F.col("m") + F.size("met"), F.lit(0)))
     # one unit from each: the cheapest; where hot subsets would be among them, the free and the cheap ones take a second unit first
-    by_set = by_set.withColumn("second", F.greatest(F.least(F.col("lack") - F.size("cheap"), F.size("cheap") + F.col("free")), F.lit(0)))
+    free = F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.concat(segs("met"), "weak"))
+    by_set = by_set.withColumn("sturdy", F.when(F.col("lack") > F.size("cheap"), F.concat(free, F.array_except(segs("cheap"), "weak"))).otherwise(F.array().cast("array<int>")))
+    by_set = by_set.withColumn("second", F.greatest(F.least(F.col("lack") - F.size("cheap"), F.size("sturdy")), F.lit(0)))
     by_set = by_set.withColumn("hot", F.greatest(F.col("lack") - F.size("cheap") - F.col("second"), F.lit(0)))
-    chosen = F.concat(F.slice("cheap", F.lit(1), F.greatest(F.least("lack", F.size("cheap")), F.lit(0))), F.slice(F.filter("met", lambda s: s["n"] > HOT), F.lit(1), F.col("hot")))
-    plan = settled(by_set.select("rep", "band", chosen.alias("chosen"), "second", F.transform("met", lambda s: s["seg"]).alias("shared"), F.transform("cheap", lambda s: s["seg"]).alias("cheap"), "need"), "plan")
+    chosen = F.concat(F.slice("cheap", F.lit(1), F.least("lack", F.size("cheap"))), F.slice(F.filter("met", lambda s: ~is_cheap(s)), F.lit(1), F.col("hot")))
+    plan = settled(by_set.select("rep", "band", chosen.alias("chosen"), F.slice("sturdy", F.lit(1), F.col("second")).alias("segs")), "plan")
     probes = plan.select("rep", "band", F.explode("chosen").alias("s")).select("rep", "band", "s.seg", "s.sig", F.lit("F").alias("space"))
     index = subsets.where("own").select("rep", *key, F.lit("F").alias("space"))
-    doubled = plan.where("second > 0")
-    if doubled.limit(1).count():
-        # free segments first, then the cheap ones
-        free = F.array_except(F.sequence(F.lit(0), F.ceil(F.lit(SLACK) * F.col("need")).cast("int") - 1), F.col("shared"))
-        twice = settled(doubled.select("rep", "band", F.slice(F.concat(free, "cheap"), F.lit(1), F.col("second")).alias("segs")), "twice")
+    twice = settled(plan.where("size(segs) > 0").select("rep", "band", "segs"), "twice")
+    if twice.limit(1).count():
         asked = twice.select("band", F.explode("segs").alias("seg")).distinct().groupBy("band").agg(F.collect_list("seg").alias("segs"))
         shape = f"rep {kind}, band int, seg int, sig long"
         minus = classes.join(twice, "rep").select("rep", "shingles", "band", "segs").mapInArrow(_deletions(percent), shape)
@@ -437,16 +455,19 @@ def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     spot = F.xxhash64("space", "band", "seg", "sig").alias("spot")
     probes = settled(probes.select("rep", spot).distinct(), "probes")
     index = settled(index.select("rep", spot).join(probes.select("spot").distinct(), "spot", "left_semi").distinct(), "index")
-    for x in (subsets, plan):
+    for x in (sets, plan, twice):
         discard(x)
     # each subset's lead is the smallest class that has it; all that share the subset meet the lead first
-    leads = index.groupBy("spot").agg(F.min("rep").alias("lead"))
-    spots = settled(probes.unionByName(index).join(leads, "spot").select("lead", "rep").distinct(), "spots")
+    spots = probes.unionByName(index)
+    leads = spots.groupBy("spot").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    pairs = settled(spots.join(leads, "spot").groupBy("lead", "rep").agg(F.count("*").alias("hits")), "spots")
+    links = _first_links(pairs, classes, percent)
+    discard(pairs)
+    parts = settled(components(links).withColumnRenamed("node", "rep"), "parts")
+    other = _other_links(spots, parts, classes, percent)
     for x in (probes, index):
         discard(x)
-    links = _first_links(spots, classes, percent)
-    parts = settled(components(links).withColumnRenamed("node", "rep"), "parts")
-    return links.unionByName(_other_links(spots, parts, classes, percent))
+    return links.unionByName(other)
 
 
 def groups(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
