@@ -689,6 +689,48 @@ def test_jaccard_keeps_sets_apart_that_share_empty_segments_only(spark, monkeypa
     assert max(met.count(k) for k in set(met)) <= 2
 
 
+def exploded(spark, action):
+    """What action() gives, and the rows that Spark made of subsets' arrays meanwhile, over all plans."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    runs = lambda: [store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())]
+    bus.waitUntilEmpty()
+    before = max(runs(), default=-1)
+    out = action()
+    bus.waitUntilEmpty()
+    made = {}
+    for run in (k for k in runs() if k > before):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "posexplode(sigs" in node.desc() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made[run, node.id()] = int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return out, sum(made.values())
+
+
+def test_jaccard_second_units_unfold_only_what_is_asked(spark, monkeypatch):
+    """A few sets that take second units don't make Spark unfold all sets' subsets once more."""
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(60)]
+    for k in range(12):
+        sets[k] = np.unique(np.concatenate([sets[0][: 200 - k], sets[k][:k]]))
+    classes = spark.createDataFrame([(k, len(x), np.unique(x).tobytes()) for k, x in enumerate(sets)], "rep long, n long, shingles binary")
+    asking, real, got = [], jaccard.settled, {}
+
+    def keep(df, name):
+        out = real(df, name)
+        if name == "twice":
+            asking.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", keep)
+    for hot in (64, 4):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        got[hot] = exploded(spark, lambda: sorted(map(tuple, jaccard.components(jaccard.similar_pairs(classes)).collect())))
+    assert asking[0] == 0 < asking[1] < 60
+    assert got[4][0] == got[64][0] == [(k, 0) for k in range(12)]
+    assert got[4][1] == got[64][1] > 0
+
+
 def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
     """Many near copies, few of them linked: blocks find what pairs would."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)

@@ -447,10 +447,13 @@ def similar_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         asked = twice.select("band", F.explode("segs").alias("seg")).distinct().groupBy("band").agg(F.collect_list("seg").alias("segs"))
         shape = f"rep {kind}, band int, seg int, sig long"
         minus = classes.join(twice, "rep").select("rep", "shingles", "band", "segs").mapInArrow(_deletions(percent), shape)
-        own = subsets.where("own").select("rep", "band").distinct().join(asked, "band")
+        own = sets.where("own").select("rep", "band").join(asked, "band")
         indexed = classes.join(own, "rep").select("rep", "shingles", "band", "segs").mapInArrow(_deletions(percent), shape)
-        full = twice.select("rep", "band", F.explode("segs").alias("seg")).join(subsets.drop("own"), ["rep", "band", "seg"])
-        probes = probes.unionByName(full.withColumn("space", F.lit("F"))).unionByName(full.withColumn("space", F.lit("D"))).unionByName(minus.withColumn("space", F.lit("F")))
+        # the asked subsets are read off the arrays of the sets that ask: few do, and the rest stays folded
+        taken = F.transform("segs", lambda s: F.struct(s.alias("seg"), F.get("sigs", s).alias("sig")))
+        full = sets.select("rep", "band", "sigs").join(twice, ["rep", "band"]).select("rep", "band", F.explode(taken).alias("s")).select("rep", "band", "s.seg", "s.sig")
+        both = full.withColumn("space", F.explode(F.array(F.lit("F"), F.lit("D"))))
+        probes = probes.unionByName(both).unionByName(minus.withColumn("space", F.lit("F")))
         index = index.unionByName(indexed.withColumn("space", F.lit("D")))
     spot = F.xxhash64("space", "band", "seg", "sig").alias("spot")
     probes = settled(probes.select("rep", spot).distinct(), "probes")
