@@ -7,60 +7,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import exact
+from textloom.functions import scan
 from textloom.functions.language import detect_languages
-from textloom.functions.text import clean_part, fold, token_parts, token_values, STOPWORDS
+from textloom.functions.text import fold
+from textloom.sources.shared import fresh
 
 TOP = 10
 VERSION = 1
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """doc_id, field, pos, token, start, end. Offsets count characters; a token begins at its first dot."""
+    """doc_id, field, pos, token, start, end. Offsets count characters; a token begins at its first dot. Nothing is shuffled."""
+    scan.lean(pages.sparkSession)
     fields = pages.select("doc_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("content").alias("field"), F.col("content").alias("text")))).alias("f"))
-    fields = fields.select("doc_id", "f.field", "f.text")
-    odd = _beyond_columns(F.col("text"))
-    # one exchange by document and field serves the running offset; the table's later steps keep it
-    parts = fields.where(~odd).repartition("doc_id", "field").select("doc_id", "field", F.posexplode(token_parts(F.col("text"))).alias("pos", "part"))
-    before = Window.partitionBy("doc_id", "field").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("start", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int")).where("pos % 2 = 1")
-    own = placed.withColumn("token", clean_part(F.col("part"))).where((F.length("token") >= 2) & ~F.col("token").isin(*STOPWORDS))
-    own = own.select("doc_id", "field", "pos", "token", "start", (F.col("start") + F.length(F.regexp_replace("part", r"\.$", ""))).cast("int").alias("end"))
-    return own.unionByName(fields.where(odd).mapInPandas(_exact_tokens, own.schema))
-
-
-def _beyond_columns(c):
-    """Text that the column forms don't cut as the plain tokenizer does: Hangul, and signs beyond the basic plane."""
-    return F.coalesce(F.regexp_like(c, F.lit("[\\x{AC00}-\\x{D7A3}\\x{10000}-\\x{10FFFF}]")), F.lit(False))
-
-
-def _exact_tokens(frames):
-    import pandas as pd
-
-    for f in frames:
-        rows = [(i, field, 2 * k + 1, t, s, e) for i, field, text in zip(f["doc_id"], f["field"], f["text"], strict=True) for k, (t, s, e) in enumerate(exact.tokenize(text))]
-        yield pd.DataFrame(rows, columns=["doc_id", "field", "pos", "token", "start", "end"])
-
-
-def _exact_arrays(frames):
-    import pandas as pd
-
-    words = lambda text: [t for t, _, _ in exact.tokenize(text or "")]
-    for f in frames:
-        yield pd.DataFrame({"doc_id": f["doc_id"], "title_tokens": f["title"].map(words), "content_tokens": f["content"].map(words)})
+    own = fields.select("doc_id", "f.field", scan.token_spans(F.col("f.text")).alias("s")).select("doc_id", "field", F.explode("s").alias("s"))
+    return own.select("doc_id", "field", "s.pos", "s.token", "s.start", "s.end")
 
 
 def token_arrays(pages: DataFrame) -> DataFrame:
     """doc_id, title_tokens, content_tokens: enough for counts and phrases, without a shuffle."""
-    odd = _beyond_columns(F.col("title")) | _beyond_columns(F.col("content"))
-    own = pages.where(~odd).select("doc_id", token_values(F.col("title")).alias("title_tokens"), token_values(F.col("content")).alias("content_tokens"))
-    return own.unionByName(pages.where(odd).select("doc_id", "title", "content").mapInPandas(_exact_arrays, own.schema))
+    scan.lean(pages.sparkSession)
+    return pages.select("doc_id", scan.token_list(F.col("title")).alias("title_tokens"), scan.token_list(F.col("content")).alias("content_tokens"))
 
 
 def lengths(pages: DataFrame) -> DataFrame:
     """doc_id, length_title, length_content: tokens after the removals; 0 for pages without any."""
-    t = token_arrays(pages)
-    return t.select("doc_id", F.size("title_tokens").alias("length_title"), F.size("content_tokens").alias("length_content"))
+    scan.lean(pages.sparkSession)
+    return pages.select("doc_id", scan.token_count(F.col("title")).alias("length_title"), scan.token_count(F.col("content")).alias("length_content"))
 
 
 def stats(lengths: DataFrame) -> DataFrame:
@@ -78,6 +51,13 @@ def postings(tokens: DataFrame) -> DataFrame:
     return _grouped(tokens.withColumnRenamed("token", "term"), "term")
 
 
+def page_postings(pages: DataFrame) -> DataFrame:
+    """postings(tokens(pages)) of pages that have each doc_id once: each page's are put together where its text stands, without a shuffle."""
+    scan.lean(pages.sparkSession)
+    own = pages.select("doc_id", F.explode(scan.all_postings(F.col("title"), F.col("content"))).alias("p"))
+    return own.select(F.col("p.key").alias("term"), "doc_id", "p.tf_title", "p.tf_content", "p.positions_title", "p.positions_content")
+
+
 def ngrams(tokens: DataFrame, sizes=(2, 3)) -> DataFrame:
     """doc_id, field, phrase, size, start, end: runs of tokens as they stand after the removals."""
     order = Window.partitionBy("doc_id", "field").orderBy("pos")
@@ -122,6 +102,8 @@ class Index:
     prefixes: DataFrame
     titles: DataFrame
     stored: bool = False
+    #: The tables are plans over pages, so that reading any of them reads all texts.
+    lazy: bool = False
 
     def refresh(self) -> Index:
         """A new object with vocabulary, prefixes and titles of the tables as they are; readers keep the old one until they take it."""
@@ -139,8 +121,31 @@ def build(pages: DataFrame, languages: bool = True) -> Index:
         meta = meta.join(guess.select("doc_id", "language"), "doc_id", "left")
     else:
         meta = meta.withColumn("language", F.lit(None).cast("string"))
-    vocab = vocabulary(posts)
-    return Index(pages, own, posts, phrase_postings(own), meta, stats(meta), vocab, prefix_top(vocab), titles(pages))
+    vocab = page_terms(pages)
+    return Index(pages, own, posts, phrase_postings(own), meta, stats(meta), vocab, prefix_top(vocab), titles(pages), lazy=True)
+
+
+def page_terms(pages: DataFrame) -> DataFrame:
+    """vocabulary() of pages that aren't indexed yet."""
+    return scan.counts(pages, scan.distinct_words).select(F.col("key").alias("term"), F.col("n").alias("df"))
+
+
+def asked(pages: DataFrame, terms: list[str], runs: list[str], positions: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings of terms, postings of runs, lengths) of pages that aren't indexed, in one pass over their texts, written to the shared folder.
+
+    Places are those in the content, if asked for; of runs only the counts are there.
+    """
+    spark = pages.sparkSession
+    scan.lean(spark)
+    path = fresh(spark, "asked")
+    pages.select("doc_id", scan.asked_postings(terms, runs, positions)(F.col("title"), F.col("content")).alias("f")).select("doc_id", "f.*").write.parquet(path)
+    all_found = spark.read.parquet(path)
+
+    def of(column: str, key: str) -> DataFrame:
+        rows = all_found.select("doc_id", F.explode(column).alias("p")).select(F.col("p.key").alias(key), "doc_id", "p.tf_title", "p.tf_content", "p.positions_content")
+        return rows.groupBy(key, "doc_id").agg(F.sum("tf_title").cast("int").alias("tf_title"), F.sum("tf_content").cast("int").alias("tf_content"), F.array_sort(F.flatten(F.collect_list("positions_content"))).alias("positions_content"))
+
+    return of("terms", "term"), of("phrases", "phrase"), all_found.select("doc_id", "length_title", "length_content")
 
 
 TABLES = ("pages", "tokens", "postings", "phrases", "meta", "stats", "vocab", "prefixes", "titles")
