@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textloom.functions.scan import lean
 
 UNDETERMINED, PROFILE, ABSENT, MARGIN, LEAST_GRAMS = "und", 320, 320, 0.08, 4
 
@@ -35,7 +40,7 @@ SAMPLES = {
 }
 
 
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _ASCII_LETTERS = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 
 
 def ranked(text: str, most: int = PROFILE) -> list[tuple[str, int]]:
@@ -43,14 +48,21 @@ def ranked(text: str, most: int = PROFILE) -> list[tuple[str, int]]:
 
     All words stand in one line, each between underscores; grams with a space in them reach over a word's end and go.
     """
-    words = _LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    words = (_ASCII_LETTERS if text.isascii() else _LETTERS).findall(text)
     if not words:
         return []
-    line = "_" + "_ _".join(words) + "_"
-    counts = Counter(line)
-    counts.update(map("".join, zip(line, line[1:], strict=False)))
-    counts.update(map("".join, zip(line, line[1:], line[2:], strict=False)))
-    return sorted(((g, n) for g, n in counts.items() if " " not in g), key=lambda x: (-x[1], x[0]))[:most]
+    # three code points to a number, the first one highest: numbers are in the order of the grams, shorter ones first
+    a = np.frombuffer(("_" + "_ _".join(words) + "_").encode("utf-32-le"), "<u4").astype("int64")
+    b, c = a[1:], a[2:]
+    one, two, three = a << 42, (a[:-1] << 42) | (b << 21), (a[:-2] << 42) | (b[:-1] << 21) | c
+    word = a != 32
+    pair = word[:-1] & word[1:]
+    keys, counts = np.unique(np.concatenate([one[word], two[pair], three[pair[:-1] & word[2:]]]), return_counts=True)
+    best = np.argsort(-counts, kind="stable")[:most]
+    keys, counts = keys[best], counts[best]
+    signs = np.stack([keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF], 1).astype("<u4")
+    return list(zip(signs.view("<U3").ravel().tolist(), counts.tolist(), strict=True))
 
 
 def profile(text: str, most: int = PROFILE) -> dict[str, int]:
@@ -72,20 +84,34 @@ def detect(text: str, samples=SAMPLES) -> tuple[str, bool]:
 _profile_of = lru_cache(maxsize=64)(profile)
 
 
-def gram_ranks(texts: DataFrame, most: int = PROFILE) -> DataFrame:
-    """doc_id, gram, n, rnk: each text's profile. A text's grams are counted where it stands, so that nothing is shuffled."""
+def gram_lists(texts: DataFrame, most: int = PROFILE) -> DataFrame:
+    """doc_id, grams (gram, n) by rank: each text's profile. A text's grams are counted where it stands, so that nothing is shuffled."""
+    lean(texts.sparkSession)
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])))
+    def grams(text: pa.Array) -> pa.Array:
+        at, names, numbers = [0], [], []
+        for t in text:
+            for g, n in ranked(t.as_py(), most):
+                names.append(g)
+                numbers.append(n)
+            at.append(len(names))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64())], ["gram", "n"]))
 
-    @F.pandas_udf("array<struct<gram:string,n:bigint>>")
-    def grams(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"gram": g, "n": n} for g, n in ranked(t, most)])
+    return texts.select("doc_id", grams(F.col("text")).alias("grams"))
 
-    own = texts.select("doc_id", F.posexplode(grams("text")).alias("rnk", "g"))
+
+def gram_ranks(texts: DataFrame, most: int = PROFILE) -> DataFrame:
+    """doc_id, gram, n, rnk: a row for each gram of gram_lists()."""
+    own = gram_lists(texts, most).select("doc_id", F.posexplode("grams").alias("rnk", "g"))
     return own.select("doc_id", "g.gram", "g.n", "rnk")
 
 
 def detect_languages(texts: DataFrame, samples=SAMPLES) -> DataFrame:
     """doc_id, language, confident for every row of texts (doc_id, text), without a shuffle."""
 
+    lean(texts.sparkSession)
+
     @F.pandas_udf("language string, confident boolean")
     def guess(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([detect(t, samples) for t in text], columns=["language", "confident"])
