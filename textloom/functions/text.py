@@ -32,6 +32,27 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
+def _capitals() -> tuple[str, str]:
+    """Characters whose capital is one character, and those capitals."""
+    source, target = [], []
+    for n in range(0x61, 0x11000):
+        c = chr(n)
+        # of a letter whose capital is written with several, the title case may be one character; sharp s has its own
+        up = "ẞ" if c == "ß" else c.upper() if len(c.upper()) == 1 else c.title()
+        if not 0xD800 <= n < 0xE000 and len(up) == 1 and up != c:
+            source.append(c)
+            target.append(up)
+    return "".join(source), "".join(target)
+
+
+UPPER_FROM, UPPER_TO = _capitals()
+
+
+def case_key(c) -> Column:
+    """Equal for texts that differ in case alone, character by character: sharp s isn't two letters."""
+    return F.translate(c, UPPER_FROM, UPPER_TO)
+
+
 def unaccent(c) -> Column:
     """Letters without their accents, character by character, so that offsets stay."""
     return F.translate(c, FOLD_FROM, FOLD_TO)

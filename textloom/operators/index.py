@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scan
 from textloom.functions.language import detect_languages
-from textloom.functions.text import fold
+from textloom.functions.text import case_key, fold
 from textloom.sources.shared import fresh
 
 TOP = 10
@@ -86,7 +86,7 @@ def prefix_top(vocab: DataFrame, top: int = TOP) -> DataFrame:
 
 def titles(pages: DataFrame) -> DataFrame:
     """title, folded: distinct whatever the case, in the spelling of the first page; blank ones left out."""
-    own = pages.where(F.trim("title") != "").groupBy(F.upper("title").alias("key")).agg(F.min_by("title", "doc_id").alias("title"))
+    own = pages.where(F.trim("title") != "").groupBy(case_key(F.col("title")).alias("key")).agg(F.min_by("title", "doc_id").alias("title"))
     return own.select("title", fold(F.col("title")).alias("folded"))
 
 
