@@ -45,9 +45,9 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def from_html(raw: DataFrame, exact: bool = True) -> DataFrame:
-    """doc_id, url, title and content of raw pages (page_id, url, html): by a parser, or by patterns alone."""
+    """doc_id, url, title and content of raw pages (page_id, url, html): by a parser, or by patterns alone. In both, references end with a semicolon."""
     if exact:
-        read = raw.select(F.col("page_id").alias("doc_id"), "url", H.read_html("html").alias("r"))
+        read = raw.select(F.col("page_id").alias("doc_id"), "url", H.read_html_closed("html").alias("r"))
         return read.select("doc_id", "url", F.col("r.title").alias("title"), F.col("r.text").alias("content"))
     return raw.select(F.col("page_id").alias("doc_id"), "url", H.title_expr(F.col("html")).alias("title"), H.text_expr(F.col("html")).alias("content"))
 
