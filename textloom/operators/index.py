@@ -14,6 +14,8 @@ from textloom.sources.shared import fresh
 
 TOP = 10
 VERSION = 1
+#: top_phrases: the words whose phrases are counted first, and the most words that workers look up; beyond that all phrases are counted.
+FREQUENT, MOST_WORDS = 500, 1 << 18
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -130,6 +132,32 @@ def page_terms(pages: DataFrame) -> DataFrame:
     return scan.counts(pages, scan.distinct_words).select(F.col("key").alias("term"), F.col("n").alias("df"))
 
 
+def top_phrases(pages: DataFrame, top: int) -> DataFrame:
+    """phrase, size, df of the runs of two and three tokens that most pages have; of fewer tokens, then by the phrase, if as many have them.
+
+    No phrase is in more pages than each of its words. So the phrases of frequent words are counted first, all of them; as
+    many pages as have the last of the best of these are needed at least, and words of fewer pages can't be in the result.
+    """
+    spark = pages.sparkSession
+    order = (F.desc("df"), "size", "phrase")
+
+    def best(kept) -> DataFrame:
+        # tokens have no underscores
+        own = scan.counts(pages, scan.phrases_of(kept)).select(F.col("key").alias("phrase"), F.size(F.split("key", "_")).alias("size"), F.col("n").alias("df"))
+        return own.orderBy(*order).limit(top)
+
+    path = fresh(spark, "vocab")
+    page_terms(pages).write.parquet(path)
+    vocab = spark.read.parquet(path)
+    first = {r.term for r in vocab.orderBy(F.desc("df"), "term").limit(FREQUENT).collect()}
+    found = best(first).collect()
+    least = found[-1].df if len(found) == top else 0
+    enough = vocab.where(F.col("df") >= least).select("term").limit(MOST_WORDS + 1).collect() if least > 1 else []
+    if 0 < len(enough) <= FREQUENT:  # the words of the first count, or some of them
+        return spark.createDataFrame(found, "phrase string, size int, df long").orderBy(*order)
+    return best({r.term for r in enough} if 0 < len(enough) <= MOST_WORDS else None)
+
+
 def asked(pages: DataFrame, terms: list[str], runs: list[str], positions: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings of terms, postings of runs, lengths) of pages that aren't indexed, in one pass over their texts, written to the shared folder.
 
@@ -197,6 +225,12 @@ def lookup(table: DataFrame, column: str, values: list[str]) -> DataFrame:
     return table.where(F.col(column).isin(list(dict.fromkeys(values))))
 
 
+def replaced_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pages (columns of new) with all rows of new's pages replaced by new. Ids meet in a hash table, so that texts are neither sorted nor shuffled more than once."""
+    ids = new.select("doc_id").distinct().hint("shuffle_hash")
+    return old.join(ids, "doc_id", "left_anti").select(new.columns).unionByName(new)
+
+
 def replace(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
     """A table with all rows of these pages (doc_id) replaced by new."""
     return old.join(pages.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
