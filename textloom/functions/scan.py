@@ -336,20 +336,41 @@ def standard_list(text: str | None) -> list[str]:
     return (full if max(text) > "￿" else wide).findall(text)
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether at most one insertion, deletion, change or transposition of neighbours leads from a to b: a distance of 1 in damerau_distance()."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    if len(a) < len(b):
+        return a[k:] == b[k + 1 :]
+    return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+
+
 class _Near(dict):
     """Whether a word is asked for, or within some edits of an asked one with the same beginning."""
 
     def __init__(self, asked: list[str], edits: int | None, prefix: int):
         super().__init__()
         self.asked, self.edits, self.prefix = asked, edits, prefix
+        #: What words begin with that can be meant; None: anything.
+        self.firsts = {w[0] for w in asked} if edits is None or prefix else None
 
     def __missing__(self, token: str) -> bool:
         from textloom.functions.distance import damerau_distance
 
         if len(self) > MOST_COUNTS:
             self.clear()
-        near = lambda w: token.startswith(w[: self.prefix]) and abs(len(token) - len(w)) <= self.edits and damerau_distance(token, w) <= self.edits
-        out = self[token] = token in self.asked or self.edits is not None and any(map(near, self.asked))
+        out = token in self.asked
+        if not out and self.edits is not None:
+            for w in self.asked:
+                if abs(len(token) - len(w)) <= self.edits and token.startswith(w[: self.prefix]) and (one_edit(token, w) or self.edits > 1 and damerau_distance(token, w) <= self.edits):
+                    out = True
+                    break
+        self[token] = out
         return out
 
 
@@ -363,7 +384,7 @@ def standard_found(asked: list[str], edits: int | None, prefix: int):
         for t in text.to_pylist():
             own = standard_list(t)
             lengths.append(len(own))
-            at = [k for k, w in enumerate(own) if near[w]]
+            at = [k for k, w in enumerate(own) if (near.firsts is None or w[0] in near.firsts) and near[w]]
             sizes.append(len(at))
             pos += at
             token += [own[k] for k in at]

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import exact
+from textloom.functions import exact, scan
 from textloom.functions.distance import damerau, damerau_distance, may_be_within
 from textloom.functions.language import detect
 from textloom.functions.text import collapse, fold, split_words, truncate
 from textloom.operators.search import Response
+from textloom.sources.shared import fresh
 
 
 @dataclass(frozen=True)
@@ -55,21 +56,49 @@ def query_words(query: str) -> list[str]:
     return regex.findall(WORD, exact.fold(query))
 
 
-def field_stats(words: DataFrame) -> DataFrame:
+def sizes(words: DataFrame) -> DataFrame:
+    """field, doc_id, length of all words."""
+    return words.groupBy("field", "doc_id").agg(F.count("*").alias("length"))
+
+
+def field_stats(size: DataFrame) -> DataFrame:
     """field, docs, average: pages with the field and its mean length."""
-    return words.groupBy("field", "doc_id").agg(F.count("*").alias("n")).groupBy("field").agg(F.count("*").alias("docs"), F.avg("n").alias("average"))
+    return size.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
+
+
+def narrowed(words_of: DataFrame, asked: list[str], fuzzy: bool, o: StandardOptions) -> tuple[DataFrame, DataFrame]:
+    """(words, sizes) of pages (doc_id, title, content), or of stored words: those words alone that are asked for, or that expand() finds.
+
+    One pass, written to the shared folder; what is left is small.
+    """
+    spark = words_of.sparkSession
+    path = fresh(spark, "found")
+    if "token" in words_of.columns:
+        near = F.col("token").isin(asked)
+        for w in asked if fuzzy else []:
+            near = near | F.startswith("token", F.lit(w[: o.fuzzy_prefix])) & may_be_within(F.col("token"), F.lit(w), o.fuzzy_edits)
+        words_of.where(near).select("doc_id", "field", "pos", "token").write.parquet(f"{path}/words")
+        sizes(words_of).write.parquet(f"{path}/sizes")
+        return spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/sizes")
+    scan.lean(spark)
+    found = scan.standard_found(list(dict.fromkeys(asked)), o.fuzzy_edits if fuzzy else None, o.fuzzy_prefix)
+    words_of.select("doc_id", found(F.col("title")).alias("title"), found(F.col("content")).alias("content")).write.parquet(f"{path}/pages")
+    made = spark.read.parquet(f"{path}/pages")
+    fields = made.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("f")) for f in ("title", "content")])).alias("x")).select("doc_id", "x.field", "x.f.length", "x.f.at").where("length > 0")
+    # rows with the same id count together, as everywhere in this engine
+    return fields.select("doc_id", "field", F.explode("at").alias("a")).select("doc_id", "field", "a.pos", "a.token"), fields.groupBy("field", "doc_id").agg(F.sum("length").alias("length"))
 
 
 def _bm25(tf, df, docs, length, average, o: StandardOptions):
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (o.k1 + 1) / (tf + o.k1 * (1 - o.b + o.b * length / average))
 
 
-def text_clauses(words: DataFrame, weights: DataFrame, o: StandardOptions) -> DataFrame:
-    """doc_id, part of words weighted by (field, token, weight); df is the field's own."""
-    size = words.groupBy("field", "doc_id").agg(F.count("*").alias("length"))
+def text_clauses(words: DataFrame, weights: DataFrame, o: StandardOptions, size: DataFrame | None = None) -> DataFrame:
+    """doc_id, part of words weighted by (field, token, weight); df is the field's own. size: sizes() of all words, if words aren't all."""
+    size = sizes(words) if size is None else size
     tf = words.join(F.broadcast(weights), ["field", "token"]).groupBy("field", "doc_id", "token").agg(F.count("*").alias("tf"), F.max("weight").alias("weight"))
     df = tf.groupBy("field", "token").agg(F.count("*").alias("df"))
-    rows = tf.join(df, ["field", "token"]).join(size, ["field", "doc_id"]).join(field_stats(words), "field")
+    rows = tf.join(df, ["field", "token"]).join(size, ["field", "doc_id"]).join(F.broadcast(field_stats(size)), "field")  # two rows
     return rows.select("doc_id", (F.col("weight") * _bm25(F.col("tf"), F.col("df"), F.col("docs"), F.col("length"), F.col("average"), o)).alias("part"))
 
 
@@ -101,28 +130,29 @@ def phrase_matches(words: DataFrame, asked: list[str], slop: int) -> DataFrame:
     return at.select("field", "doc_id", F.size(good).alias("n")).where("n > 0")
 
 
-def phrase_clauses(words: DataFrame, asked: list[str], o: StandardOptions) -> DataFrame:
-    size = words.groupBy("field", "doc_id").agg(F.count("*").alias("length"))
+def phrase_clauses(words: DataFrame, asked: list[str], o: StandardOptions, size: DataFrame | None = None) -> DataFrame:
+    size = sizes(words) if size is None else size
     found = phrase_matches(words, asked, o.slop)
     df = found.groupBy("field").agg(F.count("*").alias("df"))
-    rows = found.join(df, "field").join(size, ["field", "doc_id"]).join(field_stats(words), "field")
+    rows = found.join(df, "field").join(size, ["field", "doc_id"]).join(F.broadcast(field_stats(size)), "field")
     weight = o.phrase_boost * F.when(F.col("field") == "title", o.w_title).otherwise(1.0)
     return rows.select("doc_id", (weight * _bm25(F.col("n"), F.col("df"), F.col("docs"), F.col("length"), F.col("average"), o)).alias("part"))
 
 
-def scores(pages: DataFrame, query: str, fuzzy: bool = True, o: StandardOptions = StandardOptions(), words: DataFrame | None = None) -> DataFrame:
-    """doc_id, score: the sum of all clauses that match; pages (doc_id, title, content, language if any), words: their tokens if stored."""
+def scores(pages: DataFrame, query: str, fuzzy: bool = True, o: StandardOptions = StandardOptions(), words: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
+    """doc_id, score: the sum of all clauses that match; pages (doc_id, title, content, language if any), words: their tokens if stored, or with size what narrowed() has of them."""
     spark, asked = pages.sparkSession, query_words(query)
-    words = tokens(pages) if words is None else words
+    if size is None:
+        words, size = narrowed(pages if words is None else words, asked, fuzzy, o)
     fields = (("title", o.w_title), ("content", 1.0))
     exact_weights = spark.createDataFrame([(f, w, wt) for f, wt in fields for w in dict.fromkeys(asked)], "field string, token string, weight double")
-    parts = text_clauses(words, exact_weights, o)
+    parts = text_clauses(words, exact_weights, o, size)
     if fuzzy and asked:
         near = expand(words, asked, o).groupBy("token").agg(F.min("distance").alias("distance"))
         both = near.crossJoin(F.broadcast(spark.createDataFrame(fields, "field string, base double")))  # two rows
-        parts = parts.unionByName(text_clauses(words, both.select("field", "token", (F.col("base") * o.fuzzy_boost).alias("weight")), o))
+        parts = parts.unionByName(text_clauses(words, both.select("field", "token", (F.col("base") * o.fuzzy_boost).alias("weight")), o, size))
     if len(asked) > 1 and o.phrase_boost > 0:
-        parts = parts.unionByName(phrase_clauses(words, asked, o))
+        parts = parts.unionByName(phrase_clauses(words, asked, o, size))
     total = parts.groupBy("doc_id").agg(F.sum("part").alias("score"))
     language, sure = detect(query)
     if sure and "language" in pages.columns:
@@ -130,6 +160,10 @@ def scores(pages: DataFrame, query: str, fuzzy: bool = True, o: StandardOptions
     return total
 
 
+def best_of(scored: DataFrame, top: int) -> DataFrame:
+    return scored.orderBy(F.desc("score"), "doc_id").limit(max(top, 0))
+
+
 def highlights(content, asked) -> F.Column:
     """The content's passages with hits, (hits, text), the best two first."""
     passages = F.split(content, r"(?<=[.!?])\s+|\n")
@@ -144,9 +178,9 @@ def search(pages: DataFrame, query: str, top: int = 20, correct: bool = True, o:
     asked = query_words(query)
     if not asked:
         return Response(query)
-    words = tokens(pages) if words is None else words
+    words, size = narrowed(pages if words is None else words, asked, correct, o)
     near = [r.token for r in expand(words, asked, o).select("token").distinct().collect()] if correct else []
-    found = scores(pages, query, correct, o, words).orderBy(F.desc("score"), "doc_id").limit(max(top, 0)).collect()
+    found = best_of(scores(pages, query, correct, o, words, size), top).collect()
     best = pages.sparkSession.createDataFrame(found, "doc_id long, score double")
     marked = pages.where(F.col("doc_id").isin([r.doc_id for r in found])).join(F.broadcast(best), "doc_id").withColumn("h", highlights(F.col("content"), list(dict.fromkeys(asked + near))))  # at most top rows
     text = F.when(F.size("h") == 0, truncate(collapse(F.col("content")), 200)).otherwise(truncate(F.array_join(F.transform("h", lambda r: collapse(r["text"])), " … "), 300))
