@@ -106,6 +106,15 @@ class Index:
     stored: bool = False
     #: The tables are plans over pages, so that reading any of them reads all texts.
     lazy: bool = False
+    _vocab_written: bool = False
+
+    def known_terms(self) -> DataFrame:
+        """The vocabulary; one that is but a plan is written to the shared folder at its first use and stays with this object."""
+        if self.lazy and not self._vocab_written:
+            spark, path = self.pages.sparkSession, fresh(self.pages.sparkSession, "vocab")
+            self.vocab.write.parquet(path)
+            self.vocab, self._vocab_written = spark.read.parquet(path), True
+        return self.vocab
 
     def refresh(self) -> Index:
         """A new object with vocabulary, prefixes and titles of the tables as they are; readers keep the old one until they take it."""

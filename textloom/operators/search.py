@@ -11,8 +11,8 @@ from textloom.functions import exact
 from textloom.functions.distance import damerau, deletions, may_be_within, osa
 from textloom.functions.language import detect
 from textloom.functions.text import common_prefix_length, match_rank
-from textloom.operators.index import Index
-from textloom.operators.rank import Bm25Options, hits, scores, top as top_of
+from textloom.operators.index import Index, lookup
+from textloom.operators.rank import Bm25Options, hits, narrowed, runs_of, scores, top as top_of
 
 WORDS, MOST_EDITS = 5, 2
 
@@ -33,12 +33,17 @@ def missing(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.distinct().join(vocab, "term", "left_anti")
 
 
-def within(vocab: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+def within(vocab: DataFrame, words: DataFrame | list[str], most: int = MOST_EDITS) -> DataFrame:
     """word, term, distance: vocabulary within most edits (with transpositions) of words.
 
-    Both sides meet on what is left of them after up to most deletions, so that no pair is formed that can't match;
+    A list is that of a query: its few words meet each term at the built-in guard, in one pass over the vocabulary.
+    Of a table, both sides meet on what is left of them after up to most deletions, so that no pair is formed that can't match;
     the distance itself is computed on what a built-in guard lets through.
     """
+    if isinstance(words, list):
+        few = F.array(*[F.lit(w) for w in dict.fromkeys(words)]).cast("array<string>")
+        pairs = vocab.select(F.explode(few).alias("word"), "term").where(may_be_within(F.col("word"), F.col("term"), most))
+        return pairs.withColumn("distance", damerau(F.col("word"), F.col("term"))).where(F.col("distance") <= most)
     own = words.select("word").where("word IS NOT NULL").distinct()
     left = own.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
     # only terms as long as some word is, give or take: what is left of a long string is the square of its length
@@ -49,7 +54,7 @@ def within(vocab: DataFrame, words: DataFrame, most: int = MOST_EDITS) -> DataFr
     return pairs.withColumn("distance", damerau(F.col("word"), F.col("term"))).where(F.col("distance") <= most)
 
 
-def spell(vocab: DataFrame, words: DataFrame) -> DataFrame:
+def spell(vocab: DataFrame, words: DataFrame | list[str]) -> DataFrame:
     """word, correction, distance: the term that wins by 10 for an edit less 2 for each shared first character; fewer edits, then the term, break ties."""
     near = within(vocab, words).where("distance > 0")
     weight = 10 * F.col("distance") - 2 * common_prefix_length(F.col("word"), F.col("term"))
@@ -57,25 +62,40 @@ def spell(vocab: DataFrame, words: DataFrame) -> DataFrame:
     return best.select("word", F.col("b.term").alias("correction"), F.col("b.distance").alias("distance"))
 
 
+def searches(index: Index, queries: list[str], top: int = 20, correct: bool = True, o: Bm25Options = Bm25Options()) -> list[tuple[list[Row], str | None]]:
+    """For each query the best rows of scores(), and the corrected query if its results are these.
+
+    All lost words are looked up at once, and an index that is but plans is read in one pass for all queries.
+    """
+    terms = [[t for t, _, _ in exact.tokenize(q)] for q in queries]
+    by: dict[str, str] = {}
+    if correct and any(terms):
+        every = list(dict.fromkeys(t for own in terms for t in own))
+        vocab = index.known_terms()
+        known = {r.term for r in lookup(vocab, "term", every).select("term").collect()}
+        if lost := [t for t in every if t not in known]:
+            by = {r.word: r.correction for r in spell(vocab, lost).collect()}
+    others = [[by.get(t, t) for t in own] for own in terms]
+    languages = [language if sure else None for language, sure in map(detect, queries)]
+    if index.lazy and any(terms):
+        lists = [*terms, *others]
+        index = narrowed(index, [t for own in lists for t in own], runs_of(lists, o), languages=any(languages))
+    out = []
+    for own, other, language in zip(terms, others, languages, strict=True):
+        ranked = lambda ts: top_of(scores(index, ts, language, o), top).collect() if ts else []  # noqa: B023, E731
+        if other != own and (found := ranked(other)):
+            out.append((found, " ".join(other)))
+        else:
+            out.append((ranked(own), None))
+    return out
+
+
 def search(index: Index, query: str, top: int = 20, correct: bool = True, o: Bm25Options = Bm25Options()) -> Response:
     """Ranked pages with any of the query's terms. Terms that the index lacks are corrected, if that finds anything."""
     if not query or not query.strip():
         raise ValueError("empty query")
-    terms = [t for t, _, _ in exact.tokenize(query)]
-    if not terms:
-        return Response(query)
-    language, sure = detect(query)
-    spark = index.pages.sparkSession
-    ranked = lambda ts: hits(index, top_of(scores(index, ts, language if sure else None, o), top)).collect()
-    if correct:
-        asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-        lost = missing(index.vocab, asked).withColumnRenamed("term", "word")
-        by = {r.word: r.correction for r in spell(index.vocab, lost).collect()}
-        if by:
-            other = [by.get(t, t) for t in terms]
-            if found := ranked(other):
-                return Response(query, found, (query, " ".join(other)))
-    return Response(query, ranked(terms))
+    ((best, other),) = searches(index, [query], top, correct, o)
+    return Response(query, hits(index, best).collect() if best else [], (query, other) if other is not None else None)
 
 
 def fuzzy_words(prefixes: DataFrame, prefix: str, most: int) -> DataFrame:
