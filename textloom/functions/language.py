@@ -117,3 +117,9 @@ def detect_languages(texts: DataFrame, samples=SAMPLES) -> DataFrame:
         return pd.DataFrame([detect(t, samples) for t in text], columns=["language", "confident"])
 
     return texts.select("doc_id", guess("text").alias("g")).select("doc_id", "g.language", "g.confident")
+
+
+@F.pandas_udf(T.StringType())
+def language_of(text: pd.Series) -> pd.Series:
+    """The language of detect_languages() as a column."""
+    return text.map(lambda t: detect(t)[0])

@@ -53,11 +53,11 @@ def postings(tokens: DataFrame) -> DataFrame:
     return _grouped(tokens.withColumnRenamed("token", "term"), "term")
 
 
-def page_postings(pages: DataFrame) -> DataFrame:
-    """postings(tokens(pages)) of pages that have each doc_id once: each page's are put together where its text stands, without a shuffle."""
+def page_postings(pages: DataFrame, *more: str) -> DataFrame:
+    """postings(tokens(pages)) of pages that have each doc_id once, and more of their columns: each page's are put together where its text stands, without a shuffle."""
     scan.lean(pages.sparkSession)
-    own = pages.select("doc_id", F.explode(scan.all_postings(F.col("title"), F.col("content"))).alias("p"))
-    return own.select(F.col("p.key").alias("term"), "doc_id", "p.tf_title", "p.tf_content", "p.positions_title", "p.positions_content")
+    own = pages.select("doc_id", *more, F.explode(scan.all_postings(F.col("title"), F.col("content"))).alias("p"))
+    return own.select(F.col("p.key").alias("term"), "doc_id", "p.tf_title", "p.tf_content", "p.positions_title", "p.positions_content", *more)
 
 
 def ngrams(tokens: DataFrame, sizes=(2, 3)) -> DataFrame:

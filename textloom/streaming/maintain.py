@@ -11,23 +11,44 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.language import detect_languages
+from textloom.functions import scan
+from textloom.functions.language import language_of
 from textloom.operators import index as ix
 from textloom.sources.pages import PAGES, CrawlOptions, crawl, crawled_pages
 from textloom.sources.shared import Store
 
 PARTS = 64
-TABLES = ("pages", "meta", "postings", "phrases")
+#: Phrases, which are several times as large as the texts, are made of the pages by who asks for them.
+TABLES = ("pages", "meta", "postings")
 
 
 def _part(df: DataFrame, parts: int) -> DataFrame:
     return df.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
 
+def _with_part(schema):
+    from pyspark.sql.types import IntegerType, StructType
+
+    return StructType([f for f in schema.fields if f.name != "part"]).add("part", IntegerType())
+
+
+def _write(df: DataFrame, folder: str) -> None:
+    """df as files of its parts (part). A task has few parts, so that it holds a file open for each instead of sorting its rows."""
+    spark = df.sparkSession
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    try:
+        df.write.mode("overwrite").partitionBy("part").parquet(folder)
+    finally:
+        spark.conf.set(name, before)
+
+
 def manifest(spark: SparkSession, base: str, version: int | None = None) -> dict:
     """{version, parts, tables: {name: {part: version}}, schemas: {name: json}}: the last one, or that of a version."""
     store = Store(spark, f"{base}/manifest")
@@ -59,29 +80,44 @@ def upsert(batch: DataFrame, base: str, parts: int = PARTS) -> int:
     spark = batch.sparkSession
     at = F.col("crawled_at") if "crawled_at" in batch.columns else F.lit(None).cast("timestamp")
     latest = F.max(F.struct(at.alias("crawled_at"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))).alias("p")
-    pages = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(latest).select("doc_id", "p.url", "p.title", "p.content", "p.crawled_at").persist()
+    pages = batch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(latest).select("doc_id", "p.url", "p.title", "p.content", "p.crawled_at")
+    old = manifest(spark, base)
+    if old.get("parts", parts) != parts:
+        raise ValueError(f"the tables have {old['parts']} parts")
+    # the batch is settled first, split into parts already; what is made of it stays in its part and is written without a shuffle
+    settled = f"{base}/batches/{uuid.uuid4().hex}"
     try:
-        own = ix.tokens(pages)
-        guess = detect_languages(pages.select("doc_id", F.concat_ws(" ", "title", "content").alias("text"))).select("doc_id", "language")
-        new = {"pages": pages, "meta": ix.lengths(pages).join(guess, "doc_id"), "postings": ix.postings(own), "phrases": ix.phrase_postings(own)}
-        touched = [r.part for r in _part(pages.select("doc_id"), parts).select("part").distinct().collect()]  # at most parts numbers
-        old = manifest(spark, base)
-        if old.get("parts", parts) != parts:
-            raise ValueError(f"the tables have {old['parts']} parts")
-        now = {"version": old["version"] + 1, "parts": parts, "tables": {}, "schemas": {n: json.dumps(df.schema.jsonValue()) for n, df in new.items()}}
+        _write(_part(pages, parts).repartition(parts, "part"), settled)
+        touched = [int(n.removeprefix("part=")) for n in Store(spark, settled).names("") if n.startswith("part=")]
+        pages = spark.read.schema(_with_part(pages.schema)).parquet(settled)
+        ids = pages.select("doc_id").hint("shuffle_hash")
+        texts = pages.select("*", F.concat_ws(" ", "title", "content").alias("text"))
+        new = {
+            "pages": pages,
+            "meta": texts.select("doc_id", scan.token_count(F.col("title")).alias("length_title"), scan.token_count(F.col("content")).alias("length_content"), language_of(F.col("text")).alias("language"), "part"),
+            "postings": ix.page_postings(pages, "part"),
+        }
+        now = {"version": old["version"] + 1, "parts": parts, "tables": {}, "schemas": {n: json.dumps(new[n].drop("part").schema.jsonValue()) for n in TABLES}}
+        kept: dict[str, DataFrame] = {}
+        if old["schemas"]:
+            kept["pages"] = _part(read(spark, base, "pages", old, touched), parts).join(ids, "doc_id", "left_anti")
+            kept["meta"] = _part(read(spark, base, "meta", old, touched), parts).join(ids, "doc_id", "left_anti")
         for name in TABLES:
-            rows = new[name]
-            if old["schemas"]:
-                kept = read(spark, base, name, old, touched)
-                rows = rows.unionByName(kept.join(pages.select("doc_id"), "doc_id", "left_anti").select(rows.columns))
             folder = _folder(base, name, now["version"])
-            _part(rows, parts).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+            if name == "postings" and kept:
+                # those of kept pages are made again of the texts as just written: cheaper than to shuffle their postings
+                own = spark.read.schema(_with_part(new["pages"].drop("part").schema)).parquet(_folder(base, "pages", now["version"]))
+                _write(ix.page_postings(own, "part"), folder)
+            elif kept:
+                _write(new[name].unionByName(kept[name].select(new[name].columns)).repartition(parts, "part"), folder)
+            else:
+                _write(new[name], folder)
             written = {int(n.removeprefix("part=")) for n in Store(spark, folder).names("") if n.startswith("part=")}
             now["tables"][name] = {p: v for p, v in old["tables"][name].items() if int(p) not in touched} | {str(p): now["version"] for p in sorted(written)}
         Store(spark, f"{base}/manifest").put(f"{now['version']}.json", json.dumps(now))
         return now["version"]
     finally:
-        pages.unpersist()
+        Store(spark, settled).delete("")
 
 
 def vacuum(spark: SparkSession, base: str, keep: int = 2) -> None:
@@ -112,9 +148,9 @@ def follow(spark: SparkSession, source: str, base: str, checkpoint: str, once: b
 def snapshot(spark: SparkSession, base: str, version: int | None = None) -> ix.Index:
     """An index object over the tables of one version, whatever batches come after."""
     now = manifest(spark, base, version)
-    pages, posts, phrases, meta = (read(spark, base, n, now) for n in ("pages", "postings", "phrases", "meta"))
-    vocab = ix.vocabulary(posts)
-    return ix.Index(pages, ix.tokens(pages), posts, phrases, meta, ix.stats(meta), vocab, ix.prefix_top(vocab), ix.titles(pages))
+    pages, posts, meta = (read(spark, base, n, now) for n in ("pages", "postings", "meta"))
+    vocab, tokens = ix.vocabulary(posts), ix.tokens(pages)
+    return ix.Index(pages, tokens, posts, ix.phrase_postings(tokens), meta, ix.stats(meta), vocab, ix.prefix_top(vocab), ix.titles(pages), lazy=True)
 
 
 def crawl_into(seeds: DataFrame, fetch, base: str, depth: int | None = None, options: CrawlOptions = CrawlOptions()) -> DataFrame:
